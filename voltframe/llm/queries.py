@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontam, langid, simhash, sstable, toxicity
+from . import curve_packing, decontam, langid, line_quality, simhash, sstable, template_dedup, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,15 @@ def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, total, dropped = template_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.col(total).cast("long").alias("n_lines"), F.col(dropped).cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.train(docs)).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
@@ -52,6 +61,8 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_sstable": op3_sstable,
+    "op4_line_quality": op4_line_quality,
+    "op5_template_lines": op5_template_lines,
     "op8_language": op8_language,
     "op9_curve_packing": op9_curve_packing,
     "op10_simhash": op10_simhash,
@@ -73,4 +84,24 @@ it AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FRO
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)""",
+    "op4_line_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, source, text, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS l FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT coalesce(text, '<null>')) AS docs FROM d GROUP BY source),
+ln AS (SELECT r, source, coalesce(text, '<null>') AS copy, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
+              trim(regexp_replace(regexp_replace(lower(x), '\p{Nd}+', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS line
+       FROM (SELECT r, source, text, unnest(l) AS x FROM w)),
+often AS (SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT copy) AS n FROM ln GROUP BY source, line) f
+          JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 AND f.n > h.docs * 0.005),
+gone AS (SELECT r, sum(n) AS n FROM ln JOIN often o ON ln.source IS NOT DISTINCT FROM o.source AND ln.line = o.line GROUP BY r),
+x AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(w.l) - len(list_distinct(w.l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS gone
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND n_words - gone >= n_words * 0.3 AS kept FROM x""",
 }
