@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontam, gru_lm, langid, line_quality, simhash, sstable, template_dedup, toxicity
+from . import curve_packing, decontam, gru_lm, langid, line_quality, rindex_dedup, simhash, sstable, template_dedup, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(total).cast("long").alias("n_lines"), F.col(dropped).cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(documents(spark, sf_dir))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_sstable": op3_sstable,
     "op4_line_quality": op4_line_quality,
     "op5_template_lines": op5_template_lines,
+    "op6_run_index": op6_run_index,
     "op7_gru_lm": op7_gru_lm,
     "op8_language": op8_language,
     "op9_curve_packing": op9_curve_packing,
