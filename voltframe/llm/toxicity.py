@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id, kept columns, score; with `sentences` also offending: [(sentence number, probability)] above the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [doc_id, *[c for c in keep if c != doc_id]]
-    rows = docs.select(*names, F.col(text).alias("_toxicity_text"))
+    rows = docs.select(*names, *[text] * (text not in names))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches):
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
         m = shared.value
         for b in batches:
-            texts = b.column("_toxicity_text").to_pylist()
+            texts = b.column(text).to_pylist()
             columns = [*(b.column(c) for c in names), pa.array([m.score(t) for t in texts], pa.float64())]
             if sentences:
                 columns.append(pa.array([[{"sentence": k, "p": float(x)} for k, x in enumerate(m.sentences(t)[0]) if x >= threshold] for t in texts], pa.list_(pa.struct([("sentence", pa.int32()), ("p", pa.float64())]))))
