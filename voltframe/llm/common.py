@@ -53,6 +53,14 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._voltframe_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases now: it does so when the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
