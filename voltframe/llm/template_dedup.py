@@ -30,12 +30,13 @@ from .common import materialize
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT, MAX_LOSS = 3, 5, 20, 0.6, 0.5
 #: Bits of the fixed-size filter that picks lines of busy leaves for the second scan; extra lines do no harm.
 FILTER_BITS = 1 << 22
+_SPECIAL = re.compile(r"[\d@:]")
 _DIGITS = re.compile(r"\d+")
 _VARIABLE = re.compile(r"\S*(?:://|@)\S*|\S*\d\S*\d\S*\d\S*\d\S*")
 
 
 def mask(line: str) -> list[str]:
-    if not line.isascii() or any(c in line for c in "0123456789@:"):
+    if _SPECIAL.search(line):
         line = _DIGITS.sub("0", _VARIABLE.sub("<*>", line))
     return line.lower().split()
 
@@ -48,51 +49,57 @@ def hash64(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def parse(text: str | None, depth: int, min_tokens: int) -> list[tuple[int, int, int, list[str]]]:
-    """(line number, leaf, line hash, tokens) of each line long enough."""
-    out = []
-    for k, line in enumerate(text.split("\n") if text else ()):
+def parse(text: str, depth: int, min_tokens: int):
+    """(line number, leaf, tokens) of each line long enough."""
+    for k, line in enumerate(text.split("\n")):
         tokens = mask(line)
         if len(tokens) >= min_tokens:
-            out.append((k, hash64(f"{len(tokens)} {' '.join(tokens[:depth])}"), hash64(" ".join(tokens)), tokens))
-    return out
+            yield k, hash64(f"{len(tokens)} {' '.join(tokens[:depth])}"), tokens
 
 
-def _parsed(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen=None) -> DataFrame:
-    """copy, leaf, line of the distinct lines of each text; with `chosen` (a filter of leaves) only those, and tokens."""
-    schema = "copy long, leaf long, line long" + (", tokens array<string>" if chosen else "")
+def parsed_lines(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
+    """copy, leaf, line, place, size, total: every long enough line of each text, as hashes and numbers."""
+    names = ["copy", "leaf", "line", "place", "size", "total"]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        bits = chosen.value if chosen else None
         for b in batches:
-            out: dict[tuple[int, int], tuple] = {}
-            for t in b.column(0).to_pylist():
-                lines = parse(t, depth, min_tokens)
-                if lines:
-                    copy = hash64(t)
-                    for _, leaf, line, tokens in lines:
-                        if bits is None or bits[(leaf % FILTER_BITS) >> 3] >> (leaf % FILTER_BITS & 7) & 1:
-                            out[copy, line] = (leaf, tokens)
+            rows = []
+            for t in set(b.column(0).to_pylist()):
+                copy, total = hash64(t), len(t.split())
+                rows += [(copy, leaf, hash64(" ".join(tokens)), k, len(tokens), total) for k, leaf, tokens in parse(t, depth, min_tokens)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
+
+    return docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen) -> DataFrame:
+    """leaf, line, tokens of the lines whose leaf is in the filter, each once a batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = chosen.value
+        for b in batches:
+            out: dict[int, tuple] = {}
+            for t in set(b.column(0).to_pylist()):
+                for _, leaf, tokens in parse(t, depth, min_tokens):
+                    at = leaf % FILTER_BITS
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        out[hash64(" ".join(tokens))] = (leaf, tokens)
             if out:
-                keys = np.array(list(out), np.int64)
-                columns = [pa.array(keys[:, 0]), pa.array([v[0] for v in out.values()], pa.int64()), pa.array(keys[:, 1])]
-                names = ["copy", "leaf", "line"]
-                if chosen:
-                    columns.append(pa.array([v[1] for v in out.values()], pa.list_(pa.string())))
-                    names.append("tokens")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out.values()], pa.int64()), pa.array(list(out), pa.int64()), pa.array([v[1] for v in out.values()], pa.list_(pa.string()))], names=["leaf", "line", "tokens"])
 
-    return docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInArrow(run, "leaf long, line long, tokens array<string>")
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
+def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """line, template, n_docs: hashes of the lines whose template recurs. n_docs counts texts per distinct line."""
     spark = docs.sparkSession
-    counts = materialize(_parsed(docs, text, depth, min_tokens).distinct().groupBy("leaf", "line").agg(F.count("*").alias("n")), "lines")
-    busy = counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= min_docs)
+    counts = materialize(parsed.select("copy", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
+    busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     # busy leaves as a bitmap of FILTER_BITS, whatever their number
     place = F.pmod("leaf", F.lit(FILTER_BITS))
     size = 1 << 15  # bits in a bitmap of Spark's
@@ -101,7 +108,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min
     for part, own in parts:
         bits[part * size // 8 : part * size // 8 + len(own)] = own
     chosen = spark.sparkContext.broadcast(bytes(bits))
-    texts = _parsed(docs, text, depth, min_tokens, chosen).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    texts = line_texts(docs, text, depth, min_tokens, chosen).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = materialize(texts.join(counts, ["leaf", "line"]).join(busy.select("leaf"), "leaf", "left_semi"), "busy")
     spots = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
     shared = spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
@@ -112,24 +119,9 @@ def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min
     return general.select("leaf", "line", "template").join(totals, ["leaf", "template"]).select("line", "template", "n_docs")
 
 
-def dropped_places(docs: DataFrame, recurring: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, max_loss: float = MAX_LOSS) -> DataFrame:
+def dropped_places(parsed: DataFrame, recurring: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """copy (hash of the text), places: numbers of the lines to drop, for texts that have any."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = []
-            for t in set(b.column(0).to_pylist()):
-                lines = parse(t, depth, min_tokens)
-                if lines:
-                    copy, total = hash64(t), len(t.split())
-                    rows += [(copy, line, k, len(tokens), total) for k, _, line, tokens in lines]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["copy", "line", "place", "size", "total"])
-
-    lines = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInArrow(run, "copy long, line long, place long, size long, total long")
-    found = lines.join(recurring.select("line"), "line", "left_semi").distinct()  # equal texts in several batches
+    found = parsed.select("copy", "line", "place", "size", "total").join(recurring.select("line"), "line", "left_semi").distinct()  # equal texts in several batches
     sums = found.groupBy("copy").agg(F.array_sort(F.collect_list("place")).alias("places"), F.sum("size").alias("size"), F.first("total").alias("total"))
     return sums.filter(F.col("size") <= F.col("total") * max_loss).select("copy", "places")
 
@@ -149,5 +141,6 @@ def drop_lines(docs: DataFrame, places: DataFrame, text: str = "text") -> tuple[
 
 def dedup_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, max_loss: float = MAX_LOSS) -> tuple[DataFrame, str, str]:
     """drop_lines() of the lines whose template recurs."""
-    recurring = recurring_lines(docs, text, depth, min_tokens, min_docs, min_constant)
-    return drop_lines(docs, dropped_places(docs, recurring, text, depth, min_tokens, max_loss), text)
+    parsed = materialize(parsed_lines(docs, text, depth, min_tokens), "parsed")
+    recurring = recurring_lines(docs, parsed, text, depth, min_tokens, min_docs, min_constant)
+    return drop_lines(docs, dropped_places(parsed, recurring, max_loss), text)
