@@ -180,3 +180,32 @@ def principal_components(waves: DataFrame, dims: int) -> DataFrame:
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), range(dims)] < 0, -1, 1)
     centred = F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
     return waves.withColumn("v", centred).select("wf_id", *[A.dot(F.col("v"), F.array(*map(F.lit, vectors[:, k].tolist()))).alias(f"pc{k + 1}") for k in range(dims)])
+
+
+def global_extremes(waves: DataFrame) -> DataFrame:
+    """Lowest and highest value of each waveform over all channels, with the place in the vector (the first of equals)."""
+    low, high = F.array_min("v"), F.array_max("v")
+    return waves.select("wf_id", F.round(low, 6).alias("low"), F.array_position("v", low).alias("low_at"), F.round(high, 6).alias("high"), F.array_position("v", high).alias("high_at"))
+
+
+def align_on_max(waves: DataFrame, channels: int, samples: int, at: int) -> DataFrame:
+    """Shifts all channels of a waveform so that its highest sample stands at `at` (from 0); zeros fill in. Adds tau."""
+    steps = F.sequence(F.lit(0), F.lit(samples - 1))
+    top = F.transform(steps, lambda k: F.greatest(*[F.get("v", k + c * samples) for c in range(channels)]))
+    moved = waves.withColumn("_top", top).withColumn("tau", F.lit(at) - (F.array_position("_top", F.array_max("_top")) - 1).cast("int"))
+    place = lambda k: k - F.col("tau")
+    one = lambda c: F.transform(steps, lambda k: F.when(place(k).between(0, samples - 1), F.get("v", place(k) + c * samples)).otherwise(0.0))
+    return moved.withColumn("v", F.concat(*[one(c) for c in range(channels)])).drop("_top")
+
+
+def superpose(events: DataFrame, means: DataFrame, samples: int, cut_left: int) -> DataFrame:
+    """Signal (channel, t, v) with the template (unit, pos, mean) of each event added around its time."""
+    laid = events.select("unit", "t").groupBy("unit", "t").agg(F.count("*").alias("n")).join(means, "unit")
+    return laid.groupBy(F.floor(F.col("pos") / samples).alias("channel"), (F.col("t") - cut_left + F.col("pos") % samples).alias("t")).agg(F.sum(F.col("n") * F.col("mean")).alias("v"))
+
+
+def chunks(signal: DataFrame, length: int, size: int, overlap: int) -> DataFrame:
+    """Each sample (t from 1 to length) under every chunk that it lies in: `chunk`, `core` (false in the overlap)."""
+    first, last = F.floor((F.col("t") - 1 - overlap) / size), F.floor((F.col("t") - 1 + overlap) / size)
+    spread = signal.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit((length - 1) // size).cast("long")))))
+    return spread.withColumn("core", F.floor((F.col("t") - 1) / size) == F.col("chunk"))

@@ -98,3 +98,43 @@ def mean_shift(points: DataFrame, bandwidth: float, by: str = "leg", rounds: int
         return table[[by, "id"]].assign(cluster=rank[own])
 
     return points.groupBy(by).applyInPandas(run, f"{by} int, id long, cluster int")
+
+
+def without_oscillations(events: DataFrame, by: list[str], max_dist: int, min_group: int, min_amp: float) -> DataFrame:
+    """Drops groups of events at most max_dist apart, from the first large one on, if a channel has min_group large ones."""
+    marked = islands(events, by, "t", max_dist + 1, ["event_id"]).withColumn("_big", (F.abs("amp") >= min_amp).cast("int"))
+    so_far = Window.partitionBy(*by, "island").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumn("_in", F.max("_big").over(so_far)).withColumn("_n", F.sum("_big").over(Window.partitionBy(*by, "island", "channel")))
+    worst = F.max("_n").over(Window.partitionBy(*by, "island"))
+    return counted.withColumn("_n", worst).filter((F.col("_in") == 0) | (F.col("_n") < min_group)).select(events.columns)
+
+
+def thin(events: DataFrame, refractory: int) -> DataFrame:
+    """Drops the later event of a unit's smallest gap (of equals the first) until no gap is below the refractory period.
+
+    Gaps only grow, so runs of events with short gaps are independent: a task holds one run, not a unit.
+    """
+    runs = islands(events.select("unit", "t", "event_id"), ["unit"], "t", refractory, ["event_id"])
+
+    def walk(key, table):
+        import heapq
+
+        import numpy as np
+
+        table = table.sort_values(["t", "event_id"])
+        t = table["t"].tolist()
+        after, before = list(range(1, len(t) + 1)), list(range(-1, len(t) - 1))
+        kept = np.ones(len(t), bool)
+        heap = [(t[k + 1] - t[k], k, k + 1) for k in range(len(t) - 1)]
+        heapq.heapify(heap)
+        while heap and heap[0][0] < refractory:
+            _, a, b = heapq.heappop(heap)
+            if kept[a] and kept[b] and after[a] == b:
+                kept[b] = False
+                after[a] = c = after[b]
+                if c < len(t):
+                    before[c] = a
+                    heapq.heappush(heap, (t[c] - t[a], a, c))
+        return table.loc[kept, ["unit", "t", "event_id"]]
+
+    return runs.groupBy("unit", "island").applyInPandas(walk, events.select("unit", "t", "event_id").schema)

@@ -514,3 +514,78 @@ def _(s, d):
 @query("plt_04", f"SELECT channel, round(quantile_cont(amp, 0.25), 6) AS q25, round(median(amp), 6) AS q50, round(quantile_cont(amp, 0.75), 6) AS q75, round(avg(amp), 6) AS mean FROM ({GDF}) GROUP BY 1")
 def _(s, d):
     return T.gdf(s, d).groupBy("channel").agg(*[F.round(F.percentile("amp", p), 6).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)], F.round(F.avg("amp"), 6).alias("mean"))
+
+
+# groups of events, alignment, chunks and rankings
+
+
+@query("det_05", f"""WITH g AS ({GDF}), x AS (SELECT *, CASE WHEN abs(amp) >= 50 THEN 1 ELSE 0 END AS big, CASE WHEN t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) <= 120 THEN 0 ELSE 1 END AS n FROM g),
+y AS (SELECT *, sum(n) OVER (PARTITION BY unit ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS i FROM x), z AS (SELECT *, max(big) OVER (PARTITION BY unit, i ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS inside, sum(big) OVER (PARTITION BY unit, i, channel) AS own FROM y),
+q AS (SELECT *, max(own) OVER (PARTITION BY unit, i) AS worst FROM z) SELECT unit, t, event_id FROM q WHERE inside = 0 OR worst < 2""")
+def _(s, d):
+    return K.without_oscillations(T.gdf(s, d), ["unit"], 120, 2, 50).select("unit", "t", "event_id")
+
+
+@query("win_03")
+def _(s, d):
+    return K.thin(T.gdf(s, d), 60)
+
+
+@query("win_05", f"SELECT event_id, unit, row_number() OVER (PARTITION BY unit ORDER BY amp DESC, event_id) AS place FROM ({GDF})")
+def _(s, d):
+    return T.gdf(s, d).select("event_id", "unit", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("amp"), "event_id")).cast("long").alias("place"))
+
+
+@query("win_07", f"SELECT channel, event_id, round(amp, 6) AS amp FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY amp DESC, event_id) AS k FROM ({GDF})) WHERE k <= 5")
+def _(s, d):
+    w = Window.partitionBy("channel").orderBy(F.desc("amp"), "event_id")
+    return T.gdf(s, d).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("channel", "event_id", F.round("amp", 6).alias("amp"))
+
+
+@query("wav_02", f"SELECT wf_id, round(min(x), 6) AS low, arg_min(k, (x, k)) AS low_at, round(max(x), 6) AS high, arg_min(k, (-x, k)) AS high_at FROM (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)) GROUP BY 1")
+def _(s, d):
+    return M.global_extremes(T.waveforms(s, d))
+
+
+@query("wav_03", f"SELECT wf_id, c AS channel, round(min(v[c * 16 + k]), 6) AS low, round(max(v[c * 16 + k]), 6) AS high FROM ({WAVES}), range(0, 4) r(c), range(1, 17) q(k) GROUP BY 1, 2")
+def _(s, d):
+    return M.extremes(T.waveforms(s, d), 4, 16).select("wf_id", "channel", "low", "high")
+
+
+@query("wav_11", f"""WITH m AS (SELECT wf_id, k, max(v[c * 16 + k]) AS x FROM ({WAVES}), range(0, 4) r(c), range(1, 17) q(k) GROUP BY 1, 2), p AS (SELECT wf_id, arg_min(k, (-x, k)) - 9 AS lag FROM m GROUP BY 1)
+SELECT wf_id, -lag AS tau, c * 16 + k - 1 AS pos, CASE WHEN k + lag BETWEEN 1 AND 16 THEN round(v[c * 16 + k + lag], 6) ELSE 0 END AS x FROM ({WAVES}) JOIN p USING (wf_id), range(0, 4) r(c), range(1, 17) q(k)""")
+def _(s, d):
+    x = M.align_on_max(T.waveforms(s, d), 4, 16, 8).select("wf_id", F.col("tau").cast("long").alias("tau"), F.posexplode("v").alias("p", "y"))
+    return x.select("wf_id", "tau", F.col("p").cast("long").alias("pos"), F.round("y", 6).alias("x"))
+
+
+@query("wav_20", f"WITH m AS (SELECT unit, k - 1 AS pos, avg(v[k]) AS x FROM ({WAVES}), range(1, 65) r(k) GROUP BY 1, 2) SELECT CAST(floor(pos / 16) AS BIGINT) AS channel, t - 4 + pos % 16 AS t, round(sum(x), 5) AS v FROM ({GDF}) g JOIN m ON m.unit = g.unit % 10 GROUP BY 1, 2")
+def _(s, d):
+    x = T.waveforms(s, d).select("unit", F.posexplode("v").alias("p", "y")).groupBy("unit", F.col("p").cast("long").alias("pos")).agg(F.avg("y").alias("mean"))
+    return M.superpose(T.gdf(s, d).withColumn("unit", F.col("unit") % 10), x, 16, 4).withColumn("v", F.round("v", 5))
+
+
+@query("agg_04", f"SELECT unit, t + channel * 100000 AS t, event_id FROM ({GDF})")
+def _(s, d):
+    return T.gdf(s, d).select("unit", (F.col("t") + F.col("channel").cast("long") * 100000).alias("t"), "event_id")
+
+
+@query("agg_20", f"WITH x AS (SELECT wf_id, c, max(abs(v[c * 16 + k])) AS a FROM ({WAVES}), range(0, 4) r(c), range(1, 17) q(k) GROUP BY 1, 2), p AS (SELECT wf_id, arg_min(c, (-a, c)) AS channel FROM x GROUP BY 1) SELECT channel, count(*) AS n FROM p GROUP BY 1")
+def _(s, d):
+    return M.max_channel(T.waveforms(s, d), 4, 16).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("plt_02", f"SELECT unit, event_id FROM (SELECT unit, event_id, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS isi FROM ({GDF})) WHERE isi <= 600")
+def _(s, d):
+    return E.isi(T.gdf(s, d)).filter("isi <= 600").select("unit", "event_id")
+
+
+@query("plt_04", f"SELECT channel, round(quantile_cont(amp, 0.25), 6) AS q25, round(quantile_cont(amp, 0.5), 6) AS q50, round(quantile_cont(amp, 0.75), 6) AS q75, round(avg(amp), 6) AS mean FROM ({GDF}) GROUP BY 1")
+def _(s, d):
+    return T.gdf(s, d).groupBy("channel").agg(*[F.round(F.percentile("amp", p / 100), 6).alias(f"q{p}") for p in (25, 50, 75)], F.round(F.avg("amp"), 6).alias("mean"))
+
+
+@query("msc_02", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x), c AS (SELECT k FROM n, range(0, 1000000) r(k) WHERE k <= (n - 1) // 1000) SELECT channel, k AS chunk, count(*) AS n, count(*) FILTER (t BETWEEN k * 1000 + 1 AND (k + 1) * 1000) AS n_core, sum(v) AS total FROM x JOIN c ON t BETWEEN k * 1000 - 19 AND (k + 1) * 1000 + 20 GROUP BY 1, 2")
+def _(s, d):
+    x = T.signal(s, d)
+    return M.chunks(x, x.agg(F.max("t")).first()[0] or 0, 1000, 20).groupBy("channel", "chunk").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum("v").alias("total"))
