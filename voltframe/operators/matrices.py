@@ -126,11 +126,15 @@ def overlaps(t: DataFrame) -> DataFrame:
     return _pairs(t).select("u1", "u2", F.round(100 * A.cosine(F.col("v1"), F.col("v2")), 5).alias("overlap"))
 
 
+#: Templates that may be broadcast (a few MB with their shifts); a larger bank is spread over tasks.
+BANK = 2000
+
+
 def match_templates(waves: DataFrame, t: DataFrame, max_shift: int) -> DataFrame:
     """Best template and shift of each waveform by dot product; ties go to the smaller shift, then unit."""
     shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("tau"), A.shift(F.col("v"), k).alias("f")) for k in range(-max_shift, max_shift + 1)])).alias("x")
     bank = t.select("unit", shifts).select("unit", "x.tau", "x.f")
-    scored = waves.select("wf_id", "v").join(F.broadcast(bank)).select("wf_id", "unit", "tau", A.dot(F.col("v"), F.col("f")).alias("score"))
+    scored = waves.select("wf_id", "v").crossJoin(F.broadcast(bank) if t.count() <= BANK else bank).select("wf_id", "unit", "tau", A.dot(F.col("v"), F.col("f")).alias("score"))
     best = scored.groupBy("wf_id").agg(F.min_by(F.struct("unit", "tau", "score"), F.struct(-F.round("score", 6), F.abs("tau"), "tau", "unit")).alias("m"))
     return best.select("wf_id", "m.unit", "m.tau", F.round("m.score", 5).alias("score"))
 
@@ -209,3 +213,13 @@ def chunks(signal: DataFrame, length: int, size: int, overlap: int) -> DataFrame
     first, last = F.floor((F.col("t") - 1 - overlap) / size), F.floor((F.col("t") - 1 + overlap) / size)
     spread = signal.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit((length - 1) // size).cast("long")))))
     return spread.withColumn("core", F.floor((F.col("t") - 1) / size) == F.col("chunk"))
+
+
+def classify(waves: DataFrame, t: DataFrame, max_shift: int, prior: float) -> DataFrame:
+    """Template with the largest discriminant, dot product - energy / 2 + log(prior), at any shift; unit 0 (noise) if it is not above 0."""
+    shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("tau"), A.shift(F.col("v"), k).alias("f")) for k in range(-max_shift, max_shift + 1)])).alias("x")
+    bank = t.select("unit", (A.dot(F.col("v"), F.col("v")) / 2 - F.log(F.lit(prior))).alias("cost"), shifts).select("unit", "cost", "x.tau", "x.f")
+    pairs = waves.select("wf_id", "v").crossJoin(F.broadcast(bank) if t.count() <= BANK else bank)
+    scored = pairs.select("wf_id", "unit", "tau", (A.dot(F.col("v"), F.col("f")) - F.col("cost")).alias("d"))
+    best = scored.groupBy("wf_id").agg(F.min_by(F.struct("unit", "tau", "d"), F.struct(-F.round("d", 6), F.abs("tau"), "tau", "unit")).alias("m"))
+    return best.select("wf_id", F.when(F.round("m.d", 6) > 0, F.col("m.unit")).otherwise(0).cast("long").alias("unit"), "m.tau", F.round("m.d", 5).alias("d"))

@@ -589,3 +589,9 @@ def _(s, d):
 def _(s, d):
     x = T.signal(s, d)
     return M.chunks(x, x.agg(F.max("t")).first()[0] or 0, 1000, 20).groupBy("channel", "chunk").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum("v").alias("total"))
+
+
+@query("clu_06", f"WITH m AS {_MEANS}, en AS (SELECT unit, sum(x * x) / 2 - ln(0.9) AS cost FROM m GROUP BY 1), w AS (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)), z AS (SELECT w.wf_id, m.unit, s, sum(w.x * m.x) AS score FROM w CROSS JOIN range(-2, 3) q(s) JOIN m ON m.k = w.k - s GROUP BY 1, 2, 3), b AS (SELECT wf_id, unit, s, score - cost AS d FROM z JOIN en USING (unit)), o AS (SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY round(d, 6) DESC, abs(s), s, unit) AS r FROM b) SELECT wf_id, CASE WHEN round(d, 6) > 0 THEN CAST(unit + 1 AS BIGINT) ELSE 0 END AS unit, s AS tau, round(d, 5) AS d FROM o WHERE r = 1")
+def _(s, d):
+    w = T.waveforms(s, d).withColumn("unit", F.col("unit") + 1)
+    return M.classify(w, M.templates(w), 2, 0.9)
