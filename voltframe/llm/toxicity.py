@@ -15,6 +15,7 @@ read; labels never enter a score.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,54 +79,62 @@ class Model:
         return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.3, sparsity: float = 2e-2, min_docs: int = 3) -> Model:
-    """Maximises the noisy-or likelihood of document labels with proximal Adagrad; small weights stay at zero."""
+def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 120, rate: float = 0.3, sparsity: float = 2e-2, min_docs: int = 3) -> Model:
+    """Maximises the noisy-or likelihood of (text, label) rows with proximal Adagrad; small weights stay at zero.
+
+    Rows are read once. A token is kept as the number of its word, and features once for each distinct word, so
+    that memory is eight bytes a token and no text is held.
+    """
     import hashlib
     from array import array
 
     import numpy as np
 
-    y = np.array(labels)
-    if not len(y) or y.min() == y.max():
-        return Model(-40.0, np.zeros(SLOTS, np.float32), "none")
-    known: dict[str, list[int]] = {}
-    features, sentence_of, doc_of, sentences = array("i"), array("i"), [], 0
-    for d, t in enumerate(texts):
-        words = 0
+    number: dict[str, int] = {}
+    of_word: list[list[int]] = []
+    word, sentence_of, doc_of, labels = array("i"), array("i"), array("i"), array("b")
+    seen = np.zeros(SLOTS, np.int64)
+    for d, (t, label) in enumerate(rows):
+        labels.append(label)
+        words, own = 0, set()
         for tok in _tokens(t):
             if tok[0] in _END or words == MAX_WORDS:
                 if words:
                     doc_of.append(d)
-                    sentences += 1
                 words = 0
             if tok[0] in _END:
                 continue
-            if tok not in known:
-                known[tok] = word_features(tok)
-            features.extend(known[tok])
-            sentence_of.extend([sentences] * len(known[tok]))
+            k = number.setdefault(tok, len(number))
+            if k == len(of_word):
+                of_word.append(word_features(tok))
+            own.update(of_word[k])
+            word.append(k)
+            sentence_of.append(len(doc_of))
             words += 1
         if words:
             doc_of.append(d)
-            sentences += 1
-    f, s, doc = np.array(features, np.int32), np.array(sentence_of, np.int32), np.array(doc_of, np.int32)
-    del features, sentence_of
+        seen[list(own)] += 1
+    y, doc, sentences = np.array(labels, np.int64), np.array(doc_of, np.int32), len(doc_of)
+    if not len(y) or y.min() == y.max():
+        return Model(-40.0, np.zeros(SLOTS, np.float32), "none")
+    vocabulary, number = len(number), {}
+    t, s = np.frombuffer(word, np.int32), np.frombuffer(sentence_of, np.int32)
+    owner = np.repeat(np.arange(vocabulary, dtype=np.int32), [len(x) for x in of_word])
+    f = np.array([x for own in of_word for x in own], np.int32)
     # a feature seen in fewer documents than that says nothing about others
-    pair = np.unique(doc[s].astype(np.int64) * SLOTS + f)
-    seen = np.bincount(pair % SLOTS, minlength=SLOTS)
     keep = seen[f] >= min_docs
-    f, s = f[keep], s[keep]
+    f, owner = f[keep], owner[keep]
     w, bias, n = np.zeros(SLOTS), -9.0, len(y)
     gw, gb = np.full(SLOTS, 1e-8), 1e-8
     scale = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y == 0).sum()))) / n
     for _ in range(rounds):
-        z = bias + np.bincount(s, w[f], minlength=sentences)
+        z = bias + np.bincount(s, np.bincount(owner, w[f], minlength=vocabulary)[t], minlength=sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         whole = 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
         whole = np.clip(whole, 1e-9, 1 - 1e-9)
         factor = np.where(y > 0, -(1 - whole) / whole, 1.0) * scale
         g = p * factor[doc]
-        grad = np.bincount(f, g[s], minlength=SLOTS)
+        grad = np.bincount(f, np.bincount(t, g[s], minlength=vocabulary)[owner], minlength=SLOTS)
         gw += grad * grad
         gb += g.sum() ** 2
         step = rate / np.sqrt(gw)
@@ -145,8 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # at most 2 * (max_toxic + max_clean) identifiers are broadcast and half as many texts collected
     rows = docs.select(F.col(doc_id), F.col(text).alias("t")).filter(F.length("t").between(1, max_chars)).join(chosen, doc_id)
     parts = [rows.filter(F.col("y") == y).orderBy(order, doc_id, "t").limit(n) for y, n in most]
-    got = [r for p in parts for r in p.select("t", "y").toLocalIterator()]
-    return fit([r[0] for r in got], [r[1] for r in got])
+    return fit((r[0], r[1]) for p in parts for r in p.select("t", "y").toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), sentences: bool = False, threshold: float = 0.3) -> DataFrame:
