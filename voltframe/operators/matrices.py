@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -111,9 +111,47 @@ def templates(waves: DataFrame) -> DataFrame:
     return m.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
 
 
+#: Templates that may be broadcast (a few MB with their shifts); a larger bank is spread over tasks.
+BANK = 2000
+
+
 def _pairs(t: DataFrame) -> DataFrame:
-    """Pairs of templates: hundreds of units at most, so the smaller copy is sent along."""
-    return t.select(F.col("unit").alias("u1"), F.col("v").alias("v1")).join(F.broadcast(t.select(F.col("unit").alias("u2"), F.col("v").alias("v2"))), F.col("u1") < F.col("u2"))
+    """Pairs of templates; a bank of at most BANK is sent along."""
+    right = t.select(F.col("unit").alias("u2"), F.col("v").alias("v2"))
+    return t.select(F.col("unit").alias("u1"), F.col("v").alias("v1")).join(F.broadcast(right) if t.count() <= BANK else right, F.col("u1") < F.col("u2"))
+
+
+def _lagged(tf: int, tau) -> Column:
+    """Sum over channels and times of v1 at a time tau later than v2."""
+    at = lambda k: F.when((k % tf - tau).between(0, tf - 1), F.get("v1", k) * F.get("v2", k - tau)).otherwise(0.0)
+    return F.aggregate(F.sequence(F.lit(0), F.size("v1") - 1), F.lit(0.0), lambda acc, k: acc + at(k))
+
+
+def _per_shift(pairs: DataFrame, tf: int) -> DataFrame:
+    return pairs.withColumn("tau", F.explode(F.sequence(F.lit(1 - tf), F.lit(tf - 1)))).withColumn("c", _lagged(tf, F.col("tau")))
+
+
+def cross_covariances(t: DataFrame, n: int, tf: int) -> DataFrame:
+    """Largest mean over channels of the cross-covariance of each pair, by both standard deviations, and its shift (the first of equals)."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    centred = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.transform(F.slice("v", c * tf + 1, tf), lambda x: x - mean(F.slice("v", c * tf + 1, tf)))))
+    spread = F.sqrt(F.aggregate(F.transform("v", lambda x: x - mean(F.col("v"))), F.lit(0.0), lambda a, x: a + x * x) / (F.size("v") - 1))
+    sd = t.select("unit", spread.alias("sd"))
+    best = _per_shift(_pairs(t.select("unit", centred.alias("v"))), tf).groupBy("u1", "u2").agg(F.max_by(F.struct("c", "tau"), F.struct(F.round("c", 9), -F.col("tau"))).alias("x"))
+    both = best.join(sd.select(F.col("unit").alias("u1"), F.col("sd").alias("sd1")), "u1").join(sd.select(F.col("unit").alias("u2"), F.col("sd").alias("sd2")), "u2")
+    return both.select("u1", "u2", F.col("x.tau").cast("long").alias("tau"), F.round(F.col("x.c") / (tf * n * F.col("sd1") * F.col("sd2")), 5).alias("xc"))
+
+
+def cross_differences(t: DataFrame, tf: int, most: int = 2) -> DataFrame:
+    """Smallest squared distance of each pair over shifts, its shift (the first of equals), and the largest absolute
+    difference at that shift, without the edges; beyond `most` the latter is taken unshifted."""
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    shifted = _per_shift(_pairs(t), tf).withColumn("d", square("v1") - 2 * F.col("c") + square("v2"))
+    best = shifted.groupBy("u1", "u2").agg(F.min_by(F.struct("d", "tau", "v1", "v2"), F.struct(F.round("d", 9), "tau")).alias("x")).select("u1", "u2", "x.*")
+    by = F.when(F.abs("tau") <= most, F.col("tau")).otherwise(0)
+    inside = F.filter(F.sequence(F.lit(0), F.size("v1") - 1), lambda k: (k % tf).between(F.abs(by), tf - 1 - F.abs(by)))
+    gap = F.array_max(F.transform(inside, lambda k: F.abs(F.get("v1", k) - F.get("v2", k - by))))
+    return best.select("u1", "u2", F.col("tau").cast("long").alias("tau"), F.round("d", 5).alias("d"), F.round(gap, 5).alias("max_abs"))
 
 
 def shifted_distances(t: DataFrame, max_shift: int) -> DataFrame:
@@ -126,10 +164,6 @@ def overlaps(t: DataFrame) -> DataFrame:
     return _pairs(t).select("u1", "u2", F.round(100 * A.cosine(F.col("v1"), F.col("v2")), 5).alias("overlap"))
 
 
-#: Templates that may be broadcast (a few MB with their shifts); a larger bank is spread over tasks.
-BANK = 2000
-
-
 def match_templates(waves: DataFrame, t: DataFrame, max_shift: int) -> DataFrame:
     """Best template and shift of each waveform by dot product; ties go to the smaller shift, then unit."""
     shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("tau"), A.shift(F.col("v"), k).alias("f")) for k in range(-max_shift, max_shift + 1)])).alias("x")

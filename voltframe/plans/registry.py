@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import matrices as M
@@ -334,6 +335,22 @@ def _(s, d):
     return M.shifted_distances(M.templates(T.waveforms(s, d)), 3)
 
 
+_LAGS = f"""m AS {_MEANS}, p AS (SELECT unit, CAST(floor((k - 1) / 16) AS INTEGER) AS c, (k - 1) % 16 AS i, x FROM m), n AS (SELECT *, x - avg(x) OVER (PARTITION BY unit, c) AS y, stddev_samp(x) OVER (PARTITION BY unit) AS sd FROM p),
+l AS (SELECT a.unit AS u1, b.unit AS u2, a.i - b.i AS tau, sum(a.x * b.x) AS xx, sum(a.y * b.y) AS yy, max(a.sd * b.sd) AS sd FROM n a JOIN n b ON a.c = b.c AND a.unit < b.unit GROUP BY 1, 2, 3)"""
+
+
+@query("wav_15", f"WITH {_LAGS}, r AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY round(yy, 9) DESC, tau) AS r FROM l) SELECT u1, u2, CAST(tau AS BIGINT) AS tau, round(yy / (64 * sd), 5) AS xc FROM r WHERE r = 1")
+def _(s, d):
+    return M.cross_covariances(M.templates(T.waveforms(s, d)), 4, 16)
+
+
+@query("wav_16", f"""WITH {_LAGS}, e AS (SELECT unit, sum(x * x) AS e FROM p GROUP BY 1), q AS (SELECT l.u1, l.u2, tau, a.e - 2 * xx + b.e AS d FROM l JOIN e a ON a.unit = u1 JOIN e b ON b.unit = u2),
+r AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY round(d, 9), tau) AS r FROM q), z AS (SELECT *, CASE WHEN abs(tau) <= 2 THEN tau ELSE 0 END AS s FROM r WHERE r = 1)
+SELECT z.u1, z.u2, CAST(z.tau AS BIGINT) AS tau, round(any_value(z.d), 5) AS d, round(max(abs(a.x - b.x)), 5) AS max_abs FROM z JOIN p a ON a.unit = z.u1 JOIN p b ON b.unit = z.u2 AND b.c = a.c AND b.i = a.i - z.s WHERE a.i BETWEEN abs(z.s) AND 15 - abs(z.s) GROUP BY 1, 2, 3""")
+def _(s, d):
+    return M.cross_differences(M.templates(T.waveforms(s, d)), 16)
+
+
 @query("wav_18", f"WITH m AS {_MEANS} SELECT a.unit AS u1, b.unit AS u2, round(100 * sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 5) AS overlap FROM m a JOIN m b ON a.k = b.k AND a.unit < b.unit GROUP BY 1, 2")
 def _(s, d):
     return M.overlaps(M.templates(T.waveforms(s, d)))
@@ -345,6 +362,39 @@ def _(s, d):
     return M.match_templates(w, M.templates(w), 2)
 
 
+# evaluation: two thinned copies of the event table, the second 2 later, stand for truth and result
+
+
+def _truth_and_result(s, d):
+    g = T.gdf(s, d).select("unit", "t", "event_id")
+    return g.filter("event_id % 3 != 0"), g.filter("event_id % 3 != 1").select((F.col("unit") + 100).alias("unit"), (F.col("t") + 2).alias("t"), "event_id")
+
+
+@query("join_05")
+def _(s, d):
+    return V.compare(*_truth_and_result(s, d), 5, 3)
+
+
+@query("eva_01")
+def _(s, d):
+    return V.assign(V.compare(*_truth_and_result(s, d), 5), "error")
+
+
+@query("eva_05")
+def _(s, d):
+    return V.result_table(*_truth_and_result(s, d), 5, 30)
+
+
+@query("eva_06")
+def _(s, d):
+    return V.similarity(V.compare(*_truth_and_result(s, d), 5))
+
+
+@query("eva_07")
+def _(s, d):
+    return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 30))
+
+
 # event-table aggregation
 
 
