@@ -121,14 +121,14 @@ def _pairs(t: DataFrame) -> DataFrame:
     return t.select(F.col("unit").alias("u1"), F.col("v").alias("v1")).join(F.broadcast(right) if t.count() <= BANK else right, F.col("u1") < F.col("u2"))
 
 
-def _lagged(tf: int, tau) -> Column:
+def _dot_at(tf: int, tau) -> Column:
     """Sum over channels and times of v1 at a time tau later than v2."""
     at = lambda k: F.when((k % tf - tau).between(0, tf - 1), F.get("v1", k) * F.get("v2", k - tau)).otherwise(0.0)
     return F.aggregate(F.sequence(F.lit(0), F.size("v1") - 1), F.lit(0.0), lambda acc, k: acc + at(k))
 
 
 def _per_shift(pairs: DataFrame, tf: int) -> DataFrame:
-    return pairs.withColumn("tau", F.explode(F.sequence(F.lit(1 - tf), F.lit(tf - 1)))).withColumn("c", _lagged(tf, F.col("tau")))
+    return pairs.withColumn("tau", F.explode(F.sequence(F.lit(1 - tf), F.lit(tf - 1)))).withColumn("c", _dot_at(tf, F.col("tau")))
 
 
 def cross_covariances(t: DataFrame, n: int, tf: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import evaluation as V
 from ..operators import events as E
+from ..operators import fits as L
 from ..operators import intervals as I
 from ..operators import matrices as M
 from ..operators import walks as K
@@ -395,6 +396,23 @@ def _(s, d):
     return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 30))
 
 
+@query("mrg_04", f"SELECT 1000 * (unit % 4) + unit AS unit, t, event_id, unit % 3 = 1 AS discarded FROM ({GDF})")
+def _(s, d):
+    local = T.gdf(s, d).select((F.col("unit") % 4).alias("leg"), "unit", "t", "event_id")
+    return L.final_units(local, local.filter("unit % 3 = 1").select("leg", "unit"))
+
+
+@query("wav_12")
+def _(s, d):
+    return L.align_on_mean(T.waveforms(s, d), 4, 16).select("wf_id", "tau")
+
+
+@query("fit_01")
+def _(s, d):
+    hours = T.gdf(s, d).groupBy("unit", (F.floor(F.col("t") / 60) % 24).alias("x")).agg(F.count("*").alias("y"))
+    return L.fit_curves(hours, "gaussian", "unit").select("unit", "residual")
+
+
 # event-table aggregation
 
 
