@@ -7,10 +7,11 @@ A word outside it has P(unknown | state) (c + 1) / (U + D + 1), with its count c
 words D of that kind in training.
 
 Training is truncated backpropagation over windows of `WINDOW` steps with the state carried from window to window.
-A first model is fitted on at most `SEED_DOCS` documents; then, in each of `ROUNDS` rounds, every partition goes on
+A first model is fitted on at most `SEED_DOCS` documents; then, in each of `STRIDE` rounds, every partition goes on
 training on its own share of the documents (hash of the identifier mod `STRIDE` is the round), and weights are
 averaged by tokens seen, in a tree, so that the driver gets one model whatever the number of partitions. The
-share is a fixed fraction of the corpus at every size. Scoring runs whole documents, longest first, in windows with
+rounds together use every training document once. A round has no more tasks than it needs, as each sends its
+weights. Scoring runs whole documents, longest first, in windows with
 the state carried over, so the result is the log-likelihood of the complete text.
 
 Counts of the `HEAD` most frequent words are broadcast (a fixed bound); words beyond them are joined by shuffle.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import held_out, materialize
 
 WORDS, CLASSES, HIDDEN = 1022, 32, 24
-WINDOW, LANES, SEED_DOCS, SEED_CHARS, ROUNDS, STRIDE = 16, 128, 400, 20_000, 2, 8
+WINDOW, LANES, SEED_DOCS, SEED_CHARS, STRIDE = 16, 128, 400, 20_000, 8
 HEAD = 1 << 17
 END, UNKNOWN = 0, 1
 END_TOKEN = b""
@@ -265,7 +266,7 @@ def _average(parts: DataFrame, fan: int = 16) -> list:
     return parts.withColumn("g", F.col("part") % fan).groupBy("chunk", "g").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
 
 
-def train(rows: DataFrame, index: dict[bytes, int], rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
+def train(rows: DataFrame, index: dict[bytes, int], stride: int = STRIDE) -> Network:
     """rows: pick (a hash) and t of the training documents."""
     import numpy as np
 
@@ -274,7 +275,8 @@ def train(rows: DataFrame, index: dict[bytes, int], rounds: int = ROUNDS, stride
     seed = rows.filter(F.length(F.coalesce("t", F.lit(""))) <= SEED_CHARS).orderBy("pick", "t").limit(SEED_DOCS).select("t").collect()
     net.train([to_ids(r[0], index) for r in seed], lanes=32, passes=2)
     pieces = 8
-    for k in range(rounds):
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // stride))
+    for k in range(stride):
         shared = spark.sparkContext.broadcast((index, net))
 
         def run(batches, shared=shared):
@@ -290,7 +292,7 @@ def train(rows: DataFrame, index: dict[bytes, int], rounds: int = ROUNDS, stride
                 parts = np.array_split(own.flat().astype("<f8") * seen, pieces)
                 yield pa.RecordBatch.from_pydict({"chunk": list(range(pieces)), "part": [TaskContext.get().partitionId()] * pieces, "weight": [float(seen)] * pieces, "values": [x.tobytes() for x in parts]})
 
-        share = rows.filter(F.pmod("pick", F.lit(stride)) == k).select("t")
+        share = rows.filter(F.pmod("pick", F.lit(stride)) == k).select("t").coalesce(tasks)
         got = _average(share.mapInArrow(run, "chunk long, part long, weight double, values binary"))
         if got:
             net.load(np.concatenate([np.frombuffer(r["values"], "<f8") / r["weight"] for r in got]))
