@@ -16,3 +16,22 @@ def test_every_share_is_trained_on(spark, pick):
     index = {gru_lm.END_TOKEN: gru_lm.END, b"one": 2, b"two": 3, b"three": 4}
     net = gru_lm.train(spark.createDataFrame([(pick, text)], "pick long, t string"), index)
     assert np.abs(net.flat() - gru_lm.Network(len(index) + 1).flat()).max() > 1e-3
+
+
+def test_vocabulary_is_large():
+    index = gru_lm.vocabulary([b"w%d" % k for k in range(50_000)])
+    assert len(index) >= 10 * 1022 and index[b"w9000"] != gru_lm.UNKNOWN
+    assert gru_lm.Network(len(index) + 1).size <= 2 * gru_lm.CLASSES
+
+
+def test_rare_words_are_learned_in_context():
+    rng = random.Random(3)
+    # word 2k is always followed by word 2k + 1, all of them far beyond the first thousand places
+    pairs = [5000 + 2 * rng.randrange(20) for _ in range(12_000)]
+    net = gru_lm.Network(16_384)
+    docs = [np.array([x for p in pairs[at : at + 50] for x in (p, p + 1)]) for at in range(0, len(pairs), 50)]
+    before = net.log10_likelihoods(docs[:5]).sum()
+    for _ in range(3):
+        net.train(docs, lanes=16)
+    # 10 nats a pair and word when untrained; about ln 20 a pair when learned
+    assert net.log10_likelihoods(docs[:5]).sum() > before / 3

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize
 
-WORDS, CLASSES, HIDDEN = 1022, 32, 24
+WORDS, CLASSES, HIDDEN = 16_382, 128, 24
 WINDOW, LANES, SEED_DOCS, SEED_CHARS, STRIDE = 16, 128, 400, 20_000, 8
 HEAD = 1 << 17
 END, UNKNOWN = 0, 1
@@ -39,6 +39,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().translate(_LOWER).split(), END_TOKEN]
 
 
+def vocabulary(top: list[bytes], words: int = WORDS) -> dict[bytes, int]:
+    """Places of the network's symbols; top: tokens by falling count."""
+    return {END_TOKEN: END} | {w: k for k, w in enumerate([w for w in top if w != END_TOKEN][:words], 2)}
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """token (binary), c; rows has one text column. Counted in the worker before the shuffle."""
 
@@ -152,14 +157,17 @@ class Network:
         return (lp, dh, g) if grad else lp
 
     def gradients(self, ids, target, h, reset):
-        """Truncated backpropagation through one window: (log-probability, gradients, last state)."""
+        """Truncated backpropagation through one window: (log-probability, gradients, last state).
+
+        The gradient of the embeddings is (words of the window, rows).
+        """
         import numpy as np
 
         n, p = self.hidden, self.p
         hs, kept = self.states(ids, h, reset, keep=True)
         lp, dh, g = self.log_probs(hs.reshape(-1, n), target.reshape(-1), grad=True)
         dh = dh.reshape(hs.shape)
-        g |= {"e": np.zeros_like(p["e"]), "u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
+        g |= {"u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
         carry, pre = np.zeros_like(h), []
         for t in range(len(ids) - 1, -1, -1):
             h0, z, r, m, an = kept[t]
@@ -176,7 +184,7 @@ class Network:
         order = np.argsort(ids.reshape(-1), kind="stable")
         own = ids.reshape(-1)[order]
         first = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1))
-        g["e"][own[first]] = np.add.reduceat(pre[order], first, axis=0)
+        g["e"] = own[first], np.add.reduceat(pre[order], first, axis=0)
         return lp.sum(), g, hs[-1]
 
     def train(self, docs: list, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01, passes: int = 1) -> int:
@@ -204,10 +212,14 @@ class Network:
                 _, g, h = self.gradients(source[at : at + window], target[at : at + window], h, live[at : at + window])
                 step += 1
                 for k, x in self.p.items():
-                    gk = np.clip(g[k] / (lanes * window) * 50, -1, 1)
-                    m[k] += 0.1 * (gk - m[k])
-                    v[k] += 0.01 * (gk * gk - v[k])
-                    x -= (rate * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    # embeddings of words outside the window rest, so that a step does not cost the vocabulary
+                    at_k, gk = g[k] if k == "e" else (slice(None), g[k])
+                    gk = np.clip(gk * np.float32(50 / (lanes * window)), -1, 1)
+                    mk, vk = m[k][at_k], v[k][at_k]
+                    mk += np.float32(0.1) * (gk - mk)
+                    vk += np.float32(0.01) * (gk * gk - vk)
+                    m[k][at_k], v[k][at_k] = mk, vk
+                    x[at_k] -= np.float32(rate / (1 - 0.9**step)) * mk / (np.sqrt(vk * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
         return passes * sum(map(len, docs))
 
     def log10_likelihoods(self, docs: list, group: int = 512, window: int = WINDOW):
@@ -244,7 +256,7 @@ class Network:
                 hs, _ = self.states(source, h[:n])
                 held.append((hs[real], target[real], np.broadcast_to(np.arange(n), target.shape)[real]))
                 # small windows share one pass over the classes
-                if sum(len(x[1]) for x in held) >= 4096:
+                if sum(len(x[1]) for x in held) >= 16384:
                     flush()
                 h, before = hs[-1], safe[-1]
             flush()
@@ -253,14 +265,17 @@ class Network:
 
 
 def _average(parts: DataFrame, fan: int = 16) -> list:
-    """Sums of (chunk, part, weight, values) over parts, in two levels; one row a chunk."""
+    """Weighted means of (chunk, part, weight, values) over parts, in two levels; one row a chunk."""
 
     def add(key, table):
         import numpy as np
         import pandas as pd
 
-        total = np.sum([np.frombuffer(v, "<f8") for v in table["values"]], axis=0)
-        return pd.DataFrame({"chunk": [key[0]], "part": [0], "weight": [float(table["weight"].sum())], "values": [total.tobytes()]})
+        total = np.zeros(len(table["values"].iloc[0]) // 4)
+        for v, w in zip(table["values"], table["weight"], strict=True):
+            total += np.frombuffer(v, "<f4") * w
+        weight = float(table["weight"].sum())
+        return pd.DataFrame({"chunk": [key[0]], "part": [0], "weight": [weight], "values": [(total / weight).astype("<f4").tobytes()]})
 
     schema = "chunk long, part long, weight double, values binary"
     return parts.withColumn("g", F.col("part") % fan).groupBy("chunk", "g").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
@@ -289,13 +304,13 @@ def train(rows: DataFrame, index: dict[bytes, int], stride: int = STRIDE) -> Net
             for b in batches:
                 seen += own.train([to_ids(t, words) for t in b.column(0).to_pylist()])
             if seen:
-                parts = np.array_split(own.flat().astype("<f8") * seen, pieces)
+                parts = np.array_split(own.flat().astype("<f4"), pieces)
                 yield pa.RecordBatch.from_pydict({"chunk": list(range(pieces)), "part": [TaskContext.get().partitionId()] * pieces, "weight": [float(seen)] * pieces, "values": [x.tobytes() for x in parts]})
 
         share = rows.filter(F.pmod("pick", F.lit(stride)) == k).select("t").coalesce(tasks)
         got = _average(share.mapInArrow(run, "chunk long, part long, weight double, values binary"))
         if got:
-            net.load(np.concatenate([np.frombuffer(r["values"], "<f8") / r["weight"] for r in got]))
+            net.load(np.concatenate([np.frombuffer(r["values"], "<f4") for r in got]))
         shared.unpersist()
     return net
 
@@ -310,7 +325,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     counts = materialize(token_counts(learned.select("t")), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
-    index = {END_TOKEN: END} | {w: k for k, w in enumerate([w for w, _ in top if w != END_TOKEN][:words], 2)}
+    index = vocabulary([w for w, _ in top], words)
     known = dict(top)
     rest, kinds = n - sum(c for w, c in top if w in index), v - sum(w in index for w, _ in top)
     net = train(learned, index)
