@@ -6,12 +6,12 @@ token place keeps a token that at least `min_docs` documents share there; any ot
 A line's template is the leaf with the generalised tokens. Templates with at least `min_constant` of their places
 constant that occur in `min_docs` documents or more are recurring, and their lines are dropped wherever they stand.
 
-A text that would lose more than `max_loss` of its tokens is a near copy of others as a whole, not a carrier of
-boilerplate: it is left as it is, for near-duplicate removal to decide about.
+Supports count classes of near copies (near_copies), not texts: texts that are copies of one another as a whole
+count once, so that their lines do not recur by that, and near-duplicate removal decides about them. A recurring line
+is dropped whatever its share of a text.
 
 Lines under `min_tokens` tokens carry too little to be called templates and stay. Null texts stay null; a text that
-loses all its lines becomes empty and is kept, its row too. Copies of a whole document within the corpus would
-make all their lines recur; so occurrences are counted over distinct texts. Ties do not arise, as the rules
+loses all its lines becomes empty and is kept, its row too. Ties do not arise, as the rules
 do not depend on order. Repeated rows are treated alike, other columns pass through, whatever their names.
 
 Nothing but hashes and counts is shuffled for lines that do not recur; a leaf is never gathered in one task:
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .near_copies import near_copies
 
-DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT, MAX_LOSS = 3, 5, 20, 0.6, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 20, 0.6
 #: Bits of the fixed-size filter that picks lines of busy leaves for the second scan; extra lines do no harm.
 FILTER_BITS = 1 << 22
 _SPECIAL = re.compile(r"[\d@:]")
@@ -58,8 +59,8 @@ def parse(text: str, depth: int, min_tokens: int):
 
 
 def parsed_lines(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """copy, leaf, line, place, size, total: every long enough line of each text, as hashes and numbers."""
-    names = ["copy", "leaf", "line", "place", "size", "total"]
+    """copy, leaf, line, place, size: every long enough line of each text, as hashes and numbers."""
+    names = ["copy", "leaf", "line", "place", "size"]
 
     def run(batches):
         import pyarrow as pa
@@ -67,8 +68,8 @@ def parsed_lines(docs: DataFrame, text: str, depth: int, min_tokens: int) -> Dat
         for b in batches:
             rows = []
             for t in set(b.column(0).to_pylist()):
-                copy, total = hash64(t), len(t.split())
-                rows += [(copy, leaf, hash64(" ".join(tokens)), k, len(tokens), total) for k, leaf, tokens in parse(t, depth, min_tokens)]
+                copy = hash64(t)
+                rows += [(copy, leaf, hash64(" ".join(tokens)), k, len(tokens)) for k, leaf, tokens in parse(t, depth, min_tokens)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
 
@@ -95,10 +96,30 @@ def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen)
     return docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInArrow(run, "leaf long, line long, tokens array<string>")
 
 
+def classed_texts(docs: DataFrame, text: str) -> DataFrame:
+    """copy (hash of the text), class: equal for texts that near copies connect."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).filter(F.col("t").isNotNull()), "texts")
+    named = near_copies(rows, "row", "t")
+    return rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class"))
+
+
+def supported(groups: DataFrame, by: list[str], pairs: DataFrame, min_docs: int) -> DataFrame:
+    """by, n_docs (at least): groups of lines (by, leaf, line, n) found in min_docs classes or more.
+
+    The classes of a group are counted only where neither its largest line proves enough nor the sum disproves it,
+    so that a line of many classes is never spread out.
+    """
+    sums = groups.groupBy(*by).agg(F.sum("n").alias("total"), F.max("n").alias("n_docs")).filter(F.col("total") >= min_docs)
+    open_ = groups.join(sums.filter(F.col("n_docs") < min_docs).select(*by), by, "left_semi").select(*dict.fromkeys([*by, "leaf", "line"]))
+    exact = open_.join(pairs, ["leaf", "line"]).select(*by, "class").distinct().groupBy(*by).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return sums.filter(F.col("n_docs") >= min_docs).select(*by, "n_docs").union(exact)
+
+
 def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """line, template, n_docs: hashes of the lines whose template recurs. n_docs counts texts per distinct line."""
+    """line, template, n_docs (at least): hashes of the lines whose template recurs in min_docs classes of texts."""
     spark = docs.sparkSession
-    counts = materialize(parsed.select("copy", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
+    pairs = materialize(parsed.select("copy", "leaf", "line").distinct().join(classed_texts(docs, text), "copy").select("leaf", "line", "class").distinct(), "pairs")
+    counts = materialize(pairs.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
     busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     # busy leaves as a bitmap of FILTER_BITS, whatever their number
     place = F.pmod("leaf", F.lit(FILTER_BITS))
@@ -111,19 +132,18 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", dept
     texts = line_texts(docs, text, depth, min_tokens, chosen).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = materialize(texts.join(counts, ["leaf", "line"]).join(busy.select("leaf"), "leaf", "left_semi"), "busy")
     spots = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
-    shared = spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+    shared = supported(spots, ["leaf", "at", "token"], pairs, min_docs).withColumnRenamed("n_docs", "support")
     kept = spots.join(shared, ["leaf", "at", "token"], "left").select("leaf", "line", "n", F.struct("at", F.when(F.col("support").isNotNull(), F.col("token")).otherwise("<*>").alias("token")).alias("x"), F.col("support").isNotNull().cast("int").alias("fixed"))
     general = kept.groupBy("leaf", "line", "n").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["token"])).alias("template"), F.avg("fixed").alias("constant"))
     general = general.filter(F.col("constant") >= min_constant)
-    totals = general.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    totals = supported(general, ["leaf", "template"], pairs, min_docs)
     return general.select("leaf", "line", "template").join(totals, ["leaf", "template"]).select("line", "template", "n_docs")
 
 
-def dropped_places(parsed: DataFrame, recurring: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
+def dropped_places(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
     """copy (hash of the text), places: numbers of the lines to drop, for texts that have any."""
-    found = parsed.select("copy", "line", "place", "size", "total").join(recurring.select("line"), "line", "left_semi").distinct()  # equal texts in several batches
-    sums = found.groupBy("copy").agg(F.array_sort(F.collect_list("place")).alias("places"), F.sum("size").alias("size"), F.first("total").alias("total"))
-    return sums.filter(F.col("size") <= F.col("total") * max_loss).select("copy", "places")
+    found = parsed.select("copy", "line", "place").join(recurring.select("line"), "line", "left_semi").distinct()  # equal texts in several batches
+    return found.groupBy("copy").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def drop_lines(docs: DataFrame, places: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
@@ -139,8 +159,8 @@ def drop_lines(docs: DataFrame, places: DataFrame, text: str = "text") -> tuple[
     return out.select(*docs.columns, total, dropped), total, dropped
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, max_loss: float = MAX_LOSS) -> tuple[DataFrame, str, str]:
+def dedup_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> tuple[DataFrame, str, str]:
     """drop_lines() of the lines whose template recurs."""
     parsed = materialize(parsed_lines(docs, text, depth, min_tokens), "parsed")
     recurring = recurring_lines(docs, parsed, text, depth, min_tokens, min_docs, min_constant)
-    return drop_lines(docs, dropped_places(parsed, recurring, max_loss), text)
+    return drop_lines(docs, dropped_places(parsed, recurring), text)
