@@ -537,7 +537,7 @@ def _(s, d):
 
 @query("clu_01")
 def _(s, d):
-    pc = M.principal_components(T.waveforms(s, d).filter("unit < 3"), 2)
+    pc = M.principal_components(T.waveforms(s, d), 2)
     return K.mean_shift(pc.select((F.col("wf_id") % 4).cast("int").alias("leg"), F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x")), 0.6)
 
 
