@@ -24,3 +24,12 @@ def test_recurring_lines_go_whatever_their_share_but_not_from_near_copies(spark)
     got = kept(spark, [*short, *copies])
     assert all(got[k] == short[k].split("\n")[1] for k in range(30))
     assert all(got[30 + k] == copies[k] for k in range(30))
+
+
+def test_long_lines_need_less_support(spark):
+    rng = random.Random(2)
+    long, middle, short = own(rng, 52), own(rng, 20), own(rng, 6)
+    texts = [own(rng, 80) for _ in range(8)]
+    texts = [t + ("\n" + long if k < 2 else "") + ("\n" + middle if k < 5 else "") + "\n" + short for k, t in enumerate(texts)]
+    got = kept(spark, texts)
+    assert all(long not in t and middle not in t and short in t for t in got.values())

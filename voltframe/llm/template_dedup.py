@@ -6,6 +6,9 @@ token place keeps a token that at least `min_docs` documents share there; any ot
 A line's template is the leaf with the generalised tokens. Templates with at least `min_constant` of their places
 constant that occur in `min_docs` documents or more are recurring, and their lines are dropped wherever they stand.
 
+A line that recurs as it is (masked) needs the less support the longer it is: min_docs * min_tokens / tokens classes,
+two at least. So 5 tokens need 20, 20 tokens 5 and 50 tokens 2.
+
 Supports count classes of near copies (near_copies), not texts: texts that are copies of one another as a whole
 count once, so that their lines do not recur by that, and near-duplicate removal decides about them. A recurring line
 is dropped whatever its share of a text.
@@ -116,10 +119,12 @@ def supported(groups: DataFrame, by: list[str], pairs: DataFrame, min_docs: int)
 
 
 def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """line, template, n_docs (at least): hashes of the lines whose template recurs in min_docs classes of texts."""
+    """line, template, n_docs (at least): hashes of the lines that recur, as templates or (template null) as they are."""
     spark = docs.sparkSession
     pairs = materialize(parsed.select("copy", "leaf", "line").distinct().join(classed_texts(docs, text), "copy").select("leaf", "line", "class").distinct(), "pairs")
     counts = materialize(pairs.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
+    sizes = parsed.groupBy("line").agg(F.first("size").alias("size"))
+    often = counts.filter("n > 1").join(sizes, "line").filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(min_docs * min_tokens) / F.col("size"))))
     busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     # busy leaves as a bitmap of FILTER_BITS, whatever their number
     place = F.pmod("leaf", F.lit(FILTER_BITS))
@@ -137,7 +142,8 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", dept
     general = kept.groupBy("leaf", "line", "n").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["token"])).alias("template"), F.avg("fixed").alias("constant"))
     general = general.filter(F.col("constant") >= min_constant)
     totals = supported(general, ["leaf", "template"], pairs, min_docs)
-    return general.select("leaf", "line", "template").join(totals, ["leaf", "template"]).select("line", "template", "n_docs")
+    by_template = general.select("leaf", "line", "template").join(totals, ["leaf", "template"]).select("line", "template", "n_docs")
+    return by_template.union(often.select("line", F.lit(None).cast("string"), "n"))
 
 
 def dropped_places(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
