@@ -53,12 +53,11 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._voltframe_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases now: it does so when the driver's garbage is collected."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column in `taken` has it (in any case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

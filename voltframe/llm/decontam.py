@@ -80,8 +80,11 @@ def find_hits(text: str | None, automaton, empty: bool) -> tuple[int, int, list[
     return len(words), int(hit.sum()), sorted({i for _, (_, ids) in found for i in ids}), spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings), spans (of the original text), and the columns in `keep`."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings), spans (of the original text), and the columns in `keep`.
+
+    `prefix` goes before the names of the four columns, for tables that have columns of these names to keep.
+    """
     bench = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).filter(F.col(item_text).isNotNull())
     size = bench.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     if size > max_benchmark_bytes:
@@ -101,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             rows = [find_hits(t, automaton, not shared.value) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in names] + [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([[{"start": int(s), "end": int(e)} for s, e in r[3]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[*names, "n_words", "n_hit", "items", "spans"],
+                names=[*names, *(prefix + x for x in ("n_words", "n_hit", "items", "spans"))],
             )
 
-    return kept.mapInArrow(scan, ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return kept.mapInArrow(scan, ", ".join(f"`{c}` {types[c]}" for c in names) + f", `{prefix}n_words` long, `{prefix}n_hit` long, `{prefix}items` array<string>, `{prefix}spans` array<struct<start: long, end: long>>")

@@ -1,16 +1,20 @@
 """Near copies: texts linked by an exact shingle similarity of at least `similarity`.
 
-A text's set holds the XXH64 hashes of its word shingles (fewer words: the whole sequence; no word: the empty
-set), words and hashes as in simhash. Equal sets are merged before anything is paired. Candidates share one of
-BANDS bands of ROWS minimum hashes each: a pair of similarity s is missed with a chance of (1 - s**ROWS)**BANDS,
-4 in 10,000 at 0.8 and none in practice at 0.9. Every candidate pair is decided by the Jaccard similarity of the
-two sets, so that no link is wrong.
+A text's set holds 64-bit hashes of its word shingles (fewer words: the whole sequence; no word: the empty set);
+words are runs of other than white space, A-Z lower-cased. Equal sets are merged before anything is paired.
+
+Candidates come from two searches. The covering SimHash tables of simhash.py give every pair of sets whose 64-bit
+fingerprints differ in `radius` bits or fewer. That misses most pairs at a similarity of 0.8, whose fingerprints differ
+in 10 bits at the median, so that BANDS bands of ROWS minimum hashes complement it: a pair of similarity s shares no
+band with a chance of (1 - s**ROWS)**BANDS, 4 in 10,000 at 0.8. Every candidate pair is decided by the Jaccard
+similarity of the two sets, so that no link is wrong.
 
 In each bucket every text is compared with the bucket's head first. Then pairs are compared whose texts are not
 yet connected; pairs within a component need no further link. So a large group of near copies costs its size, not
 its square, and the components are those of all candidate pairs. Only a bucket of many texts that are no copies of
 one another costs the square of its size. Components are transitive. Only the sets of texts that share a bucket
-are shuffled. Null and empty texts are equal; an empty table gives an empty result.
+are shuffled, and sets are compared by array functions, a pair at a time, so that long texts need no large batches.
+Null and empty texts are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,26 +22,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .simhash import _LOWER, _WORD, SEED, components
+from .common import drop, materialize, worker_cache
+from .simhash import RADIUS, SEED, bits_over_half, components, links, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+#: A worker forgets its words' hashes beyond this many.
+MAX_WORDS = 1_000_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE):
-    """Sorted distinct hashes of a text's shingles."""
+    """Sorted distinct hashes of a text's shingles: a polynomial of the hashes of their words."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = _WORD.findall(text.encode().translate(_LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
-    begin = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-    return np.unique(np.array([xxh64_intdigest(joined[a:z], SEED) for a, z in zip(begin, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    known = worker_cache("near_copies.words")
+    if len(known) > MAX_WORDS:
+        known.clear()
+    found = list(map(known.get, words))
+    if None in found:
+        for k, x in enumerate(found):
+            if x is None:
+                found[k] = known[words[k]] = xxh64_intdigest(words[k], SEED)
+    own, u = np.fromiter(found, np.uint64, len(found)), np.uint64
+    size = min(shingle, len(own))
+    h = np.zeros(len(own) - size + 1, u)
+    for k in range(size):
+        h = h * u(0x9E3779B97F4A7C15) + own[k : len(own) - size + 1 + k]
+    h = (h ^ (h >> u(31))) * u(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> u(32)))
 
 
 def similarity_of(a, b) -> float:
@@ -52,24 +67,21 @@ def similarity_of(a, b) -> float:
 
 
 def band_keys(own, bands: int = BANDS, rows: int = ROWS):
-    """One key a band: a hash of its minimum hashes."""
+    """One key a band: a hash of its minimum hashes. An odd factor permutes 32-bit values, and their order mixes all bits."""
     import numpy as np
 
-    rng = np.random.default_rng(SEED)
-    draw = rng.integers(0, 1 << 63, (3, bands * rows), dtype=np.int64).astype(np.uint64)
-    flip, factor = draw[0][:, None], draw[1][:, None] | np.uint64(1)
-    least = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(own), 2048):
-        # an odd factor permutes; the high half decides the order
-        x = (own[None, at : at + 2048] ^ flip) * factor
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        np.minimum(least, x.min(1), out=least)
-    return ((least ^ (least >> np.uint64(29))) * (draw[2] | np.uint64(1))).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
+    draw = np.random.default_rng(SEED).integers(0, 1 << 63, (3, bands * rows), dtype=np.int64).astype(np.uint64)
+    flip, factor = draw[0].astype(np.uint32)[:, None], draw[1].astype(np.uint32)[:, None] | np.uint32(1)
+    least = np.full(bands * rows, np.uint32(0xFFFFFFFF))
+    short = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        np.minimum(least, ((short[None, at : at + 512] ^ flip) * factor).min(1), out=least)
+    wide = least.astype(np.uint64) + np.uint64(1)
+    return ((wide * np.uint64(0x9E3779B97F4A7C15) ^ (wide << np.uint64(29))) * (draw[2] | np.uint64(1))).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, copy (hash of the set), n (its size), keys."""
+    """row, copy (hash of the set), n (its size), fp (SimHash of the set), keys."""
 
     def run(batches):
         import numpy as np
@@ -77,62 +89,92 @@ def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, ban
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
-            copy = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            keys = [band_keys(x, bands, rows) if len(x) else np.zeros(0, np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copy), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "copy", "n", "keys"])
+            copy, n, fp, keys = [], [], [], []
+            for t in b.column(1).to_pylist():
+                own = shingles(t, shingle)
+                copy.append(xxh64_intdigest(own.tobytes(), SEED))
+                n.append(len(own))
+                fp.append(bits_over_half(own))
+                keys.append(band_keys(own, bands, rows) if len(own) else np.zeros(0, np.int64))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(copy), pa.array(n, pa.int64()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], names=["row", "copy", "n", "fp", "keys"])
 
-    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).mapInArrow(run, "row long, copy long, n long, keys array<long>")
+    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).mapInArrow(run, "row long, copy long, n long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, row: str, text: str, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """copy, items (bytes of the sorted set) for `chosen` (row, copy)."""
+    """copy, items (the sorted set) for `chosen` (row, copy)."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["copy", "items"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                items = [shingles(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], names=["copy", "items"])
 
     rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t"))
-    return rows.join(chosen, "row").select("copy", "t").mapInArrow(run, "copy long, items binary")
+    return rows.join(chosen, "row").select("copy", "t").mapInArrow(run, "copy long, items array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    sides = pairs.join(sets.select(F.col("copy").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("copy").alias("b"), F.col("items").alias("y")), "b")
+    both = sides.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.filter(F.col("both") >= (F.col("total") - F.col("both")) * (similarity - 1e-12)).select("a", "b")
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(k).to_pylist()] for k in (2, 3))
-            yield b.select([0, 1]).filter(pa.array([similarity_of(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+def covering_pairs(unique: DataFrame, radius: int) -> DataFrame:
+    """a, b: links of the covering tables, between one text of each fingerprint, and of that to the others of its fingerprint."""
+    of = unique.groupBy("fp").agg(F.min("copy").alias("first"), F.count("*").alias("size"))
+    near = links(of.select("fp"), radius)
+    named = lambda k: of.select(F.col("fp").alias(k), F.col("first").alias(f"{k}1"))
+    apart = near.join(named("a"), "a").join(named("b"), "b").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+    equal = unique.select("fp", F.col("copy").alias("b")).join(of.filter("size > 1"), "fp").filter("b != first").select(F.col("first").alias("a"), "b")
+    return apart.union(equal)
 
-    sides = pairs.join(sets.select(F.col("copy").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("copy").alias("b"), F.col("items").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
+def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int | None = RADIUS) -> DataFrame:
+    """row, component_id: the same for texts connected by near copies; `row` identifies the rows.
+
+    With `radius` None only the bands search.
+    """
+    held_tables = []
 
-def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, component_id: the same for texts connected by near copies; `row` identifies the rows."""
-    marked = materialize(signatures(docs, row, text, shingle, bands, rows), "signatures")
-    unique = marked.groupBy("copy").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    placed = materialize(unique.select("copy", "row", "n", F.posexplode("keys").alias("band", "key")), "bands")
+    def put(df, name):
+        held_tables.append(materialize(df, name))
+        return held_tables[-1]
+
+    marked = put(signatures(docs, row, text, shingle, bands, rows), "signatures")
+    unique = marked.groupBy("copy").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    unique = put(unique, "unique")
+    placed = unique.select("copy", "row", "n", F.posexplode("keys").alias("band", "key"))
     heads = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct("copy", "n")).alias("head")).filter("size > 1")
-    held = materialize(placed.join(heads.select("band", "key", F.col("head.copy").alias("head"), F.col("head.n").alias("head_n")), ["band", "key"]), "buckets")
-    sets = materialize(sets_of(docs, row, text, held.select("row", "copy").distinct(), shingle), "sets")
+    held = put(placed.join(heads.select("band", "key", F.col("head.copy").alias("head"), F.col("head.n").alias("head_n")), ["band", "key"]), "buckets")
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * (similarity - 1e-9)
-
     rest = held.filter("copy != head")
-    first = rest.filter(fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct()
-    linked = materialize(confirmed(first, sets, similarity), "links")
+    first = rest.filter(fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("copy").alias("b"))
+    if radius is not None:
+        first = first.union(covering_pairs(unique.filter("n > 0").select("copy", "fp"), radius))
+    first = put(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = held.select("copy").union(first.select("a")).union(first.select("b")).distinct()
+    sets = put(sets_of(docs, row, text, unique.select("row", "copy").join(wanted, "copy", "left_semi"), shingle), "sets")
+
+    linked = put(confirmed(first, sets, similarity), "links")
     root = components(linked)
+    held_tables.append(root)
     named = lambda x, on, to: x.join(root.select(F.col("node").alias(on), F.col("root").alias(to)), on, "left").withColumn(to, F.coalesce(to, on))
-    known = materialize(named(named(rest, "copy", "own"), "head", "main").select("band", "key", "copy", "n", "own", F.expr("own != main").alias("apart")), "known")
+    known = put(named(named(rest, "copy", "own"), "head", "main").select("band", "key", "copy", "n", "own", F.expr("own != main").alias("apart")), "known")
     # a text apart from its head's component against all others of the bucket that are not of its own
     a = known.filter("apart").select("band", "key", F.col("copy").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
     b = known.select("band", "key", F.col("copy").alias("b"), "n", F.col("own").alias("own_b"), "apart")
     second = a.join(b, ["band", "key"]).filter("own_a != own_b AND (a < b OR NOT apart)").filter(fits(F.col("m"), F.col("n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(confirmed(second, sets, similarity), "links")
+    more = put(confirmed(second, sets, similarity), "links")
     found = components(linked.union(more))
-    return marked.join(found, marked.copy == found.node, "left").select(F.col("row").alias(row), F.coalesce("root", "copy").alias("component_id"))
+    held_tables.append(found)
+    out = materialize(marked.join(found, marked.copy == found.node, "left").select(F.col("row").alias(row), F.coalesce("root", "copy").alias("component_id")), "classes")
+    for t in held_tables:
+        drop(t)
+    return out

@@ -18,8 +18,6 @@ the named columns are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,21 @@ SHINGLE, RADIUS, SEED, BITS = 3, 3, 42, 64
 #: Buckets up to this many distinct fingerprints are compared directly, in blocks.
 DIRECT = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of bytes other than white space (0x20, 0x09 to 0x0D), A-Z lower-cased."""
+    return text.encode().translate(_LOWER).split() if text else []
+
+
+def bits_over_half(hashes) -> int:
+    """Bits set in over half of the 64-bit hashes; 0 if there are none."""
+    import numpy as np
+
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -37,21 +49,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = _WORD.findall(text.encode().translate(_LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     if len(words) <= shingle:
         h = [xxh64_intdigest(joined, SEED)]
     else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
         begin = [0, *(ends[: len(words) - shingle] + 1).tolist()]
         h = [xxh64_intdigest(joined[a:z], SEED) for a, z in zip(begin, ends[shingle - 1 :].tolist(), strict=True)]
-    hashes = np.array(h, "<u8")
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return bits_over_half(np.array(h, "<u8"))
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -85,26 +93,27 @@ def _forest(fps, radius: int, free: int):
     import numpy as np
 
     n = len(fps)
-    parent = list(range(n))
+    parent = np.arange(n)
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def roots(x):
+        r = parent[x]
+        while (parent[r] != r).any():
+            r = parent[r]
+        parent[x] = r
+        return r
 
     def direct(rows):
-        out = []
-        own = fps[rows]
-        for at in range(0, len(rows), 256):
-            near = np.bitwise_count(own[at : at + 256, None] ^ own[None, at:]) <= radius
-            a, b = np.nonzero(near)
-            more = b > a
-            for x, y in zip(rows[at + a[more]].tolist(), rows[at + b[more]].tolist(), strict=True):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    out.append((x, y))
+        """Row by row, so that memory follows the rows and not their near pairs."""
+        out, own = [], fps[rows]
+        for k in range(len(rows) - 1):
+            near = rows[k + 1 + np.flatnonzero(np.bitwise_count(own[k + 1 :] ^ own[k]) <= radius)]
+            if len(near):
+                mine = roots(rows[k : k + 1])[0]
+                kinds, at = np.unique(roots(near), return_index=True)
+                for other, j in zip(kinds.tolist(), at.tolist(), strict=True):
+                    if other != mine:
+                        parent[max(mine, other)] = mine = min(mine, other)
+                        out.append((int(rows[k]), int(near[j])))
         return out
 
     def divide(rows, bits):
@@ -170,11 +179,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """node, root: the smallest node connected to each node that has an edge. Large-star and small-star rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node connected to each node that has an edge. Large-star and small-star rounds, until
+    nothing changes (every round lowers some node's neighbour, so that they end)."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
     now, last = materialize(edges.filter("a != b"), "edges"), None
-    for _ in range(max_rounds):
+    while True:
         # aggregate the least neighbour first, so that a hub never gathers its neighbours in one row
         wide = both(now)
         least = wide.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -189,7 +199,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if state == last:
             break
         last = state
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    out = materialize(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "components")
+    drop(now)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, fresh, materialize
 from .near_copies import near_copies
 
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 20, 0.6
@@ -102,8 +102,11 @@ def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen)
 def classed_texts(docs: DataFrame, text: str) -> DataFrame:
     """copy (hash of the text), class: equal for texts that near copies connect."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).filter(F.col("t").isNotNull()), "texts")
-    named = near_copies(rows, "row", "t")
-    return rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class"))
+    named = near_copies(rows, "row", "t", radius=None)
+    out = materialize(rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class")), "classes")
+    drop(rows)
+    drop(named)
+    return out
 
 
 def supported(groups: DataFrame, by: list[str], pairs: DataFrame, min_docs: int) -> DataFrame:
@@ -121,7 +124,9 @@ def supported(groups: DataFrame, by: list[str], pairs: DataFrame, min_docs: int)
 def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """line, template, n_docs (at least): hashes of the lines that recur, as templates or (template null) as they are."""
     spark = docs.sparkSession
-    pairs = materialize(parsed.select("copy", "leaf", "line").distinct().join(classed_texts(docs, text), "copy").select("leaf", "line", "class").distinct(), "pairs")
+    classed = classed_texts(docs, text)
+    pairs = materialize(parsed.select("copy", "leaf", "line").distinct().join(classed, "copy").select("leaf", "line", "class").distinct(), "pairs")
+    drop(classed)
     counts = materialize(pairs.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
     sizes = parsed.groupBy("line").agg(F.first("size").alias("size"))
     often = counts.filter("n > 1").join(sizes, "line").filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(min_docs * min_tokens) / F.col("size"))))
@@ -143,7 +148,10 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", dept
     general = general.filter(F.col("constant") >= min_constant)
     totals = supported(general, ["leaf", "template"], pairs, min_docs)
     by_template = general.select("leaf", "line", "template").join(totals, ["leaf", "template"]).select("line", "template", "n_docs")
-    return by_template.union(often.select("line", F.lit(None).cast("string"), "n"))
+    out = materialize(by_template.union(often.select("line", F.lit(None).cast("string"), "n")), "recurring")
+    for t in (pairs, counts, lines):
+        drop(t)
+    return out
 
 
 def dropped_places(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
@@ -154,9 +162,7 @@ def dropped_places(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame, places: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
     """docs with the lines gone from `text`, and the names of two added columns: lines before and lines dropped."""
-    taken = {c.lower() for c in docs.columns}
-    fresh = lambda name: name if name.lower() not in taken else fresh(f"_{name}")
-    copy, gone, total, dropped = map(fresh, ("copy", "places", "n_lines", "n_dropped"))
+    copy, gone, total, dropped = (fresh(docs.columns, x) for x in ("copy", "places", "n_lines", "n_dropped"))
     keyed = docs.withColumn(copy, F.xxhash64(F.col(text)))
     found = keyed.join(places.select(F.col("copy").alias(copy), F.col("places").alias(gone)), copy, "left")
     lines = F.split(F.col(text), "\n", -1)
@@ -169,4 +175,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_tok
     """drop_lines() of the lines whose template recurs."""
     parsed = materialize(parsed_lines(docs, text, depth, min_tokens), "parsed")
     recurring = recurring_lines(docs, parsed, text, depth, min_tokens, min_docs, min_constant)
-    return drop_lines(docs, dropped_places(parsed, recurring), text)
+    places = materialize(dropped_places(parsed, recurring), "places")
+    drop(parsed)
+    drop(recurring)
+    return drop_lines(docs, places, text)

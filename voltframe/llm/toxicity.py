@@ -157,9 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit((r[0], r[1]) for p in parts for r in p.select("t", "y").toLocalIterator())
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), sentences: bool = False, threshold: float = 0.3) -> DataFrame:
-    """doc_id, kept columns, score; with `sentences` also offending: [(sentence number, probability)] above the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), sentences: bool = False, threshold: float = 0.3, into: str = "score") -> DataFrame:
+    """doc_id, kept columns, `into`; with `sentences` also offending: [(sentence number, probability)] above the threshold."""
+    # plain values are broadcast and the model is built in the task, so that workers need no copy of this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.version))
     names = [doc_id, *[c for c in keep if c != doc_id]]
     rows = docs.select(*names, *[text] * (text not in names))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -167,12 +168,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(*shared.value)
         for b in batches:
             texts = b.column(text).to_pylist()
             columns = [*(b.column(c) for c in names), pa.array([m.score(t) for t in texts], pa.float64())]
             if sentences:
                 columns.append(pa.array([[{"sentence": k, "p": float(x)} for k, x in enumerate(m.sentences(t)[0]) if x >= threshold] for t in texts], pa.list_(pa.struct([("sentence", pa.int32()), ("p", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", *["offending"] * sentences])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, into, *["offending"] * sentences])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", score double" + ", offending array<struct<sentence: int, p: double>>" * sentences)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + f", `{into}` double" + ", offending array<struct<sentence: int, p: double>>" * sentences)
