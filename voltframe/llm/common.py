@@ -78,9 +78,13 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def worker_cache(key) -> dict:
-    """A dictionary that lives as long as the Python worker, across tasks."""
-    return sys.__dict__.setdefault("_voltframe_caches", {}).setdefault(key, {})
+def worker_cache(family: str, *key) -> dict:
+    """A dictionary that lives as long as the Python worker, across tasks. Only one family's are held at a time: a worker
+    that turns to another operator forgets the former one's, so that their sizes do not add up."""
+    held = sys.__dict__.setdefault("_voltframe_caches", {})
+    if family not in held:
+        held.clear()
+    return held.setdefault(family, {}).setdefault(key, {})
 
 
 def filesystem(uri: str):

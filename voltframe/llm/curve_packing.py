@@ -27,7 +27,7 @@ def projection(vocabulary: int):
     """Row i: the place that one occurrence of id i pulls a document towards."""
     import numpy as np
 
-    held = worker_cache(("projection", vocabulary))
+    held = worker_cache("tokenizing", "projection", vocabulary)
     if "it" not in held:
         mixed = np.arange(vocabulary, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)

@@ -43,7 +43,7 @@ def benchmark_windows(items: list[tuple], window: int) -> dict[str, list[str]]:
 
 
 def _automaton(windows: dict[str, list[str]], digest: str):
-    held = worker_cache(("automaton", digest))
+    held = worker_cache("decontam", digest)
     if "it" not in held:
         import ahocorasick
 

@@ -26,33 +26,56 @@ from .common import drop, materialize, worker_cache
 from .simhash import RADIUS, SEED, bits_over_half, components, links, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-#: A worker forgets its words' hashes beyond this many.
-MAX_WORDS = 1_000_000
+#: Polynomial hashes: an odd base, its inverse modulo 2**64, and the powers that are kept.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+CHUNK = 1 << 16
+
+
+def _powers():
+    """Fixed random values of the bytes, and the powers of BASE and of its inverse modulo 2**64, CHUNK of each."""
+    import numpy as np
+
+    held = worker_cache("near_copies", "powers")
+    if "of" not in held:
+        table = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(CHUNK - 1, np.uint64(x), np.uint64)))) for x in (BASE, INVERSE))
+        held["of"] = table, up, down
+    return held["of"]
 
 
 def shingles(text: str | None, shingle: int = SHINGLE):
-    """Sorted distinct hashes of a text's shingles: a polynomial of the hashes of their words."""
+    """Sorted distinct hashes of a text's shingles, words joined by one space: differences of a polynomial over all bytes
+    up to a shingle's end and up to its begin, divided by the power of its begin."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    words = words_of(text)
-    if not words:
+    joined = b" ".join(words_of(text))
+    if not joined:
         return np.zeros(0, np.uint64)
-    known = worker_cache("near_copies.words")
-    if len(known) > MAX_WORDS:
-        known.clear()
-    found = list(map(known.get, words))
-    if None in found:
-        for k, x in enumerate(found):
-            if x is None:
-                found[k] = known[words[k]] = xxh64_intdigest(words[k], SEED)
-    own, u = np.fromiter(found, np.uint64, len(found)), np.uint64
-    size = min(shingle, len(own))
-    h = np.zeros(len(own) - size + 1, u)
-    for k in range(size):
-        h = h * u(0x9E3779B97F4A7C15) + own[k : len(own) - size + 1 + k]
-    h = (h ^ (h >> u(31))) * u(0xD6E8FEB86659FD93)
-    return np.unique(h ^ (h >> u(32)))
+    data, u = np.frombuffer(joined, np.uint8), np.uint64
+    table, up, down = _powers()
+    total, carry, scale = np.zeros(len(data) + 1, u), u(0), 1
+    for at in range(0, len(data), CHUNK):
+        part = table[data[at : at + CHUNK]]
+        part *= up[: len(part)]
+        part *= u(scale)
+        np.cumsum(part, out=part)
+        part += carry
+        total[at + 1 : at + 1 + len(part)] = part
+        carry, scale = part[-1], scale * pow(BASE, CHUNK, 1 << 64) % (1 << 64)
+    gaps = np.flatnonzero(data == 32)
+    begin, end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    size = min(shingle, len(begin))
+    begin, end = begin[: len(begin) - size + 1], end[size - 1 :]
+    h = total[end] - total[begin]
+    h *= down[begin % CHUNK]
+    if len(data) > CHUNK:
+        h *= np.array([pow(INVERSE, CHUNK * k, 1 << 64) for k in range(len(data) // CHUNK + 1)], u)[begin // CHUNK]
+    h ^= h >> u(31)
+    h *= u(0xD6E8FEB86659FD93)
+    h ^= h >> u(32)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def similarity_of(a, b) -> float:
@@ -66,22 +89,54 @@ def similarity_of(a, b) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _constants(places: int):
+    """Fixed random values for the rounds of minimum_hashes() and the places of a key, by number of places."""
+    import numpy as np
+
+    held = worker_cache("near_copies", "constants", places)
+    if "flip" not in held:
+        held["flip"], held["factor"] = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 2 * places), dtype=np.int64).astype(np.uint64)
+    return held["flip"], held["factor"][:places] | np.uint64(1)
+
+
+def minimum_hashes(own, places: int):
+    """A sketch of `places` values of a nonempty set, of which two sets share each with a chance of their Jaccard similarity.
+
+    In round r every element goes to one place, in the first `places` rounds by its hash, then all to the same place in
+    turn. A place keeps the least (round, hash); rounds end when every place is taken, so that the cost is a set's size
+    or, for small sets, that of some rounds, not size times places.
+    """
+    import numpy as np
+
+    u, flip = np.uint64, _constants(places)[0]
+    out = np.full(places, u(0xFFFFFFFFFFFFFFFF))
+    first, step = 0, min(2 * places, -(-6 * places // len(own)))
+    while first < 2 * places:
+        last = min(2 * places, first + step)
+        for at in range(0, len(own), 1 << 16):
+            x = (own[None, at : at + (1 << 16)] ^ flip[first:last, None]) * u(0x9E3779B97F4A7C15)
+            x ^= x >> u(29)
+            x *= u(0xD6E8FEB86659FD93)
+            turn = np.arange(first, last, dtype=np.uint64)[:, None]
+            place = np.where(turn < u(places), ((x >> u(40)) * u(places)) >> u(24), turn - u(places)).astype(np.int64)
+            np.minimum.at(out, place.ravel(), ((x & u(0xFFFFFFFF)) | (turn << u(32))).ravel())
+        if out.max() < u(0xFFFFFFFFFFFFFFFF):
+            break
+        first = last
+    return out
+
+
 def band_keys(own, bands: int = BANDS, rows: int = ROWS):
-    """One key a band: a hash of its minimum hashes. An odd factor permutes 32-bit values, and their order mixes all bits."""
+    """One key a band: a hash of its minimum hashes."""
     import numpy as np
 
-    draw = np.random.default_rng(SEED).integers(0, 1 << 63, (3, bands * rows), dtype=np.int64).astype(np.uint64)
-    flip, factor = draw[0].astype(np.uint32)[:, None], draw[1].astype(np.uint32)[:, None] | np.uint32(1)
-    least = np.full(bands * rows, np.uint32(0xFFFFFFFF))
-    short = (own >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 512):
-        np.minimum(least, ((short[None, at : at + 512] ^ flip) * factor).min(1), out=least)
-    wide = least.astype(np.uint64) + np.uint64(1)
-    return ((wide * np.uint64(0x9E3779B97F4A7C15) ^ (wide << np.uint64(29))) * (draw[2] | np.uint64(1))).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
+    x = minimum_hashes(own, bands * rows)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * _constants(bands * rows)[1]).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, copy (hash of the set), n (its size), fp (SimHash of the set), keys."""
+def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, prints: bool = True) -> DataFrame:
+    """row, copy (hash of the set), n (its size), fp (SimHash of the set, with `prints`), keys."""
 
     def run(batches):
         import numpy as np
@@ -94,7 +149,7 @@ def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, ban
                 own = shingles(t, shingle)
                 copy.append(xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
-                fp.append(bits_over_half(own))
+                fp.append(bits_over_half(own) if prints else 0)
                 keys.append(band_keys(own, bands, rows) if len(own) else np.zeros(0, np.int64))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), signed(copy), pa.array(n, pa.int64()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], names=["row", "copy", "n", "fp", "keys"])
@@ -147,7 +202,7 @@ def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingl
         held_tables.append(materialize(df, name))
         return held_tables[-1]
 
-    marked = put(signatures(docs, row, text, shingle, bands, rows), "signatures")
+    marked = put(signatures(docs, row, text, shingle, bands, rows, radius is not None), "signatures")
     unique = marked.groupBy("copy").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     unique = put(unique, "unique")
     placed = unique.select("copy", "row", "n", F.posexplode("keys").alias("band", "key"))

@@ -35,8 +35,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.words, self.pieces = worker_cache(("words", path)), worker_cache(("pieces", path))
-        held = worker_cache(("tokenizer", path))
+        self.words, self.pieces = worker_cache("tokenizing", "words", path), worker_cache("tokenizing", "pieces", path)
+        held = worker_cache("tokenizing", "it", path)
         if not held:
             held["it"] = t = Tokenizer.from_file(path)
             t.encode_special_tokens = True  # their strings in a text are ordinary text
