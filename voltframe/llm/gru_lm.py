@@ -1,23 +1,26 @@
 """Gated recurrent language model with a class-factored softmax, in numpy.
 
 Tokens are words between white space, A-Z lower-cased, then one end token a document. All training documents are
-counted, exactly, by shuffle. The `WORDS` most frequent words, the end token and an unknown symbol are the
-network's vocabulary, in classes of equal size by frequency: P(token) = P(class | state) P(token | class, state).
-A word outside it has P(unknown | state) (c + 1) / (U + D + 1), with its count c, and the tokens U and distinct
-words D of that kind in training.
+counted, exactly, by shuffle. The network's vocabulary is the end token, the `WORDS` most frequent words, and
+`RARE` symbols for all other words, by a hash of a word's last three bytes, so that endings tell rare words apart in
+context. Symbols are in classes of equal size by frequency: P(symbol) = P(class | state) P(symbol | class, state). A
+rare word has P(its symbol | state) (c + 1) / (U + D + 1), with its count c, and the tokens U and distinct words D of
+its symbol in training.
 
 Training is truncated backpropagation over windows of `WINDOW` steps with the state carried from window to window.
-A first model is fitted on at most `SEED_DOCS` documents; then, in each of `STRIDE` rounds, every partition goes on
-training on its own share of the documents (hash of the identifier mod `STRIDE` is the round), and weights are
-averaged by tokens seen, in a tree, so that the driver gets one model whatever the number of partitions. The
-rounds together use every training document once. A round has no more tasks than it needs, as each sends its
-weights. Scoring runs whole documents, longest first, in windows with
-the state carried over, so the result is the log-likelihood of the complete text.
-
-Counts of the `HEAD` most frequent words are broadcast (a fixed bound); words beyond them are joined by shuffle.
-Null and empty texts are the end token alone. Held-out rows are only scored. Rows with a null identifier are
-training rows. Repeated rows count and are scored each; ties of counts are ordered by word. If there is nothing
-to learn from, the network scores evenly. Only the named columns are read; an empty table gives no rows.
+Every training document is used once. Documents go to shards of about `SHARD` tokens by a hash of identifier and text,
+and stand in a shard in the order of that hash; shards are trained in rounds of 1, 1, 2, 4, ... shards, each by one
+task from the same weights with its own optimizer state, and a round ends by averaging weights by tokens seen, in a
+tree, in the order of shards. So the weights depend on the rows and not on files, partitions or batches, the number
+of shards follows the corpus, the number of rounds its logarithm, and the driver gets one model a round. Scoring runs
+whole documents, longest first, in windows with the state carried over, so the result is the log-likelihood of the
+complete text.
+
+Counts of words as frequent as the `HEAD` most frequent ones are broadcast (at most that many: words tied at the
+bound are left out together); the others are joined by shuffle. Null and empty texts are the end token alone.
+Held-out rows are only scored. Rows with a null identifier are training rows. Repeated rows count and are scored
+each; ties of counts are ordered by word. If there is nothing to learn from, the network scores evenly. Only the
+named columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import delete, drop, held_out, materialize, new_path
 
-WORDS, CLASSES, HIDDEN = 16_382, 128, 24
-WINDOW, LANES, SEED_DOCS, SEED_CHARS, STRIDE = 16, 128, 400, 20_000, 8
+WORDS, RARE, CLASSES, HIDDEN = 16_384, 1_023, 136, 32
+WINDOW, LANES, STEPS, SHARD = 16, 256, 250, 1 << 20
 HEAD = 1 << 17
-END, UNKNOWN = 0, 1
+END, FIRST_RARE = 0, 1
 END_TOKEN = b""
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -39,9 +42,33 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().translate(_LOWER).split(), END_TOKEN]
 
 
-def vocabulary(top: list[bytes], words: int = WORDS) -> dict[bytes, int]:
-    """Places of the network's symbols; top: tokens by falling count."""
-    return {END_TOKEN: END} | {w: k for k, w in enumerate([w for w in top if w != END_TOKEN][:words], 2)}
+def vocabulary(top: list[bytes], words: int = WORDS, rare: int = RARE) -> dict[bytes, int]:
+    """Numbers of the words that the network tells apart, after the end and the rare symbols; top: tokens by falling count."""
+    return {END_TOKEN: END} | {w: k for k, w in enumerate([w for w in top if w != END_TOKEN][:words], FIRST_RARE + rare)}
+
+
+def rare_symbol(word: bytes, rare: int = RARE) -> int:
+    import zlib
+
+    return FIRST_RARE + zlib.crc32(word[-3:]) % rare
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(token, c) of the tokens with at least c occurrences, for the least c that at most `most` tokens reach; by falling
+    count. The bound is found from histograms, so that the driver never gets more than `most` rows."""
+    level = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("k")).count().collect()), reverse=True)
+    taken, bound = 0, 1
+    for k, n in sizes:
+        if taken + n > most:
+            for c, m in sorted(((r[0], r[1]) for r in counts.filter(level == k).groupBy("c").count().collect()), reverse=True):
+                if taken + m > most:
+                    bound = c + 1
+                    break
+                taken += m
+            break
+        taken += n
+    return sorted(((bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= bound).collect()), key=lambda x: (-x[1], x[0]))
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -187,40 +214,50 @@ class Network:
         g["e"] = own[first], np.add.reduceat(pre[order], first, axis=0)
         return lp.sum(), g, hs[-1]
 
-    def train(self, docs: list, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01, passes: int = 1) -> int:
-        """Adam over documents (index arrays) laid end to end and cut into lanes; returns the tokens seen."""
+    def train(self, docs: list, lanes: int = LANES, window: int = WINDOW, steps: int = STEPS, rate: float = 0.01) -> int:
+        """Adam over documents (index arrays) laid end to end and cut into lanes, fewer of them where there would be
+        fewer than `steps` steps; returns the tokens seen."""
         import numpy as np
 
         docs = [d for d in docs if len(d)]
         if not docs:
             return 0
-        flat = np.concatenate(docs)
-        lanes = max(1, min(lanes, len(flat) // (4 * window)))
-        steps = -(-len(flat) // (lanes * window)) * window
+        flat = np.concatenate(docs).astype(np.int64)
+        lanes = max(1, min(lanes, len(flat) // (steps * window)))
+        length = -(-len(flat) // (lanes * window)) * window
         # one stream cut into equal lanes: a very long document adds no idle steps; less than a window a lane is filled with end tokens
-        target = np.full(steps * lanes, END, np.int64)
+        target = np.full(length * lanes, END, np.int64)
         target[: len(flat)] = flat
-        source, live = np.concatenate(([END], target[:-1])), np.ones(steps * lanes, np.float32)
+        source, live = np.concatenate(([END], target[:-1])), np.ones(length * lanes, np.float32)
         begin = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
         begin = begin[begin < len(target)]
         source[begin], live[begin] = END, 0
-        target, source, live = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in (target, source, live))
+        target, source, live = (np.ascontiguousarray(x.reshape(lanes, length).T) for x in (target, source, live))
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        for _ in range(passes):
-            h = np.zeros((lanes, self.hidden), np.float32)
-            for at in range(0, steps, window):
-                _, g, h = self.gradients(source[at : at + window], target[at : at + window], h, live[at : at + window])
-                step += 1
-                for k, x in self.p.items():
-                    # embeddings of words outside the window rest, so that a step does not cost the vocabulary
-                    at_k, gk = g[k] if k == "e" else (slice(None), g[k])
-                    gk = np.clip(gk * np.float32(50 / (lanes * window)), -1, 1)
-                    mk, vk = m[k][at_k], v[k][at_k]
-                    mk += np.float32(0.1) * (gk - mk)
-                    vk += np.float32(0.01) * (gk * gk - vk)
+        h = np.zeros((lanes, self.hidden), np.float32)
+        for at in range(0, length, window):
+            _, g, h = self.gradients(source[at : at + window], target[at : at + window], h, live[at : at + window])
+            step += 1
+            pace, grown = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+            for k, x in self.p.items():
+                # embeddings of words outside the window rest, so that a step does not cost the vocabulary
+                at_k, gk = g[k] if k == "e" else (slice(None), g[k])
+                gk = np.clip(gk * np.float32(50 / (lanes * window)), -1, 1)
+                mk, vk = m[k][at_k], v[k][at_k]
+                mk += np.float32(0.1) * (gk - mk)
+                gk *= gk
+                gk -= vk
+                gk *= np.float32(0.01)
+                vk += gk
+                if k == "e":
                     m[k][at_k], v[k][at_k] = mk, vk
-                    x[at_k] -= np.float32(rate / (1 - 0.9**step)) * mk / (np.sqrt(vk * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
-        return passes * sum(map(len, docs))
+                np.multiply(vk, grown, out=gk)
+                np.sqrt(gk, out=gk)
+                gk += np.float32(1e-6)
+                np.divide(mk, gk, out=gk)
+                gk *= pace
+                x[at_k] -= gk
+        return len(flat)
 
     def log10_likelihoods(self, docs: list, group: int = 512, window: int = WINDOW):
         """log10-probability of each document (index arrays), the state carried across windows."""
@@ -264,72 +301,129 @@ class Network:
         return out
 
 
-def _average(parts: DataFrame, fan: int = 16) -> list:
+def _average(parts: DataFrame, fan: int) -> list:
     """Weighted means of (chunk, part, weight, values) over parts, in two levels; one row a chunk."""
 
     def add(key, table):
         import numpy as np
         import pandas as pd
 
+        table = table.sort_values("part")
         total = np.zeros(len(table["values"].iloc[0]) // 4)
         for v, w in zip(table["values"], table["weight"], strict=True):
             total += np.frombuffer(v, "<f4") * w
         weight = float(table["weight"].sum())
-        return pd.DataFrame({"chunk": [key[0]], "part": [0], "weight": [weight], "values": [(total / weight).astype("<f4").tobytes()]})
+        return pd.DataFrame({"chunk": [key[0]], "part": [int(table["part"].iloc[0])], "weight": [weight], "values": [(total / weight).astype("<f4").tobytes()]})
 
     schema = "chunk long, part long, weight double, values binary"
     return parts.withColumn("g", F.col("part") % fan).groupBy("chunk", "g").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
 
 
-def train(rows: DataFrame, index: dict[bytes, int], stride: int = STRIDE) -> Network:
-    """rows: pick (a hash) and t of the training documents."""
+def plan_rounds(tokens: int, shard: int = SHARD) -> list[int]:
+    """Shards of each round: 1, 1, 2, 4, ... until all shards are used."""
+    left, out = max(1, -(-tokens // shard)), [1]
+    left -= 1
+    while left > 0:
+        out.append(min(left, max(1, sum(out))))
+        left -= out[-1]
+    return out
+
+
+def train(rows: DataFrame, index: dict[bytes, int], tokens: int, rare: int = RARE, shard: int = SHARD) -> Network:
+    """rows: pick (a hash of the row) and t of the training documents; tokens: how many they hold."""
+    import math
+
     import numpy as np
 
-    spark, net = rows.sparkSession, Network(len(index) + 1)
-    to_ids = lambda t, i: np.fromiter((i.get(x, UNKNOWN) for x in tokens_of(t)), np.int64)
-    seed = rows.filter(F.length(F.coalesce("t", F.lit(""))) <= SEED_CHARS).orderBy("pick", "t").limit(SEED_DOCS).select("t").collect()
-    net.train([to_ids(r[0], index) for r in seed], lanes=32, passes=2)
+    spark, net, rounds = rows.sparkSession, Network(len(index) + rare), plan_rounds(tokens, shard)
+    size, first = len(index) + rare, [0]
+    for n in rounds:
+        first.append(first[-1] + n)
+    words = spark.sparkContext.broadcast(index)
+
+    def encode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = words.value
+        for b in batches:
+            ids = [np.array([known[w] if w in known else rare_symbol(w, rare) for w in tokens_of(t)], "<u2" if size <= 65536 else "<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["pick", "ids"])
+
+    kind = "<u2" if size <= 65536 else "<u4"
+    place = F.pmod("pick", F.lit(first[-1]))
+    turn = sum((F.when(place >= x, 1).otherwise(0) for x in first[1:-1]), F.lit(0))
+    path = new_path(spark, "shards")
+    rows.select("pick", "t").mapInArrow(encode, "pick long, ids binary").withColumn("shard", place).withColumn("turn", turn).write.partitionBy("turn").option("compression", "zstd").parquet(path)
+    encoded = spark.read.schema("pick long, ids binary, shard long, turn int").parquet(path)
     pieces = 8
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // stride))
-    for k in range(stride):
-        shared = spark.sparkContext.broadcast((index, net))
+    for k, n in enumerate(rounds):
+        start = spark.sparkContext.broadcast(net.flat())
+        rate = 0.01 / (1 + 0.25 * k)
 
-        def run(batches, shared=shared):
+        def run(batches, start=start, rate=rate):
             import numpy as np
             import pyarrow as pa
-            from pyspark import TaskContext
 
-            words, start = shared.value
-            own, seen = Network(len(words) + 1).load(start.flat()), 0
-            for b in batches:
-                seen += own.train([to_ids(t, words) for t in b.column(0).to_pylist()])
-            if seen:
-                parts = np.array_split(own.flat().astype("<f4"), pieces)
-                yield pa.RecordBatch.from_pydict({"chunk": list(range(pieces)), "part": [TaskContext.get().partitionId()] * pieces, "weight": [float(seen)] * pieces, "values": [x.tobytes() for x in parts]})
+            def learn(shard, own):
+                one = Network(size).load(start.value)
+                seen = one.train(own, rate=rate)
+                parts = np.array_split(one.flat().astype("<f4"), pieces)
+                return pa.RecordBatch.from_pydict({"chunk": list(range(pieces)), "part": [shard] * pieces, "weight": [float(seen)] * pieces, "values": [x.tobytes() for x in parts]})
 
-        share = rows.filter(F.pmod("pick", F.lit(stride)) == k).select("t").coalesce(tasks)
-        got = _average(share.mapInArrow(run, "chunk long, part long, weight double, values binary"))
+            now, own = None, []
+            for b in batches:
+                for s, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if s != now and own:
+                        yield learn(now, own)
+                        own = []
+                    now = s
+                    own.append(np.frombuffer(ids, kind))
+            if own:
+                yield learn(now, own)
+
+        share = encoded.filter(F.col("turn") == k).repartition(n, "shard").sortWithinPartitions("shard", "pick", "ids").select("shard", "ids")
+        got = _average(share.mapInArrow(run, "chunk long, part long, weight double, values binary"), max(1, math.isqrt(n)))
         if got:
             net.load(np.concatenate([np.frombuffer(r["values"], "<f4") for r in got]))
-        shared.unpersist()
+        start.unpersist()
+    delete(spark, path)
     return net
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 7, words: int = WORDS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 7, words: int = WORDS, rare: int = RARE, head: int = HEAD, shard: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     import math
 
+    import numpy as np
+
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), held_out(mod, doc_id).alias("held_out"))
-    learned = rows.filter(~F.col("held_out")).select(F.xxhash64("doc_id").alias("pick"), "t")
+    learned = rows.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "t").alias("pick"), "t")
     counts = materialize(token_counts(learned.select("t")), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
-    index = vocabulary([w for w, _ in top], words)
+    top = most_frequent(counts, max(head, words + 1))
+    index = vocabulary([w for w, _ in top], words, rare)
     known = dict(top)
-    rest, kinds = n - sum(c for w, c in top if w in index), v - sum(w in index for w, _ in top)
-    net = train(learned, index)
-    shared = spark.sparkContext.broadcast((index, known, net))
+
+    def symbols(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rare_symbol(bytes(w), rare) for w in b.column(0).to_pylist()], pa.int64()), b.column(1)], names=["symbol", "c"])
+
+    # tokens and distinct words of each rare symbol: those of all words less those of the network's own words
+    totals = np.zeros((rare + FIRST_RARE, 2))
+    for r in counts.mapInArrow(symbols, "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("u"), F.count("*").alias("d")).collect():
+        totals[r["symbol"]] = r["u"], r["d"]
+    for w in index:
+        if w in known:
+            totals[rare_symbol(w, rare)] -= known[w], 1
+    spread = np.log10(totals.sum(1) + 1)
+    net = train(learned, index, n, rare, shard)
+    size = len(index) + rare
+    # plain values are broadcast and the network is built in the task, so that workers need no copy of this package
+    shared = spark.sparkContext.broadcast((index, known, net.flat(), spread))
 
     def run(batches):
         from collections import Counter
@@ -337,43 +431,47 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
         import numpy as np
         import pyarrow as pa
 
-        index, known, net = shared.value
-        logs = {w: (index.get(w, UNKNOWN), math.log10(c + 1)) for w, c in known.items()}
+        index, known, flat, spread = shared.value
+        own_net = Network(size).load(flat)
+        at_of = lambda w: index[w] if w in index else rare_symbol(w, rare)
+        logs = {w: (at_of(w), math.log10(c + 1)) for w, c in known.items()}
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                ids, n_tokens, all_logs, rest_logs, head_known, unknown, tails, times = [], [], [], [], [], [], [], []
+                ids, n_tokens, all_logs, rest_logs, head_known, tails, times = [], [], [], [], [], [], []
                 for t in part.column("t").to_pylist():
                     tokens = tokens_of(t)
                     found = list(map(logs.get, tokens))
                     tail: Counter = Counter()
                     if None in found:
                         tail.update(w for w, x in zip(tokens, found, strict=True) if x is None)
-                        found = [x or (UNKNOWN, 0.0) for x in found]
+                        place = {w: (at_of(w), 0.0) for w in tail}
+                        found = [x or place[w] for w, x in zip(tokens, found, strict=True)]
                     own = np.array([x[0] for x in found], np.int64)
                     lg = np.array([x[1] for x in found])
+                    scarce = (own >= FIRST_RARE) & (own < FIRST_RARE + rare)
                     ids.append(own)
                     n_tokens.append(len(tokens))
                     all_logs.append(lg.sum())
-                    rest_logs.append(lg[own == UNKNOWN].sum())
+                    rest_logs.append(lg[scarce].sum() - spread[own[scarce]].sum())
                     head_known.append(len(tokens) - sum(tail.values()))
-                    unknown.append(int((own == UNKNOWN).sum()))
                     tails.append(list(tail))
                     times.append(list(tail.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(head_known, pa.int64()), pa.array(all_logs, pa.float64()), pa.array(net.log10_likelihoods(ids) + np.array(rest_logs), pa.float64()), pa.array(unknown, pa.int64()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "head_known", "logs", "net", "unknown", "tail", "times"],
+                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(head_known, pa.int64()), pa.array(all_logs, pa.float64()), pa.array(own_net.log10_likelihoods(ids) + np.array(rest_logs), pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "head_known", "logs", "net", "tail", "times"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     marked = materialize(
-        rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, logs double, net double, unknown long, tail array<binary>, times array<long>"), "scored",
+        rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, logs double, net double, tail array<binary>, times array<long>"), "scored",
     )
     pairs = marked.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("token"), F.col("x.times").alias("times"))
-    tail = pairs.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
+    tail = materialize(pairs.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more")), "tail")
+    drop(counts)
     more = F.coalesce("more", F.lit(0.0))
-    return marked.select("row", "doc_id", "held_out", "n_tokens", "head_known", "logs", "net", "unknown").join(tail, "row", "left").select(
+    return marked.select("row", "doc_id", "held_out", "n_tokens", "head_known", "logs", "net").join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("net") + more - F.col("unknown") * math.log10(rest + kinds + 1)).alias("score"),
+        (F.col("net") + more).alias("score"),
     )
