@@ -5,8 +5,8 @@ logit is a bias plus the weights of its words, where a word's weight is that of
 five and six letters, so that inflected forms share evidence. Sentence probabilities p combine by noisy-or, 1 - prod(1 - p), and the weights
 are trained from document labels alone; sentences are then scored by themselves to locate the offending ones.
 
-Training reads at most `max_toxic` and `max_clean` labelled documents of the classes (chosen by hash of the identifier) of at
-most `max_chars` characters; scoring covers every whole text. Null and empty texts have no sentence and score 0.
+Training reads whole texts, of at most `max_toxic` and `max_clean` labelled documents of the classes (chosen by hash of
+the identifier); scoring covers every whole text. Null and empty texts have no sentence and score 0.
 Labels of null, unlabelled rows and rows of the held-out side are not learned from. If a class is missing there is
 nothing to learn and every score is 0. Repeated rows score alike; ties need no order. Only the named columns are
 read; labels never enter a score.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, worker_cache
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 SLOTS = 1 << 18
 MAX_WORDS = 16
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]+")
@@ -49,8 +49,8 @@ class Model:
         """(probability of each sentence, its number of words)."""
         import numpy as np
 
-        cache = worker_cache(("toxicity", self.version))
-        if len(cache) > 1_000_000:
+        cache = worker_cache("toxicity", self.version)
+        if len(cache) > 400_000:
             cache.clear()
         tokens = _tokens(text)
         if not tokens:
@@ -145,14 +145,14 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 120, rate: float =
     return Model(float(bias), weights, hashlib.sha256(weights.tobytes()).hexdigest())
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 4, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 4, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Fits on a bounded sample of the labelled rows whose crc32(doc_id) mod `mod` is not 2."""
     known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("y")).filter(F.col(doc_id).isNotNull() & F.col("y").isin(0, 1) & ~held_out(mod, doc_id))
     order, most = F.xxhash64(doc_id), ((0, max_clean), (1, max_toxic))
     some = [known.filter(F.col("y") == y).orderBy(order, doc_id).limit(2 * n) for y, n in most]
     chosen = F.broadcast(some[0].unionByName(some[1]).dropDuplicates([doc_id]))
     # at most 2 * (max_toxic + max_clean) identifiers are broadcast and half as many texts collected
-    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).filter(F.length("t").between(1, max_chars)).join(chosen, doc_id)
+    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).filter(F.length("t") > 0).join(chosen, doc_id)
     parts = [rows.filter(F.col("y") == y).orderBy(order, doc_id, "t").limit(n) for y, n in most]
     return fit((r[0], r[1]) for p in parts for r in p.select("t", "y").toLocalIterator())
 
