@@ -37,9 +37,16 @@ def scale_channels(v: Column, factors: list[float], tf: int) -> Column:
     return F.transform(v, lambda x, i: x * F.get(f, F.floor(i / tf).cast("int")))
 
 
-def shift(v: Column, tau: int) -> Column:
-    """Moves right by tau, zeros come in, width stays."""
-    return F.transform(v, lambda _, i: F.when((i - tau >= 0) & (i - tau < F.size(v)), F.get(v, i - tau)).otherwise(0.0))
+def shift(v: Column, tau: int | Column, tf: int) -> Column:
+    """Moves each channel of tf samples right by tau; zeros come in, the width stays, nothing passes into another channel."""
+    return F.transform(v, lambda _, i: F.when((i % tf - tau).between(0, tf - 1), F.get(v, i - tau)).otherwise(0.0))
+
+
+def shift_wide(v: Column, tau: int, n: int, tf: int, low: int, high: int) -> Column:
+    """shift() without loss: channels grow by high samples at the right and by low at the left, for shifts from -low to high."""
+    wide = tf + low + high
+    at = lambda i: i % wide - low - tau
+    return F.transform(F.sequence(F.lit(0), F.lit(n * wide - 1)), lambda i: F.when(at(i).between(0, tf - 1), F.get(v, F.floor(i / wide).cast("int") * tf + at(i))).otherwise(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:

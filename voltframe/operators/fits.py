@@ -15,37 +15,30 @@ def align_on_mean(waves: DataFrame, n: int, tf: int, by: str = "unit", max_round
     """
 
     def run(key, table):
-        import math
-
         import numpy as np
 
         raw = np.stack(table["v"].to_numpy()).reshape(-1, n, tf)
+        padded = np.pad(raw, ((0, 0), (0, 0), (tf, tf)))
+        lags = np.arange(-step, step + 1)
 
-        def moved(x, k):
-            out = np.zeros_like(x)
-            out[..., max(k, 0) : tf + min(k, 0)] = x[..., max(-k, 0) : tf - max(k, 0)]
-            return out
-
-        def shifted(tau):
-            out = np.zeros_like(raw)
-            for k in np.unique(np.clip(tau, -tf, tf)):
-                own = tau == k
-                if abs(k) < tf:
-                    out[own] = moved(raw[own], int(k))
-            return out
+        def at(tau):
+            """Each waveform moved right by its tau, zeros coming in."""
+            places = tf + np.arange(tf)[None, :] - np.clip(tau, -tf, tf)[:, None]
+            return np.take_along_axis(padded, np.broadcast_to(places[:, None, :], raw.shape), 2)
 
-        tau, now = np.zeros(len(raw), np.int64), raw
+        tau = np.zeros(len(raw), np.int64)
         for _ in range(max_rounds):
-            mean = now.mean(0)
-            fit = np.stack([(now * moved(mean, k)).sum((1, 2)) for k in range(-step, step + 1)])
-            move = -np.argmax(fit, 0) - (step + 2)
-            middle = float(np.median(move))
-            move = move - int(math.copysign(math.floor(abs(middle) + 0.5), middle))
-            if not move.any():
+            now = at(tau)
+            mean = np.pad(now.mean(0), ((0, 0), (step, step)))
+            # the mean at lag k is the mean moved right by k: a waveform that fits it there is k late
+            fit = np.stack([np.einsum("wct,ct->w", now, mean[:, step - k : step - k + tf]) for k in lags])
+            late = lags[np.argmax(fit, 0)]
+            half = np.median(late)
+            late = late - int(np.trunc(half + np.copysign(0.5, half)))
+            if not late.any():
                 break
-            tau = tau + move
-            now = shifted(tau)
-        return table[["wf_id"]].assign(tau=tau, v=list(now.reshape(len(raw), -1)))
+            tau = tau - late
+        return table[["wf_id"]].assign(tau=tau, v=list(at(tau).reshape(len(raw), -1)))
 
     return waves.select("wf_id", by, "v").groupBy(by).applyInPandas(run, f"wf_id {waves.schema['wf_id'].dataType.simpleString()}, tau long, v array<double>")
 
@@ -110,6 +103,25 @@ def fit_curves(points: DataFrame, kind: str, by: str) -> DataFrame:
     return rows.groupBy(by).applyInPandas(run, f"{by} {points.schema[by].dataType.simpleString()}, params array<double>, residual double")
 
 
+def receptive_fields(waves: DataFrame, n: int, tf: int, by: str) -> DataFrame:
+    """by, share, channel, sample, peak: leading component of each group's mean (channels x samples): how much of its power
+    that holds, the channel and the sample where it is largest, and its value in time there (the channel's being
+    positive). Means are aggregates; a group's decomposition sees one mean."""
+    from .matrices import templates
+    from .walks import by_group
+
+    means = templates(waves.select("wf_id", F.col(by).alias("unit"), "v")).select(F.col("unit").alias(by), "v")
+
+    def walk(x):
+        import numpy as np
+
+        u, s, w = np.linalg.svd(np.array(x["v"][0], float).reshape(n, tf), full_matrices=False)
+        sign = np.sign(u[np.abs(u[:, 0]).argmax(), 0]) or 1.0
+        return [(x[by][0], float(s[0] ** 2 / max(1e-300, (s**2).sum())), int(np.abs(u[:, 0]).argmax()), int(np.argmax(np.abs(w[0]))), float(sign * w[0][np.argmax(np.abs(w[0]))]))]
+
+    return by_group(means, [by], [by], f"{by} {waves.schema[by].dataType.simpleString()}, share double, channel int, sample int, peak double", walk)
+
+
 def final_units(local: DataFrame, slaves: DataFrame, noise_unit: int | None = None) -> DataFrame:
     """Events of local units under final numbers, 1000 * leg + unit, with `discarded` for units that a master replaces.
 

@@ -22,37 +22,21 @@ def mad(signal: DataFrame) -> DataFrame:
     return signal.join(F.broadcast(m), "channel").groupBy("channel").agg(F.round(1.4826 * d, 6).alias("sigma"), F.round(d, 6).alias("mad"))
 
 
-def convolve(signal: DataFrame, taps: list[float]) -> DataFrame:
-    """Centred FIR filter; each sample spreads over the taps and one aggregate adds up."""
-    half = len(taps) // 2
-    b = F.explode(F.array(*[F.struct(F.lit(k - half).alias("k"), F.lit(x).alias("b")) for k, x in enumerate(taps)])).alias("x")
-    return signal.select("channel", "t", "v", b).groupBy("channel", (F.col("t") + F.col("x.k")).alias("t")).agg(F.round(F.sum(F.col("v") * F.col("x.b")), 6).alias("v"))
+def centred(signal: DataFrame) -> DataFrame:
+    """Column z: v less its channel's mean. Means are a row a channel, added up before the shuffle."""
+    means = signal.groupBy("channel").agg(F.avg("v").alias("_mean"))
+    return signal.join(F.broadcast(means), "channel").withColumn("z", F.col("v") - F.col("_mean")).drop("_mean")
 
 
 def remove_common_mode(signal: DataFrame) -> DataFrame:
     """Takes from each channel its projection on the mean of the centred channels."""
-    z = signal.withColumn("z", F.col("v") - F.avg("v").over(Window.partitionBy("channel")))
+    z = centred(signal)
     z = z.withColumn("m", F.avg("z").over(Window.partitionBy("t")))
     power = z.groupBy("t").agg(F.first("m").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("p"))
     b = z.groupBy("channel").agg(F.sum(F.col("z") * F.col("m")).alias("zm")).crossJoin(F.broadcast(power)).select("channel", (F.col("zm") / F.col("p")).alias("b"))
     return z.join(F.broadcast(b), "channel").select("channel", "t", F.round(F.col("v") - F.col("b") * F.col("m"), 5).alias("v"))
 
 
-def _lagged(signal: DataFrame, value: str, max_lag: int) -> DataFrame:
-    left = signal.select(F.col("channel").alias("c1"), F.col(value).alias("x"), "t", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("t", F.col("t") + F.col("lag"))
-    right = signal.select(F.col("channel").alias("c2"), F.col(value).alias("y"), "t")
-    return left.join(right, "t").filter("c1 <= c2").withColumn("lag", F.col("lag").cast("long"))
-
-
-def xcorr(signal: DataFrame, max_lag: int) -> DataFrame:
-    return _lagged(signal, "v", max_lag).groupBy("c1", "c2", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("xc"))
-
-
-def covariance(signal: DataFrame, max_lag: int) -> DataFrame:
-    z = signal.withColumn("z", F.col("v") - F.avg("v").over(Window.partitionBy("channel")))
-    return _lagged(z, "z", max_lag).groupBy("c1", "c2", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.count("*"), 4).alias("cov"))
-
-
 def extract(signal: DataFrame, begins: DataFrame, length: int, left: int = 0) -> DataFrame:
     """Samples begin-left .. of each (channel, begin); what is missing is 0."""
     want = begins.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))).withColumn("t", F.col("begin") - left + F.col("pos"))
@@ -60,16 +44,27 @@ def extract(signal: DataFrame, begins: DataFrame, length: int, left: int = 0) ->
 
 
 def cut(signal: DataFrame, begins: DataFrame, left: int, length: int) -> DataFrame:
-    """extract() of the events whose window lies within the signal."""
+    """extract() of every event; one whose window does not lie within the signal has zeros only."""
     n = signal.agg(F.max("t").alias("n"))
-    inside = begins.crossJoin(F.broadcast(n)).filter((F.col("begin") > left) & (F.col("begin") - left + length + 1 <= F.col("n"))).drop("n")
-    return extract(signal, inside, length, left)
+    inside = (F.col("begin") > left) & (F.col("begin") - left + length + 1 <= F.col("n"))
+    return extract(signal, begins, length, left).crossJoin(F.broadcast(n)).withColumn("v", F.when(inside, F.col("v")).otherwise(0.0)).drop("n")
 
 
 def _by_channel(waves: DataFrame, n: int, tf: int) -> DataFrame:
     return waves.select("wf_id", "unit", F.posexplode(A.channels(F.col("v"), n, tf)).alias("channel", "u")).withColumn("channel", F.col("channel").cast("long"))
 
 
+def to_rows(waves: DataFrame, n: int, tf: int) -> DataFrame:
+    """wf_id, channel, u: a row a waveform and channel."""
+    return _by_channel(waves, n, tf).select("wf_id", "channel", "u")
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """wf_id, v: the rows of each waveform laid end to end by channel."""
+    parts = F.array_sort(F.collect_list(F.struct("channel", "u")))
+    return rows.groupBy("wf_id").agg(F.flatten(F.transform(parts, lambda x: x["u"])).alias("v"))
+
+
 def extremes(waves: DataFrame, n: int, tf: int) -> DataFrame:
     u = F.col("u")
     low, high = F.array_min(u), F.array_max(u)
@@ -154,23 +149,22 @@ def cross_differences(t: DataFrame, tf: int, most: int = 2) -> DataFrame:
     return best.select("u1", "u2", F.col("tau").cast("long").alias("tau"), F.round("d", 5).alias("d"), F.round(gap, 5).alias("max_abs"))
 
 
-def shifted_distances(t: DataFrame, max_shift: int) -> DataFrame:
-    """Smallest and largest distance of each pair over shifts of the second template."""
-    d = F.array(*[A.distance(F.col("v1"), A.shift(F.col("v2"), k)) for k in range(-max_shift, max_shift + 1)])
-    return _pairs(t).select("u1", "u2", F.round(F.array_min(d), 5).alias("low"), F.round(F.array_max(d), 5).alias("high"))
+def shifted_distances(t: DataFrame, tf: int, max_shift: int) -> DataFrame:
+    """Smallest and largest distance of each pair over shifts of the second template's channels, and their shifts (the
+    first from the most negative up)."""
+    d = F.array(*[F.struct(A.distance(F.col("v1"), A.shift(F.col("v2"), k, tf)).alias("d"), F.lit(k).cast("long").alias("tau")) for k in range(-max_shift, max_shift + 1)])
+    found = _pairs(t).select("u1", "u2", F.explode(d).alias("x")).select("u1", "u2", "x.*")
+    low, high = F.struct(F.round("d", 9), "tau"), F.struct(-F.round("d", 9), "tau")
+    return found.groupBy("u1", "u2").agg(F.round(F.min("d"), 5).alias("low"), F.min_by("tau", low).alias("low_at"), F.round(F.max("d"), 5).alias("high"), F.min_by("tau", high).alias("high_at"))
 
 
-def overlaps(t: DataFrame) -> DataFrame:
-    return _pairs(t).select("u1", "u2", F.round(100 * A.cosine(F.col("v1"), F.col("v2")), 5).alias("overlap"))
-
-
-def match_templates(waves: DataFrame, t: DataFrame, max_shift: int) -> DataFrame:
-    """Best template and shift of each waveform by dot product; ties go to the smaller shift, then unit."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("tau"), A.shift(F.col("v"), k).alias("f")) for k in range(-max_shift, max_shift + 1)])).alias("x")
-    bank = t.select("unit", shifts).select("unit", "x.tau", "x.f")
-    scored = waves.select("wf_id", "v").crossJoin(F.broadcast(bank) if t.count() <= BANK else bank).select("wf_id", "unit", "tau", A.dot(F.col("v"), F.col("f")).alias("score"))
-    best = scored.groupBy("wf_id").agg(F.min_by(F.struct("unit", "tau", "score"), F.struct(-F.round("score", 6), F.abs("tau"), "tau", "unit")).alias("m"))
-    return best.select("wf_id", "m.unit", "m.tau", F.round("m.score", 5).alias("score"))
+def overlaps(t: DataFrame, n: int, tf: int) -> DataFrame:
+    """100 * cosine of each pair, the later template moved left by the pair's best lag (cross_covariances), zeros coming in."""
+    best = cross_covariances(t, n, tf).select("u1", "u2", F.col("tau").cast("int").alias("tau"))
+    side = lambda k: t.select(F.col("unit").alias(f"u{k}"), F.col("v").alias(f"v{k}"))
+    both = best.join(side(1), "u1").join(side(2), "u2")
+    a, b = A.shift(F.col("v1"), -F.greatest("tau", F.lit(0)), tf), A.shift(F.col("v2"), F.least("tau", F.lit(0)), tf)
+    return both.select("u1", "u2", F.round(100 * A.cosine(a, b), 5).alias("overlap"))
 
 
 def merged_footprint(waves: DataFrame, units: list[int]) -> DataFrame:
@@ -186,12 +180,6 @@ def top_channels(t: DataFrame, tf: int, k: int) -> DataFrame:
     return ranked.filter(F.col("k") <= k).select("unit", "channel", F.round("span", 6).alias("span"))
 
 
-def inject(gdf: DataFrame, footprint: list[float]) -> DataFrame:
-    """Superposes a scaled footprint at each event."""
-    f = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in enumerate(footprint)])).alias("f")
-    return gdf.select("channel", "t", "amp", f).groupBy("channel", (F.col("t") + F.col("f.k")).alias("t")).agg(F.round(F.sum(F.col("amp") * F.col("f.x")), 5).alias("v"))
-
-
 def principal_components(waves: DataFrame, dims: int) -> DataFrame:
     """Projections on the first components; moments are one aggregate of the size of a waveform squared."""
     import numpy as np
@@ -228,12 +216,22 @@ def global_extremes(waves: DataFrame) -> DataFrame:
 
 def align_on_max(waves: DataFrame, channels: int, samples: int, at: int) -> DataFrame:
     """Shifts all channels of a waveform so that its highest sample stands at `at` (from 0); zeros fill in. Adds tau."""
-    steps = F.sequence(F.lit(0), F.lit(samples - 1))
-    top = F.transform(steps, lambda k: F.greatest(*[F.get("v", k + c * samples) for c in range(channels)]))
-    moved = waves.withColumn("_top", top).withColumn("tau", F.lit(at) - (F.array_position("_top", F.array_max("_top")) - 1).cast("int"))
-    place = lambda k: k - F.col("tau")
-    one = lambda c: F.transform(steps, lambda k: F.when(place(k).between(0, samples - 1), F.get("v", place(k) + c * samples)).otherwise(0.0))
-    return moved.withColumn("v", F.concat(*[one(c) for c in range(channels)])).drop("_top")
+    names = waves.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, channels, samples)
+            tau = at - np.argmax(x.max(1), 1)
+            place = np.arange(samples)[None, :] - tau[:, None]
+            held = (place >= 0) & (place < samples)
+            moved = np.take_along_axis(x, np.broadcast_to(np.clip(place, 0, samples - 1)[:, None, :], x.shape), 2) * held[:, None, :]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(moved.reshape(len(x), -1)), pa.list_(pa.float64())) if c == "v" else b.column(c) for c in names), pa.array(tau, pa.int32())], names=[*names, "tau"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waves.schema)
+    return waves.mapInArrow(run, f"{types}, tau int")
 
 
 def superpose(events: DataFrame, means: DataFrame, samples: int, cut_left: int) -> DataFrame:
@@ -247,13 +245,3 @@ def chunks(signal: DataFrame, length: int, size: int, overlap: int) -> DataFrame
     first, last = F.floor((F.col("t") - 1 - overlap) / size), F.floor((F.col("t") - 1 + overlap) / size)
     spread = signal.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit((length - 1) // size).cast("long")))))
     return spread.withColumn("core", F.floor((F.col("t") - 1) / size) == F.col("chunk"))
-
-
-def classify(waves: DataFrame, t: DataFrame, max_shift: int, prior: float) -> DataFrame:
-    """Template with the largest discriminant, dot product - energy / 2 + log(prior), at any shift; unit 0 (noise) if it is not above 0."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("tau"), A.shift(F.col("v"), k).alias("f")) for k in range(-max_shift, max_shift + 1)])).alias("x")
-    bank = t.select("unit", (A.dot(F.col("v"), F.col("v")) / 2 - F.log(F.lit(prior))).alias("cost"), shifts).select("unit", "cost", "x.tau", "x.f")
-    pairs = waves.select("wf_id", "v").crossJoin(F.broadcast(bank) if t.count() <= BANK else bank)
-    scored = pairs.select("wf_id", "unit", "tau", (A.dot(F.col("v"), F.col("f")) - F.col("cost")).alias("d"))
-    best = scored.groupBy("wf_id").agg(F.min_by(F.struct("unit", "tau", "d"), F.struct(-F.round("d", 6), F.abs("tau"), "tau", "unit")).alias("m"))
-    return best.select("wf_id", F.when(F.round("m.d", 6) > 0, F.col("m.unit")).otherwise(0).cast("long").alias("unit"), "m.tau", F.round("m.d", 5).alias("d"))

@@ -1,61 +1,144 @@
-"""Order-dependent walks over sorted events, by group in numpy; groups are cut at gaps the walk cannot cross, so
-that no train has to sit in one task."""
+"""Order-dependent walks over sorted events, a group at a time; groups are cut at gaps the walk cannot cross, so
+that a train is spread over many tasks. match_trains alone walks a unit's train in one task, in order."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width in t of the cells in which neighbours of an event are looked up; wider for longer gaps.
+CELL = 1 << 14
+
+
+def by_group(rows: DataFrame, keys: list[str], order: list[str], schema: str, f: Callable) -> DataFrame:
+    """f(columns by name) -> rows, for each group of `keys` in `order`. One shuffle and sort; only one group is held at
+    a time, and small groups cost no call into pandas."""
+    names = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        fields = [x.split() for x in schema.split(", ")]
+        out_schema = pa.schema([(n, kinds[k]) for n, k in fields])
+        at = [names.index(k) for k in keys]
+        now, held = None, None
+
+        def put(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), out_schema.types, strict=True)], schema=out_schema)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols, out = [c.to_pylist() for c in b.columns], []
+            key = list(zip(*(cols[k] for k in at), strict=True))
+            cuts = [0, *(r for r in range(1, len(key)) if key[r] != key[r - 1]), len(key)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                part = [c[x:y] for c in cols]
+                if held is not None and key[x] == now:
+                    for own, more in zip(held, part, strict=True):
+                        own.extend(more)
+                    continue
+                if held is not None:
+                    out += f(dict(zip(names, held, strict=True)))
+                now, held = key[x], part
+            if out:
+                yield put(out)
+        if held is not None and (out := f(dict(zip(names, held, strict=True)))):
+            yield put(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
-def islands(rows: DataFrame, by: list[str], t: str, gap: int, order: list[str]) -> DataFrame:
-    """Column `island`: number of the run of events whose successive distances are below `gap`."""
-    w = Window.partitionBy(*by).orderBy(t, *order)
-    new = F.when(F.col(t) - F.lag(t).over(w) < gap, 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
+def islands(rows: DataFrame, by: list[str], t: str, gap: int, order: list[str]) -> DataFrame:
+    """Column `island`: t of the first event of the run of events whose successive distances are below `gap`.
 
-def merge_detections_sessions(events: DataFrame, gap: int) -> DataFrame:
-    """One event an island: the most negative, or the largest if none is negative."""
+    Neighbours are found in cells of t, a cell a task at most; only one row a cell is put in order over a whole series.
+    """
+    cell = max(CELL, 2 * gap)
+    marked = rows.withColumn("_cell", F.floor(F.col(t) / cell))
+    own = Window.partitionBy(*by, "_cell").orderBy(t, *order)
+    last = marked.groupBy(*by, (F.col("_cell") + 1).alias("_cell")).agg(F.max(t).alias("_last"))
+    marked = marked.withColumn("_p", F.lag(t).over(own))
+    marked = marked.join(last, [*by, "_cell"], "left").withColumn("_p", F.coalesce("_p", "_last"))
+    marked = marked.withColumn("_start", F.when(F.col("_p").isNull() | (F.col(t) - F.col("_p") >= gap), F.col(t)))
+    cells = marked.groupBy(*by, "_cell").agg(F.max("_start").alias("_s"))
+    carry = cells.withColumn("_carry", F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
+    known = F.max("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("island", known).join(carry, [*by, "_cell"]).withColumn("island", F.coalesce("island", "_carry")).drop("_cell", "_p", "_last", "_start", "_carry")
+
+
+def merge_sessions(events: DataFrame, gap: int) -> DataFrame:
+    """One event of a unit's run of events closer than gap: the most negative, or the largest if none is negative."""
     marked = islands(events, ["unit"], "t", gap, ["event_id"])
     return marked.groupBy("unit", "island").agg(F.when(F.min("amp") < 0, F.min_by("event_id", F.struct("amp", "event_id"))).otherwise(F.min_by("event_id", F.struct(-F.col("amp"), "event_id"))).alias("event_id"), F.count("*").alias("n_events")).drop("island")
 
 
+def merge_detections(events: DataFrame, max_dist: int) -> DataFrame:
+    """t, amp, channel of one event for each group of detections close in time, over all channels.
+
+    A group grows while the next event is less than max_dist after the group's best event so far: a negative event
+    takes the place of a positive one, else one of equal or larger size does. Kept is the most negative event of a
+    group, or the largest if none is negative (of equals the first, in the order of t, channel, amp).
+    """
+    marked = islands(events.select("t", "amp", "channel"), [], "t", max_dist, ["channel", "amp"])
+
+    def walk(x):
+        t, amp, out, first = x["t"], x["amp"], [], 0
+        while first < len(t):
+            best, end = first, first + 1
+            while end < len(t) and t[end] < t[best] + max_dist:
+                if amp[best] > 0 > amp[end] or abs(amp[best]) <= abs(amp[end]):
+                    best = end
+                end += 1
+            group = range(first, end)
+            low = min(amp[k] for k in group)
+            kept = min(group, key=lambda k: (amp[k], k)) if low < 0 else min(group, key=lambda k: (-amp[k], k))
+            out.append((t[kept], amp[kept], x["channel"][kept]))
+            first = end
+        return out
+
+    kind = events.schema["channel"].dataType.simpleString()
+    return by_group(marked, ["island"], ["t", "channel", "amp"], f"t long, amp double, channel {kind}", walk)
+
+
 def peaks(signal: DataFrame) -> DataFrame:
-    """Local maxima (plateaus too) of each channel, ends excluded."""
-    w = Window.partitionBy("channel").orderBy("t")
-    near = signal.withColumn("_a", F.lag("v").over(w)).withColumn("_b", F.lead("v").over(w))
-    return near.filter((F.col("v") >= F.col("_a")) & (F.col("v") >= F.col("_b"))).drop("_a", "_b")
+    """Local maxima (plateaus too) of each channel, ends excluded; for samples that follow each other in cells of t."""
+    cell = F.floor(F.col("t") / CELL)
+    w = Window.partitionBy("channel", "_cell").orderBy("t")
+    marked = signal.withColumn("_cell", cell)
+    edge = lambda step, f: marked.groupBy("channel", (F.col("_cell") + step).alias("_cell")).agg(f("v", "t").alias(f"_e{step}"))
+    near = marked.withColumn("_a", F.lag("v").over(w)).withColumn("_b", F.lead("v").over(w))
+    near = near.join(edge(1, F.max_by), ["channel", "_cell"], "left").join(edge(-1, F.min_by), ["channel", "_cell"], "left")
+    near = near.withColumn("_a", F.coalesce("_a", "_e1")).withColumn("_b", F.coalesce("_b", "_e-1"))
+    return near.filter((F.col("v") >= F.col("_a")) & (F.col("v") >= F.col("_b"))).select("channel", "t", "v")
 
 
 def suppress_peaks(found: DataFrame, min_dist: int, min_height: float) -> DataFrame:
     """Of neighbours closer than min_dist the smaller goes (of equals the left), again and again."""
-    high = islands(found.filter(F.col("v") > min_height), ["channel"], "t", min_dist, [])
-
-    def walk(key, table):
-        import numpy as np
+    high = islands(found.filter(F.col("v") > min_height).select("channel", "t", "v"), ["channel"], "t", min_dist, [])
 
-        table = table.sort_values("t")
-        t, v = table["t"].to_numpy(), table["v"].to_numpy()
-        live = np.arange(len(t))
+    def walk(x):
+        t, v = x["t"], x["v"]
+        live = list(range(len(t)))
         while True:
-            close = np.flatnonzero(np.diff(t[live]) < min_dist)
-            if not len(close):
-                break
-            loser = np.where(v[live[close]] > v[live[close + 1]], close + 1, close)
-            live = np.delete(live, np.unique(loser))
-        return table.iloc[live][["channel", "t", "v"]]
+            lost = {b if v[a] > v[b] else a for a, b in zip(live, live[1:]) if t[b] - t[a] < min_dist}
+            if not lost:
+                return [(x["channel"][k], t[k], v[k]) for k in live]
+            live = [k for k in live if k not in lost]
 
-    return high.groupBy("channel", "island").applyInPandas(walk, "channel int, t long, v double")
+    kind = found.schema["channel"].dataType.simpleString()
+    return by_group(high, ["channel", "island"], ["t"], f"channel {kind}, t long, v double", walk)
 
 
 def match_trains(a: DataFrame, b: DataFrame, jitter: int) -> DataFrame:
     """Greedy one-to-one matches of two event sets by unit: tp, fp, fn; the tail of the longer train is not counted."""
     both = a.select("unit", "t", F.lit(0).alias("side")).unionByName(b.select("unit", "t", F.lit(1).alias("side")))
 
-    def walk(key, table):
-        import pandas as pd
-
-        one, two = (sorted(table.loc[table["side"] == k, "t"].tolist()) for k in (0, 1))
+    def walk(x):
+        one, two = ([t for t, s in zip(x["t"], x["side"], strict=True) if s == k] for k in (0, 1))
         i = j = tp = fp = fn = 0
         while i < len(one) and j < len(two):
             if abs(one[i] - two[j]) <= jitter:
@@ -64,9 +147,39 @@ def match_trains(a: DataFrame, b: DataFrame, jitter: int) -> DataFrame:
                 fn, i = fn + 1, i + 1
             else:
                 fp, j = fp + 1, j + 1
-        return pd.DataFrame({"unit": [key[0]], "tp": [tp], "fp": [fp], "fn": [fn]})
+        return [(x["unit"][0], tp, fp, fn)]
 
-    return both.groupBy("unit").applyInPandas(walk, "unit long, tp long, fp long, fn long")
+    return by_group(both, ["unit"], ["t"], f"unit {a.schema['unit'].dataType.simpleString()}, tp long, fp long, fn long", walk)
+
+
+def mark_overlaps(events: DataFrame, dist: int) -> DataFrame:
+    """event_id of events in an overlap by the pairwise walk: of two trains the events at the front are compared, both
+    are marked at dist or less, then the earlier moves on (the second train on equal times). So not every event within
+    dist of another is marked; in_overlap() of the evaluation gives those.
+
+    Only events near another train's are walked, cut into independent runs; a pair's walk needs its runs alone.
+    """
+    run = islands(events.select("unit", "t", "event_id"), [], "t", dist + 1, ["event_id"])
+
+    def walk(x):
+        trains: dict = {}
+        for u, t, e in zip(x["unit"], x["t"], x["event_id"], strict=True):
+            trains.setdefault(u, []).append((t, e))
+        hit = set()
+        units = sorted(trains)
+        for k, u in enumerate(units):
+            for w in units[k + 1 :]:
+                a, b, i, j = trains[u], trains[w], 0, 0
+                while i < len(a) and j < len(b):
+                    if abs(a[i][0] - b[j][0]) <= dist:
+                        hit |= {a[i][1], b[j][1]}
+                    if a[i][0] < b[j][0]:
+                        i += 1
+                    else:
+                        j += 1
+        return [(e,) for e in sorted(hit)]
+
+    return by_group(run, ["island"], ["t", "event_id"], "event_id long", walk)
 
 
 def mean_shift(points: DataFrame, bandwidth: float, by: str = "leg", rounds: int = 100) -> DataFrame:
@@ -116,15 +229,11 @@ def thin(events: DataFrame, refractory: int) -> DataFrame:
     """
     runs = islands(events.select("unit", "t", "event_id"), ["unit"], "t", refractory, ["event_id"])
 
-    def walk(key, table):
+    def walk(x):
         import heapq
 
-        import numpy as np
-
-        table = table.sort_values(["t", "event_id"])
-        t = table["t"].tolist()
-        after, before = list(range(1, len(t) + 1)), list(range(-1, len(t) - 1))
-        kept = np.ones(len(t), bool)
+        t = x["t"]
+        after, kept = list(range(1, len(t) + 1)), [True] * len(t)
         heap = [(t[k + 1] - t[k], k, k + 1) for k in range(len(t) - 1)]
         heapq.heapify(heap)
         while heap and heap[0][0] < refractory:
@@ -133,8 +242,7 @@ def thin(events: DataFrame, refractory: int) -> DataFrame:
                 kept[b] = False
                 after[a] = c = after[b]
                 if c < len(t):
-                    before[c] = a
                     heapq.heappush(heap, (t[c] - t[a], a, c))
-        return table.loc[kept, ["unit", "t", "event_id"]]
+        return [(u, time, e) for u, time, e, k in zip(x["unit"], t, x["event_id"], kept, strict=True) if k]
 
-    return runs.groupBy("unit", "island").applyInPandas(walk, events.select("unit", "t", "event_id").schema)
+    return by_group(runs, ["unit", "island"], ["t", "event_id"], f"unit {events.schema['unit'].dataType.simpleString()}, t long, event_id long", walk)

@@ -11,8 +11,10 @@ from ..functions import arrays as A
 from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import fits as L
+from ..operators import generate as G
 from ..operators import intervals as I
 from ..operators import matrices as M
+from ..operators import templates as P
 from ..operators import walks as K
 from ..sources import tables as T
 
@@ -23,7 +25,7 @@ SQL: dict[str, str] = {}
 GDF = "SELECT user_id AS unit, CAST(floor(epoch_ms(ts) / 60000) AS BIGINT) AS t, value AS amp, length(event_type) AS channel, event_id FROM events"
 WAVES = "SELECT vec_id AS wf_id, label AS unit, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 EPOCHS = "SELECT o_custkey AS series_id, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) + o_orderkey % 40 AS e FROM orders"
-SIGNAL = "SELECT CAST(l_linenumber % 4 AS INTEGER) AS channel, l_orderkey AS t, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+SIGNAL = "SELECT CAST(l_linenumber % 4 AS INTEGER) AS channel, l_orderkey + 1 AS t, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
 MERGED = f"""ep AS ({EPOCHS}), m0 AS (SELECT *, max(e) OVER (PARTITION BY series_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ep),
 m1 AS (SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m0),
 merged AS (SELECT series_id, min(s) AS s, max(e) AS e FROM m1 GROUP BY series_id, island)"""
@@ -33,6 +35,8 @@ FROM, TO, DAY = 28401120, 28445760, 1440
 
 def query(name: str, sql: str | None = None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
@@ -49,12 +53,11 @@ def _(s, d):
     return T.gdf(s, d)
 
 
-@query("src_06", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x) SELECT channel, t, v FROM x WHERE channel < 2 UNION ALL SELECT channel, t + n, v FROM x, n WHERE channel < 2")
+@query("src_06", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x) SELECT channel, t, v FROM x UNION ALL SELECT channel, t + n, v FROM x, n")
 def _(s, d):
     x = T.signal(s, d)
     n = x.agg(F.max("t")).first()[0] or 0
-    two = x.filter("channel < 2")
-    return T.concatenate([(two, n), (two, n)])
+    return T.concatenate([(x, n), (x, n)])
 
 
 @query("src_14", f"WITH g AS (SELECT DISTINCT unit, CAST(floor(t / 60) AS BIGINT) AS f FROM ({GDF})), p AS (SELECT unit, f, lag(f) OVER (PARTITION BY unit ORDER BY f) AS b FROM g) SELECT unit, b + 1 AS begin, f - b - 1 AS length FROM p WHERE f - b > 1")
@@ -70,9 +73,9 @@ def _(s, d):
     return E.frames_from_missing(bounds, E.missing_frames(g, "unit", "f"), "unit")
 
 
-@query("sel_01", f"SELECT channel, t, v FROM ({SIGNAL}) WHERE t BETWEEN 100 AND 2000 AND channel IN (1, 3)")
+@query("sel_01", f"SELECT pos, channel, t, v FROM (SELECT unnest(['x', 'y', 'y', 'z']) AS a, unnest([1, 2, 3, 4]) AS pos, unnest([70, 5, 5, 33]) AS t) i JOIN ({SIGNAL}) s USING (t) WHERE channel IN (1, 3)")
 def _(s, d):
-    return T.signal(s, d).filter(F.col("t").between(100, 2000) & F.col("channel").isin(1, 3))
+    return T.pick(T.signal(s, d), [70, 5, 5, 33]).filter(F.col("channel").isin(1, 3))
 
 
 @query("sel_03", f"SELECT wf_id, c * 5 + k AS pos, round(v[c * 16 + 3 + k], 6) AS x FROM ({WAVES}), range(0, 4) r(c), range(1, 6) q(k)")
@@ -140,24 +143,31 @@ def _(s, d):
     return I.sessions(T.gdf(s, d), [FROM, FROM + 7 * DAY, FROM + 14 * DAY, TO]).select("event_id", "unit", "session", "t_session")
 
 
-@query("join_04")
+@query("join_04", f"""WITH RECURSIVE a AS (SELECT unit, t AS t1, row_number() OVER (PARTITION BY unit ORDER BY t) AS i FROM ({GDF}) WHERE event_id % 3 <> 0), b AS (SELECT unit, t + 2 AS t2, row_number() OVER (PARTITION BY unit ORDER BY t) AS j FROM ({GDF}) WHERE event_id % 3 <> 1),
+w(unit, i, j, tp, fp, fn) AS (SELECT DISTINCT unit, 1::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM ({GDF}) UNION ALL
+SELECT w.unit, w.i + CASE WHEN t1 - t2 <= 3 THEN 1 ELSE 0 END, w.j + CASE WHEN t1 - t2 >= -3 THEN 1 ELSE 0 END, tp + CASE WHEN abs(t1 - t2) <= 3 THEN 1 ELSE 0 END, fp + CASE WHEN t1 - t2 > 3 THEN 1 ELSE 0 END, fn + CASE WHEN t1 - t2 < -3 THEN 1 ELSE 0 END FROM w JOIN a ON a.unit = w.unit AND a.i = w.i JOIN b ON b.unit = w.unit AND b.j = w.j)
+SELECT unit, max(tp) AS tp, max(fp) AS fp, max(fn) AS fn FROM w GROUP BY unit""")
 def _(s, d):
     g = T.gdf(s, d)
     return K.match_trains(g.filter("event_id % 3 != 0"), g.filter("event_id % 3 != 1").withColumn("t", F.col("t") + 2), 3)
 
 
-@query("join_06", f"WITH g AS ({GDF}) SELECT DISTINCT a.event_id FROM g a JOIN g b ON a.unit = b.unit + 1 AND abs(a.t - b.t) <= 30")
+@query("join_06", f"WITH g AS ({GDF}) SELECT DISTINCT a.event_id FROM g a JOIN g b ON a.unit <> b.unit AND abs(a.t - b.t) <= 1")
 def _(s, d):
-    g = T.gdf(s, d)
-    other = g.select((F.col("unit") + 1).alias("unit"), (F.col("t") - 30).alias("s"), (F.col("t") + 30).alias("e"))
-    return I.range_join(g, other, ["unit"], "t", 64).select("event_id").distinct()
+    return V.in_overlap(T.gdf(s, d), 1)
 
 
-@query("join_08", f"WITH g AS ({GDF}), x AS (SELECT unit, t, event_id, row_number() OVER (PARTITION BY unit ORDER BY t, event_id) AS i FROM g) SELECT unit, event_id, min(t) OVER (PARTITION BY unit) + i - 1 AS frame FROM x")
+@query("join_06_walk")
 def _(s, d):
-    w = Window.partitionBy("unit")
-    g = T.gdf(s, d)
-    return g.select("unit", "event_id", (F.min("t").over(w) + F.row_number().over(w.orderBy("t", "event_id")) - 1).alias("frame"))
+    return K.mark_overlaps(T.gdf(s, d), 1)
+
+
+@query("join_08", f"SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY f) AS idx, f AS frame FROM (SELECT DISTINCT unit, CAST(floor(t / 60) AS BIGINT) AS f FROM ({GDF}))")
+def _(s, d):
+    g = T.gdf(s, d).select("unit", F.floor(F.col("t") / 60).alias("f")).distinct()
+    bounds = g.groupBy("unit").agg(F.min("f").alias("first"), F.max("f").alias("last"), F.count("*").alias("n"))
+    samples = bounds.select("unit", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("idx"))
+    return E.frame_numbers(samples, bounds, E.missing_frames(g, "unit", "f"), "unit")
 
 
 @query("join_09", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -225,16 +235,28 @@ def _(s, d):
     return K.peaks(T.signal(s, d))
 
 
-@query("det_01_suppressed")
+#: Of peaks (channel, t, h) closer than a distance the smaller goes, of equals the left, until none is.
+_SUPPRESS = """r(it, channel, t, h) AS (SELECT 0, channel, t, h FROM cand UNION ALL SELECT it + 1, channel, t, h FROM (SELECT *, bool_or(lost) OVER () AS again FROM
+(SELECT it, channel, t, h, coalesce(t - lag(t) OVER w < DIST AND lag(h) OVER w > h, false) OR coalesce(lead(t) OVER w - t < DIST AND h <= lead(h) OVER w, false) AS lost FROM r WINDOW w AS (PARTITION BY channel ORDER BY t))) WHERE NOT lost AND again)"""
+
+
+@query("det_01_suppressed", f"WITH RECURSIVE x AS (SELECT *, lag(v) OVER (PARTITION BY channel ORDER BY t) AS a, lead(v) OVER (PARTITION BY channel ORDER BY t) AS b FROM ({SIGNAL})), cand AS (SELECT channel, t, v AS h FROM x WHERE v >= a AND v >= b AND v > 20), {_SUPPRESS.replace('DIST', '6')} SELECT channel, t, h AS v FROM r WHERE it = (SELECT max(it) FROM r)")
 def _(s, d):
     return K.suppress_peaks(K.peaks(T.signal(s, d)), 6, 20.0)
 
 
-@query("det_04", f"""WITH g AS (SELECT unit, t, amp - 50 AS amp, event_id FROM ({GDF})), x AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) < 120 THEN 0 ELSE 1 END AS n FROM g),
+@query("det_04", f"""WITH RECURSIVE e AS (SELECT t, amp - 50 AS amp, channel FROM ({GDF})), i0 AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, channel, amp) < 5 THEN 0 ELSE 1 END AS n FROM e), i1 AS (SELECT *, sum(n) OVER (ORDER BY t, channel, amp ROWS UNBOUNDED PRECEDING) AS island FROM i0), p AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY t, channel, amp) AS k FROM i1),
+w(island, k, grp, bt, ba) AS (SELECT island, k, k, t, amp FROM p WHERE k = 1 UNION ALL SELECT p.island, p.k, CASE WHEN p.t < bt + 5 THEN grp ELSE p.k END, CASE WHEN p.t >= bt + 5 OR (ba > 0 AND amp < 0) OR abs(ba) <= abs(amp) THEN p.t ELSE bt END, CASE WHEN p.t >= bt + 5 OR (ba > 0 AND amp < 0) OR abs(ba) <= abs(amp) THEN amp ELSE ba END FROM w JOIN p ON p.island = w.island AND p.k = w.k + 1),
+j AS (SELECT p.*, grp, min(amp) OVER (PARTITION BY p.island, grp) AS low FROM p JOIN w USING (island, k)), o AS (SELECT *, row_number() OVER (PARTITION BY island, grp ORDER BY CASE WHEN low < 0 THEN amp ELSE -amp END, k) AS r FROM j) SELECT t, amp, channel FROM o WHERE r = 1""")
+def _(s, d):
+    return K.merge_detections(T.gdf(s, d).withColumn("amp", F.col("amp") - 50), 5)
+
+
+@query("det_04_sessions", f"""WITH g AS (SELECT unit, t, amp - 50 AS amp, event_id FROM ({GDF})), x AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) < 120 THEN 0 ELSE 1 END AS n FROM g),
 y AS (SELECT *, sum(n) OVER (PARTITION BY unit ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS i FROM x), r AS (SELECT *, min(amp) OVER (PARTITION BY unit, i) AS low, count(*) OVER (PARTITION BY unit, i) AS n_events FROM y),
 z AS (SELECT *, row_number() OVER (PARTITION BY unit, i ORDER BY CASE WHEN low < 0 THEN amp ELSE -amp END, event_id) AS k FROM r) SELECT unit, event_id, n_events FROM z WHERE k = 1""")
 def _(s, d):
-    return K.merge_detections_sessions(T.gdf(s, d).withColumn("amp", F.col("amp") - 50), 120)
+    return K.merge_sessions(T.gdf(s, d).withColumn("amp", F.col("amp") - 50), 120)
 
 
 @query("det_08", f"WITH x AS ({SIGNAL}), m AS (SELECT channel, median(v) AS m FROM x GROUP BY 1) SELECT channel, round(1.4826 * median(abs(v - m)), 6) AS sigma, round(median(abs(v - m)), 6) AS mad FROM x JOIN m USING (channel) GROUP BY channel")
@@ -251,11 +273,6 @@ def _(s, d):
 # signal
 
 
-@query("sig_02", f"WITH x AS ({SIGNAL}), w AS (SELECT * FROM (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)) q(k, b)) SELECT channel, t + k AS t, round(sum(v * b), 6) AS v FROM x, w GROUP BY 1, 2")
-def _(s, d):
-    return M.convolve(T.signal(s, d), [0.25, 0.5, 0.25])
-
-
 @query("sig_03", f"""WITH x AS ({SIGNAL}), c AS (SELECT channel, t, v, v - avg(v) OVER (PARTITION BY channel) AS z FROM x), m AS (SELECT t, avg(z) AS m FROM c GROUP BY t), k AS (SELECT channel, sum(z * m.m) / (SELECT sum(m * m) FROM m) AS b FROM c JOIN m USING (t) GROUP BY channel)
 SELECT c.channel, c.t, round(c.v - k.b * m.m, 5) AS v FROM c JOIN m USING (t) JOIN k USING (channel)""")
 def _(s, d):
@@ -267,15 +284,16 @@ def _(s, d):
     return T.signal(s, d).select("channel", "t", F.round(F.col("v") - F.avg("v").over(Window.partitionBy("t")), 6).alias("v"))
 
 
-@query("sig_08", f"SELECT wf_id, k - 1 AS pos, CASE WHEN k > 3 THEN round(v[k - 3], 6) ELSE 0 END AS x FROM ({WAVES}), range(1, 65) r(k)")
+@query("sig_08", f"SELECT wf_id, c, k, CASE WHEN k - 3 BETWEEN 0 AND 15 THEN round(v[c * 16 + k - 2], 6) ELSE 0 END AS x FROM ({WAVES}), range(0, 4) r(c), range(0, 16) q(k)")
 def _(s, d):
-    w = T.waveforms(s, d).select("wf_id", F.posexplode(A.shift(F.col("v"), 3)).alias("p", "x"))
-    return w.select("wf_id", F.col("p").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    w = T.waveforms(s, d).select("wf_id", F.posexplode(A.shift(F.col("v"), 3, 16)).alias("p", "x"))
+    return w.select("wf_id", F.floor(F.col("p") / 16).alias("c"), (F.col("p") % 16).cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
-@query("sig_11", f"WITH x AS ({SIGNAL}) SELECT a.channel AS c1, b.channel AS c2, b.t - a.t AS lag, round(sum(a.v * b.v), 4) AS xc FROM x a JOIN x b ON b.t - a.t BETWEEN 0 AND 5 AND a.channel <= b.channel GROUP BY 1, 2, 3")
+@query("sig_08_wide", f"SELECT wf_id, c, k, CASE WHEN k BETWEEN 5 AND 20 THEN round(v[c * 16 + k - 4], 6) ELSE 0 END AS x FROM ({WAVES}), range(0, 4) r(c), range(0, 21) q(k)")
 def _(s, d):
-    return M.xcorr(T.signal(s, d), 5)
+    w = T.waveforms(s, d).select("wf_id", F.posexplode(A.shift_wide(F.col("v"), 3, 4, 16, 2, 3)).alias("p", "x"))
+    return w.select("wf_id", F.floor(F.col("p") / 21).alias("c"), (F.col("p") % 21).cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
 # representation
@@ -317,7 +335,7 @@ def _(s, d):
     return M.project_on_mean(T.waveforms(s, d), 16)
 
 
-@query("wav_06", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x), p AS (SELECT channel, t AS begin FROM x, n WHERE t % 50 = 1 AND t > 5 AND t - 5 + 13 <= n) SELECT p.channel, begin, k AS pos, coalesce(v, 0) AS v FROM p CROSS JOIN range(0, 12) r(k) LEFT JOIN x ON p.channel = x.channel AND x.t = begin - 5 + k")
+@query("wav_06", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x), p AS (SELECT channel, t AS begin, t > 5 AND t - 5 + 13 <= n AS inside FROM x, n WHERE t % 50 = 1) SELECT p.channel, begin, k AS pos, CASE WHEN inside THEN coalesce(v, 0) ELSE 0 END AS v FROM p CROSS JOIN range(0, 12) r(k) LEFT JOIN x ON p.channel = x.channel AND x.t = begin - 5 + k")
 def _(s, d):
     x = T.signal(s, d)
     return M.cut(x, x.filter("t % 50 = 1").select("channel", F.col("t").alias("begin")), 5, 12)
@@ -331,9 +349,9 @@ def _(s, d):
 _MEANS = f"(SELECT unit, k, avg(v[k]) AS x FROM ({WAVES}), range(1, 65) r(k) GROUP BY 1, 2)"
 
 
-@query("wav_17", f"WITH m AS {_MEANS}, z AS (SELECT a.unit AS u1, b.unit AS u2, s, sqrt(sum((CASE WHEN a.k - s BETWEEN 1 AND 64 THEN b2.x ELSE 0 END - a.x) ** 2)) AS dist FROM m a CROSS JOIN range(-3, 4) q(s) JOIN (SELECT DISTINCT unit FROM m) b ON a.unit < b.unit LEFT JOIN m b2 ON b2.unit = b.unit AND b2.k = a.k - s GROUP BY 1, 2, 3) SELECT u1, u2, round(min(dist), 5) AS low, round(max(dist), 5) AS high FROM z GROUP BY 1, 2")
+@query("wav_17", f"WITH m AS {_MEANS}, z AS (SELECT a.unit AS u1, b.unit AS u2, s, sqrt(sum((CASE WHEN (a.k - 1) % 16 - s BETWEEN 0 AND 15 THEN b2.x ELSE 0 END - a.x) ** 2)) AS dist FROM m a CROSS JOIN range(-3, 4) q(s) JOIN (SELECT DISTINCT unit FROM m) b ON a.unit < b.unit LEFT JOIN m b2 ON b2.unit = b.unit AND b2.k = a.k - s GROUP BY 1, 2, 3) SELECT u1, u2, round(min(dist), 5) AS low, arg_min(s, (round(dist, 9), s)) AS low_at, round(max(dist), 5) AS high, arg_min(s, (-round(dist, 9), s)) AS high_at FROM z GROUP BY 1, 2")
 def _(s, d):
-    return M.shifted_distances(M.templates(T.waveforms(s, d)), 3)
+    return M.shifted_distances(M.templates(T.waveforms(s, d)), 16, 3)
 
 
 _LAGS = f"""m AS {_MEANS}, p AS (SELECT unit, CAST(floor((k - 1) / 16) AS INTEGER) AS c, (k - 1) % 16 AS i, x FROM m), n AS (SELECT *, x - avg(x) OVER (PARTITION BY unit, c) AS y, stddev_samp(x) OVER (PARTITION BY unit) AS sd FROM p),
@@ -352,15 +370,25 @@ def _(s, d):
     return M.cross_differences(M.templates(T.waveforms(s, d)), 16)
 
 
-@query("wav_18", f"WITH m AS {_MEANS} SELECT a.unit AS u1, b.unit AS u2, round(100 * sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 5) AS overlap FROM m a JOIN m b ON a.k = b.k AND a.unit < b.unit GROUP BY 1, 2")
+@query("wav_18", f"WITH {_LAGS}, r AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY round(yy, 9) DESC, tau) AS r FROM l), k AS (SELECT u1, u2, tau, xx FROM r WHERE r = 1) SELECT k.u1, k.u2, round(100 * any_value(xx) / sqrt(sum(a.x * a.x) FILTER (tau <= 0 OR a.i >= tau) * sum(b.x * b.x) FILTER (tau >= 0 OR b.i >= -tau)), 5) AS overlap FROM k JOIN p a ON a.unit = u1 JOIN p b ON b.unit = u2 AND b.c = a.c AND b.i = a.i GROUP BY 1, 2")
 def _(s, d):
-    return M.overlaps(M.templates(T.waveforms(s, d)))
+    return M.overlaps(M.templates(T.waveforms(s, d)), 4, 16)
 
 
-@query("wav_19", f"WITH m AS {_MEANS}, w AS (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)), z AS (SELECT w.wf_id, m.unit, s, sum(w.x * m.x) AS score FROM w CROSS JOIN range(-2, 3) q(s) JOIN m ON m.k = w.k - s GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY round(score, 6) DESC, abs(s), s, unit) AS r FROM z) SELECT wf_id, unit, s AS tau, round(score, 5) AS score FROM b WHERE r = 1")
+@query("wav_19", f"WITH m AS {_MEANS}, w AS (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)), z AS (SELECT w.wf_id, m.unit, s, sum(w.x * m.x) AS score FROM w CROSS JOIN range(-2, 3) q(s) JOIN m ON m.k = w.k - s AND (w.k - 1) // 16 = (m.k - 1) // 16 GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY round(score, 6) DESC, abs(s), s, unit) AS r FROM z) SELECT wf_id, unit, s AS tau, round(score, 5) AS score FROM b WHERE r = 1")
 def _(s, d):
     w = T.waveforms(s, d)
-    return M.match_templates(w, M.templates(w), 2)
+    return P.match_bank(w, M.templates(w), 4, 2).select("wf_id", "unit", F.col("tau").cast("long").alias("tau"), F.round("score", 5).alias("score"))
+
+
+#: Matches of the two thinned copies by the two-pointer walk, for each pair of units and shift; SHIFTS and MOST are filled in.
+_WALK = f"""WITH RECURSIVE a AS (SELECT unit AS u1, t AS t1, row_number() OVER (PARTITION BY unit ORDER BY t, event_id) AS i FROM ({GDF}) WHERE event_id % 3 <> 0), b AS (SELECT unit + 100 AS u2, t + 2 AS t2, row_number() OVER (PARTITION BY unit ORDER BY t, event_id) AS j FROM ({GDF}) WHERE event_id % 3 <> 1),
+na AS (SELECT u1, count(*) AS n1 FROM a GROUP BY 1), nb AS (SELECT u2, count(*) AS n2 FROM b GROUP BY 1), sh AS (SELECT unnest(SHIFTS) AS shift, unnest(range(0, len(SHIFTS))) AS rank),
+near AS (SELECT DISTINCT u1, u2, shift, rank FROM a JOIN b ON abs(t1 - t2) <= 5 + MOST, sh WHERE abs(t1 - t2 - shift) <= 5),
+w(u1, u2, shift, rank, i, j, tp, go) AS (SELECT u1, u2, shift, rank, 1::BIGINT, 1::BIGINT, 0::BIGINT, true FROM near UNION ALL
+SELECT w.u1, w.u2, shift, rank, w.i + CASE WHEN t1 - t2 - shift <= 5 THEN 1 ELSE 0 END, w.j + CASE WHEN t1 - t2 - shift >= -5 THEN 1 ELSE 0 END, tp + CASE WHEN abs(t1 - t2 - shift) <= 5 THEN 1 ELSE 0 END, true FROM w JOIN a ON a.u1 = w.u1 AND a.i = w.i JOIN b ON b.u2 = w.u2 AND b.j = w.j),
+m AS (SELECT u1, u2, shift, rank, max(tp) AS tp FROM w GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY tp DESC, rank) AS k FROM m)
+"""
 
 
 # evaluation: two thinned copies of the event table, the second 2 later, stand for truth and result
@@ -371,7 +399,10 @@ def _truth_and_result(s, d):
     return g.filter("event_id % 3 != 0"), g.filter("event_id % 3 != 1").select((F.col("unit") + 100).alias("unit"), (F.col("t") + 2).alias("t"), "event_id")
 
 
-@query("join_05")
+_PAIRS = "SELECT x.u1, x.u2, CAST(shift AS BIGINT) AS shift, tp, n1, n2 FROM x JOIN na USING (u1) JOIN nb USING (u2) WHERE k = 1 AND tp > 0"
+
+
+@query("join_05", _WALK.replace("SHIFTS", "[0, -3, -2, -1, 1, 2, 3]").replace("MOST", "3") + _PAIRS)
 def _(s, d):
     return V.compare(*_truth_and_result(s, d), 5, 3)
 
@@ -381,19 +412,39 @@ def _(s, d):
     return V.assign(V.compare(*_truth_and_result(s, d), 5), "error")
 
 
+@query("eva_02")
+def _(s, d):
+    return V.assign(V.compare(*_truth_and_result(s, d), 5), "rate")
+
+
+@query("eva_03")
+def _(s, d):
+    return V.label(*_truth_and_result(s, d), 5, 30, 3)[0].select("u1", "u2", "tp")
+
+
+@query("eva_04")
+def _(s, d):
+    return V.label(*_truth_and_result(s, d), 5, 3)[1].groupBy("side", "label").agg(F.count("*").alias("n"))
+
+
 @query("eva_05")
 def _(s, d):
-    return V.result_table(*_truth_and_result(s, d), 5, 30)
+    return V.result_table(*_truth_and_result(s, d), 5, 3)
 
 
-@query("eva_06")
+@query("eva_06", _WALK.replace("SHIFTS", "[0]").replace("MOST", "0") + "SELECT x.u1, x.u2, round(tp / n1, 6) AS similarity FROM x JOIN na USING (u1) WHERE k = 1 AND tp > 0")
 def _(s, d):
     return V.similarity(V.compare(*_truth_and_result(s, d), 5))
 
 
 @query("eva_07")
 def _(s, d):
-    return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 30))
+    return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 3))
+
+
+@query("eva_08")
+def _(s, d):
+    return V.score_sorting(*_truth_and_result(s, d), samples=5, duration=44640.0)
 
 
 @query("mrg_04", f"SELECT 1000 * (unit % 4) + unit AS unit, t, event_id, unit % 3 = 1 AS discarded FROM ({GDF})")
@@ -428,10 +479,7 @@ def _(s, d):
 
 @query("agg_03", f"WITH g AS (SELECT unit, channel, count(*) AS n FROM ({GDF}) GROUP BY 1, 2) SELECT u.unit, c.channel, coalesce(n, 0) AS n FROM (SELECT DISTINCT unit FROM g) u CROSS JOIN (SELECT DISTINCT channel FROM g) c LEFT JOIN g ON g.unit = u.unit AND g.channel = c.channel")
 def _(s, d):
-    g = T.gdf(s, d).groupBy("unit", "channel").agg(F.count("*").alias("n"))
-    kinds = [r[0] for r in g.select("channel").distinct().limit(1000).collect()]  # one per event type
-    grid = g.select("unit").distinct().withColumn("channel", F.explode(F.array(*[F.lit(k) for k in kinds])))
-    return grid.join(g, ["unit", "channel"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return E.grid(T.gdf(s, d), "unit", "channel")
 
 
 @query("agg_05", f"SELECT unit, CAST(floor((t - {FROM}) / {DAY}.0) AS BIGINT) AS bin, count(*) AS n FROM ({GDF}) WHERE t BETWEEN {FROM} AND {TO} GROUP BY 1, 2")
@@ -445,9 +493,9 @@ def _(s, d):
     return E.dense_bins(E.bins(g, FROM, TO, DAY, ["unit"]), g.select("unit").distinct(), 31)
 
 
-@query("agg_07", f"WITH b AS (SELECT unit, CAST(floor((t - {FROM}) / {DAY}.0) AS BIGINT) AS bin, count(*) AS n FROM ({GDF}) WHERE t BETWEEN {FROM} AND {TO} GROUP BY 1, 2), k AS (SELECT k, exp(-0.5 * (k / 1.5) ** 2) AS w FROM range(-3, 4) r(k)) SELECT unit, bin + k AS bin, round(sum(n * w / (SELECT sum(w) FROM k)), 6) AS rate FROM b, k GROUP BY 1, 2")
+@query("agg_07", f"WITH b AS (SELECT unit, CAST(floor((t - {FROM}) / {DAY}.0) AS BIGINT) AS bin, count(*) AS n FROM ({GDF}) WHERE t BETWEEN {FROM} AND {TO} GROUP BY 1, 2), k AS (SELECT k, exp(-0.5 * (k / 1.5) ** 2) AS w FROM range(-6, 7) r(k)), z AS (SELECT {DAY} * (sum(w) - exp(-8)) AS z FROM k) SELECT unit, bin + k AS bin, round(sum(n * w / z), 9) AS rate FROM b, k, z WHERE bin + k BETWEEN 0 AND 30 GROUP BY 1, 2")
 def _(s, d):
-    return E.firing_rate(E.bins(T.gdf(s, d), FROM, TO, DAY, ["unit"]), 3, 1.5)
+    return E.firing_rate(E.bins(T.gdf(s, d), FROM, TO, DAY, ["unit"]), 3, DAY, 31).withColumn("rate", F.round("rate", 9))
 
 
 _ISI = f"(SELECT unit, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS isi FROM ({GDF}))"
@@ -463,6 +511,13 @@ def _(s, d):
     return E.violations(T.gdf(s, d), 60)
 
 
+@query("agg_10_bins", f"SELECT unit, count(*) FILTER (isi < 1200 / 19.0 / 2) AS n_violations FROM {_ISI} GROUP BY 1")
+def _(s, d):
+    g = T.gdf(s, d)
+    first = E.isi_histogram(g, 60, 1200).filter("bin = 0").select("unit", F.col("n").alias("n_violations"))
+    return g.select("unit").distinct().join(first, "unit", "left").fillna(0, ["n_violations"])
+
+
 @query("agg_11", f"SELECT channel, count(*) AS n FROM ({GDF}) GROUP BY 1")
 def _(s, d):
     return T.gdf(s, d).groupBy("channel").agg(F.count("*").alias("n"))
@@ -504,10 +559,10 @@ def _(s, d):
     return n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p_brand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-@query("agg_19", f"WITH u AS (SELECT avg(amp) AS a FROM ({GDF}) GROUP BY unit) SELECT round(quantile_cont(a, 0.25), 6) AS q25, round(quantile_cont(a, 0.5), 6) AS q50, round(quantile_cont(a, 0.75), 6) AS q75 FROM u")
+@query("agg_19", f"WITH u AS (SELECT avg(amp) AS a FROM ({GDF}) GROUP BY unit), r AS (SELECT a, row_number() OVER (ORDER BY a) AS k, count(*) OVER () AS n FROM u), q AS (SELECT unnest([0.025, 0.25, 0.5, 0.75, 0.975]) AS p, unnest(range(0, 5)) AS j), z AS (SELECT j, sum(a * greatest(0, 1 - abs(k - greatest(1, least(n, n * p + 0.5))))) AS x FROM r, q GROUP BY j) SELECT round(max(x) FILTER (j = 0), 6) AS q0, round(max(x) FILTER (j = 1), 6) AS q1, round(max(x) FILTER (j = 2), 6) AS q2, round(max(x) FILTER (j = 3), 6) AS q3, round(max(x) FILTER (j = 4), 6) AS q4 FROM z")
 def _(s, d):
     u = T.gdf(s, d).groupBy("unit").agg(F.avg("amp").alias("a"))
-    return u.agg(*[F.round(F.percentile("a", p), 6).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return E.midpoint_quantiles(u, "a", [0.025, 0.25, 0.5, 0.75, 0.975]).select(*[F.round(f"q{k}", 6).alias(f"q{k}") for k in range(5)])
 
 
 @query("win_01", f"SELECT unit, isi FROM {_ISI} WHERE isi IS NOT NULL")
@@ -525,11 +580,6 @@ def _(s, d):
     return E.first_n(T.gdf(s, d), 10).select("unit", "event_id")
 
 
-@query("cov_01", f"WITH x AS ({SIGNAL}), m AS (SELECT channel, t, v - avg(v) OVER (PARTITION BY channel) AS z FROM x) SELECT a.channel AS c1, b.channel AS c2, b.t - a.t AS lag, round(sum(a.z * b.z) / count(*), 4) AS cov FROM m a JOIN m b ON b.t - a.t BETWEEN 0 AND 3 AND a.channel <= b.channel GROUP BY 1, 2, 3")
-def _(s, d):
-    return M.covariance(T.signal(s, d), 3)
-
-
 @query("fea_01")
 def _(s, d):
     return M.principal_components(T.waveforms(s, d), 3)
@@ -565,23 +615,15 @@ def _(s, d):
 
 @query("pop_05", f"SELECT CASE WHEN unit IN (2, 4) THEN 1001 ELSE unit END AS unit, count(*) AS n FROM ({GDF}) GROUP BY 1")
 def _(s, d):
-    log = [{"kind": "merge", "units": [2, 4], "new": 1001}, {"kind": "split", "unit": 3, "parts": F.col("event_id") % 2, "base": 1002}, {"kind": "undo"}]
+    two = F.col("event_id") % 2
+    log = [{"kind": "split", "unit": 3, "parts": two, "base": 1002, "n": 2}, {"kind": "merge", "units": [2, 4], "new": 1001}, {"kind": "split", "unit": 1002, "parts": two, "base": 1004, "n": 2}, {"kind": "undo", "entry": 0}]
     return E.replay(T.gdf(s, d), log).groupBy("unit").agg(F.count("*").alias("n"))
 
 
-@query("gen_07", f"WITH g AS (SELECT channel, t % 1000 AS t, amp FROM ({GDF})), f AS (SELECT * FROM (VALUES (0, -1.0), (1, -0.5), (2, 0.25)) q(k, x)) SELECT channel, t + k AS t, round(sum(amp * x), 5) AS v FROM g, f GROUP BY 1, 2")
-def _(s, d):
-    return M.inject(T.gdf(s, d).withColumn("t", F.col("t") % 1000), [-1.0, -0.5, 0.25])
-
-
-@query("plt_02", f"SELECT unit, event_id FROM (SELECT unit, event_id, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS gap FROM ({GDF})) WHERE gap <= 120")
+@query("gen_07", f"WITH x AS ({SIGNAL}), g AS (SELECT channel % 4 AS channel, t - {FROM} + 1 AS t, amp FROM ({GDF})), f AS (SELECT * FROM (VALUES (0, -1.0), (1, -0.5), (2, 0.25)) q(k, x)), a AS (SELECT channel, t + k AS t, amp * x AS v FROM g, f WHERE (t - 1) // 250 = (t + 1) // 250) SELECT channel, t, CAST(greatest(-32768, least(32767, round(round(sum(v), 6)))) AS BIGINT) AS v FROM (SELECT channel, t, v FROM x UNION ALL SELECT CAST(channel AS INTEGER), t, v FROM a) GROUP BY 1, 2")
 def _(s, d):
-    return E.isi(T.gdf(s, d)).filter("isi <= 120").select("unit", "event_id")
-
-
-@query("plt_04", f"SELECT channel, round(quantile_cont(amp, 0.25), 6) AS q25, round(median(amp), 6) AS q50, round(quantile_cont(amp, 0.75), 6) AS q75, round(avg(amp), 6) AS mean FROM ({GDF}) GROUP BY 1")
-def _(s, d):
-    return T.gdf(s, d).groupBy("channel").agg(*[F.round(F.percentile("amp", p), 6).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)], F.round(F.avg("amp"), 6).alias("mean"))
+    events = T.gdf(s, d).select((F.col("channel") % 4).alias("channel"), (F.col("t") - FROM + 1).alias("t"), "amp")
+    return G.inject_in_chunks(T.signal(s, d), events, [-1.0, -0.5, 0.25], 250).withColumn("v", F.col("v").cast("long"))
 
 
 # groups of events, alignment, chunks and rankings
@@ -594,7 +636,8 @@ def _(s, d):
     return K.without_oscillations(T.gdf(s, d), ["unit"], 120, 2, 50).select("unit", "t", "event_id")
 
 
-@query("win_03")
+@query("win_03", f"""WITH RECURSIVE r(it, unit, t, event_id) AS (SELECT 0, unit, t, event_id FROM ({GDF}) UNION ALL SELECT it + 1, unit, t, event_id FROM (SELECT *, bool_or(lost) OVER () AS again FROM (SELECT *, gap < 60 AND row_number() OVER (PARTITION BY unit ORDER BY gap NULLS LAST, t, event_id) = 1 AS lost FROM (SELECT *, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS gap FROM r))) WHERE NOT coalesce(lost, false) AND again)
+SELECT unit, t, event_id FROM r WHERE it = (SELECT max(it) FROM r)""")
 def _(s, d):
     return K.thin(T.gdf(s, d), 60)
 
@@ -659,7 +702,10 @@ def _(s, d):
     return M.chunks(x, x.agg(F.max("t")).first()[0] or 0, 1000, 20).groupBy("channel", "chunk").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum("v").alias("total"))
 
 
-@query("clu_06", f"WITH m AS {_MEANS}, en AS (SELECT unit, sum(x * x) / 2 - ln(0.9) AS cost FROM m GROUP BY 1), w AS (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)), z AS (SELECT w.wf_id, m.unit, s, sum(w.x * m.x) AS score FROM w CROSS JOIN range(-2, 3) q(s) JOIN m ON m.k = w.k - s GROUP BY 1, 2, 3), b AS (SELECT wf_id, unit, s, score - cost AS d FROM z JOIN en USING (unit)), o AS (SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY round(d, 6) DESC, abs(s), s, unit) AS r FROM b) SELECT wf_id, CASE WHEN round(d, 6) > 0 THEN CAST(unit + 1 AS BIGINT) ELSE 0 END AS unit, s AS tau, round(d, 5) AS d FROM o WHERE r = 1")
+@query("clu_06", f"WITH m AS {_MEANS}, en AS (SELECT unit, sum(x * x) / 2 - ln(0.9) AS cost FROM m GROUP BY 1), w AS (SELECT wf_id, k, v[k] AS x FROM ({WAVES}), range(1, 65) r(k)), z AS (SELECT w.wf_id, m.unit, s, sum(w.x * m.x) AS score FROM w CROSS JOIN range(-2, 3) q(s) JOIN m ON m.k = w.k - s AND (w.k - 1) // 16 = (m.k - 1) // 16 GROUP BY 1, 2, 3), b AS (SELECT wf_id, unit, s, score - cost AS d FROM z JOIN en USING (unit)), o AS (SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY round(d, 6) DESC, abs(s), s, unit) AS r FROM b) SELECT wf_id, CASE WHEN round(d, 6) > 0 THEN CAST(unit + 1 AS BIGINT) ELSE 0 END AS unit, s AS tau, round(d, 5) AS d FROM o WHERE r = 1")
 def _(s, d):
     w = T.waveforms(s, d).withColumn("unit", F.col("unit") + 1)
-    return M.classify(w, M.templates(w), 2, 0.9)
+    return P.classify(w, M.templates(w), 4, 2, 0.9).select("wf_id", F.col("unit").cast("long").alias("unit"), F.col("tau").cast("long").alias("tau"), F.round("score", 5).alias("d"))
+
+
+from . import catalogue, sorting  # noqa: E402,F401

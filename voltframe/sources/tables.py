@@ -33,7 +33,14 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal (channel, t, v): quantities of `lineitem` in key order; four channels by line number."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select((F.col("l_linenumber") % 4).cast("int").alias("channel"), F.col("l_orderkey").alias("t"), F.col("l_quantity").cast("double").alias("v")).groupBy("channel", "t").agg(F.sum("v").alias("v"))
+    return l.select((F.col("l_linenumber") % 4).cast("int").alias("channel"), (F.col("l_orderkey") + 1).alias("t"), F.col("l_quantity").cast("double").alias("v")).groupBy("channel", "t").agg(F.sum("v").alias("v"))
+
+
+def pick(signal: DataFrame, times: list[int]) -> DataFrame:
+    """pos (from 1), channel, t, v: samples at a list of times, in its order, repeats included."""
+    wanted = F.posexplode(F.array(*[F.lit(t).cast("long") for t in times])).alias("p", "t")
+    rows = signal.sparkSession.range(1).select(wanted)
+    return rows.join(signal, "t").select((F.col("p") + 1).alias("pos"), "channel", "t", "v")
 
 
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
