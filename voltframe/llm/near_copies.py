@@ -1,4 +1,4 @@
-"""Near copies: texts linked by an exact shingle similarity of at least `similarity`.
+"""Near copies: texts linked by a shingle similarity of at least `similarity`.
 
 A text's set holds 64-bit hashes of its word shingles (fewer words: the whole sequence; no word: the empty set);
 words are runs of other than white space, A-Z lower-cased. Equal sets are merged before anything is paired.
@@ -6,15 +6,15 @@ words are runs of other than white space, A-Z lower-cased. Equal sets are merged
 Candidates come from two searches. The covering SimHash tables of simhash.py give every pair of sets whose 64-bit
 fingerprints differ in `radius` bits or fewer. That misses most pairs at a similarity of 0.8, whose fingerprints differ
 in 10 bits at the median, so that BANDS bands of ROWS minimum hashes complement it: a pair of similarity s shares no
-band with a chance of (1 - s**ROWS)**BANDS, 4 in 10,000 at 0.8. Every candidate pair is decided by the Jaccard
-similarity of the two sets, so that no link is wrong.
-
-In each bucket every text is compared with the bucket's head first. Then pairs are compared whose texts are not
-yet connected; pairs within a component need no further link. So a large group of near copies costs its size, not
-its square, and the components are those of all candidate pairs. Only a bucket of many texts that are no copies of
-one another costs the square of its size. Components are transitive. Only the sets of texts that share a bucket
-are shuffled, and sets are compared by array functions, a pair at a time, so that long texts need no large batches.
-Null and empty texts are equal; an empty table gives an empty result.
+band with a chance of (1 - s**ROWS)**BANDS, 4 in 10,000 at 0.8. The texts of a bucket are put in the order of further
+minimum hashes, and each is paired with the bucket's first text and with the one before it. So a bucket costs its
+size and not its square, however many texts share a common passage. Near copies stand next to each other or to copies
+of both in a bucket of one kind, and nearly always in a mixed one, as they share further minimum hashes too; a pair has
+to be kept apart in every band that it shares to be missed. Recall is measured in the README.
+
+Every candidate pair is decided by the Jaccard similarity of the two sets, so that no link is wrong, or, without
+`exact`, by that of two sketches of BANDS * ROWS places (standard error 0.04 at 0.8), which spares the second look at
+the texts. Components are transitive. Null and empty texts are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,22 +127,29 @@ def minimum_hashes(own, places: int):
 
 
 def band_keys(own, bands: int = BANDS, rows: int = ROWS):
-    """One key a band: a hash of its minimum hashes."""
+    """(keys, next, sketch): one key a band, a hash of its minimum hashes; for each band three minimum hashes of the band
+    after it, 16 bits each; 16 bits of every minimum hash, as bytes."""
     import numpy as np
 
+    u = np.uint64
     x = minimum_hashes(own, bands * rows)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) * _constants(bands * rows)[1]).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
+    x = (x ^ (x >> u(31))) * u(0x9E3779B97F4A7C15)
+    x ^= x >> u(29)
+    keys = (x * _constants(bands * rows)[1]).reshape(bands, rows).sum(1, dtype=np.uint64).view(np.int64)
+    part = (x & u(0xFFFF)).reshape(bands, rows)
+    after = np.roll(part, -1, axis=0)
+    return keys, (after[:, 0] << u(32) | after[:, 1] << u(16) | after[:, 2]).view(np.int64), part.astype("<u2").tobytes()
 
 
 def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, prints: bool = True) -> DataFrame:
-    """row, copy (hash of the set), n (its size), fp (SimHash of the set, with `prints`), keys."""
+    """row, copy (hash of the set), n (its size), fp (SimHash of the set, with `prints`), keys, next, sketch."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), b""
         for b in batches:
             copy, n, fp, keys = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -150,11 +157,46 @@ def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, ban
                 copy.append(xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
                 fp.append(bits_over_half(own) if prints else 0)
-                keys.append(band_keys(own, bands, rows) if len(own) else np.zeros(0, np.int64))
+                keys.append(band_keys(own, bands, rows) if len(own) else none)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(copy), pa.array(n, pa.int64()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], names=["row", "copy", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), signed(copy), pa.array(n, pa.int64()), signed(fp), pa.array([k for k, _, _ in keys], pa.list_(pa.int64())), pa.array([k for _, k, _ in keys], pa.list_(pa.int64())), pa.array([k for _, _, k in keys], pa.binary())],
+                names=["row", "copy", "n", "fp", "keys", "next", "sketch"],
+            )
 
-    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).mapInArrow(run, "row long, copy long, n long, fp long, keys array<long>")
+    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).mapInArrow(run, "row long, copy long, n long, fp long, keys array<long>, next array<long>, sketch binary")
+
+
+def bucket_pairs(unique: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each text of a bucket with the bucket's first and with the one before it, where their sizes allow the similarity."""
+    placed = unique.select("copy", "n", F.posexplode(F.arrays_zip("keys", "next")).alias("band", "x")).select("band", "x.keys", "x.next", "copy", "n")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, key, copy, n = (b.column(c).to_numpy() for c in (0, 1, 3, 4))
+            if last is not None:  # the row before, and the first row of its bucket
+                band, key, copy, n = (np.concatenate((x, y)) for x, y in zip(last, (band, key, copy, n), strict=True))
+            fresh = np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+            at = np.flatnonzero(~fresh)
+            a, z = np.concatenate((head[at], at[at - 1 != head[at]] - 1)), np.concatenate((at, at[at - 1 != head[at]]))
+            if last is not None:
+                a, z = a[z > 1], z[z > 1]
+            fit = np.minimum(n[a], n[z]) >= np.maximum(n[a], n[z]) * (similarity - 1e-9)
+            a, z = copy[a[fit]], copy[z[fit]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], names=["a", "b"])
+            keep = [head[-1], len(key) - 1]
+            last = [x[keep] for x in (band, key, copy, n)]
+
+    rows = placed.repartition("band", "keys").sortWithinPartitions("band", "keys", "next", "copy")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, row: str, text: str, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -181,6 +223,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.filter(F.col("both") >= (F.col("total") - F.col("both")) * (similarity - 1e-12)).select("a", "b")
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sketches (copy, sketch) agree in a share of `similarity` of their places."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= similarity))
+
+    side = lambda k, to: sketches.select(F.col("copy").alias(k), F.col("sketch").alias(to))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def covering_pairs(unique: DataFrame, radius: int) -> DataFrame:
     """a, b: links of the covering tables, between one text of each fingerprint, and of that to the others of its fingerprint."""
     of = unique.groupBy("fp").agg(F.min("copy").alias("first"), F.count("*").alias("size"))
@@ -191,45 +248,34 @@ def covering_pairs(unique: DataFrame, radius: int) -> DataFrame:
     return apart.union(equal)
 
 
-def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int | None = RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int | None = RADIUS, exact: bool = True) -> DataFrame:
     """row, component_id: the same for texts connected by near copies; `row` identifies the rows.
 
     With `radius` None only the bands search.
     """
-    held_tables = []
+    held = []
 
     def put(df, name):
-        held_tables.append(materialize(df, name))
-        return held_tables[-1]
+        held.append(materialize(df, name))
+        return held[-1]
 
     marked = put(signatures(docs, row, text, shingle, bands, rows, radius is not None), "signatures")
-    unique = marked.groupBy("copy").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    unique = put(unique, "unique")
-    placed = unique.select("copy", "row", "n", F.posexplode("keys").alias("band", "key"))
-    heads = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct("copy", "n")).alias("head")).filter("size > 1")
-    held = put(placed.join(heads.select("band", "key", F.col("head.copy").alias("head"), F.col("head.n").alias("head_n")), ["band", "key"]), "buckets")
-    fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * (similarity - 1e-9)
-    rest = held.filter("copy != head")
-    first = rest.filter(fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("copy").alias("b"))
+    kept = ["row", "n", "fp", "keys", "next", *["sketch"] * (not exact)]
+    unique = put(marked.groupBy("copy").agg(*[F.min("row").alias("row") if c == "row" else F.first(c).alias(c) for c in kept]).filter("n > 0"), "unique")
+    pairs = bucket_pairs(unique, similarity)
     if radius is not None:
-        first = first.union(covering_pairs(unique.filter("n > 0").select("copy", "fp"), radius))
-    first = put(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = held.select("copy").union(first.select("a")).union(first.select("b")).distinct()
-    sets = put(sets_of(docs, row, text, unique.select("row", "copy").join(wanted, "copy", "left_semi"), shingle), "sets")
-
-    linked = put(confirmed(first, sets, similarity), "links")
+        found = covering_pairs(unique.select("copy", "fp"), radius)
+        pairs = pairs.union(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = put(pairs.distinct(), "candidates")
+    if exact:
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "copy")
+        sets = put(sets_of(docs, row, text, unique.select("row", "copy").join(wanted, "copy", "left_semi"), shingle), "sets")
+        linked = confirmed(pairs, sets, similarity)
+    else:
+        linked = likely(pairs, unique.select("copy", "sketch"), similarity)
     root = components(linked)
-    held_tables.append(root)
-    named = lambda x, on, to: x.join(root.select(F.col("node").alias(on), F.col("root").alias(to)), on, "left").withColumn(to, F.coalesce(to, on))
-    known = put(named(named(rest, "copy", "own"), "head", "main").select("band", "key", "copy", "n", "own", F.expr("own != main").alias("apart")), "known")
-    # a text apart from its head's component against all others of the bucket that are not of its own
-    a = known.filter("apart").select("band", "key", F.col("copy").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
-    b = known.select("band", "key", F.col("copy").alias("b"), "n", F.col("own").alias("own_b"), "apart")
-    second = a.join(b, ["band", "key"]).filter("own_a != own_b AND (a < b OR NOT apart)").filter(fits(F.col("m"), F.col("n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = put(confirmed(second, sets, similarity), "links")
-    found = components(linked.union(more))
-    held_tables.append(found)
-    out = materialize(marked.join(found, marked.copy == found.node, "left").select(F.col("row").alias(row), F.coalesce("root", "copy").alias("component_id")), "classes")
-    for t in held_tables:
+    held.append(root)
+    out = materialize(marked.select("row", "copy").join(root, F.col("copy") == F.col("node"), "left").select(F.col("row").alias(row), F.coalesce("root", "copy").alias("component_id")), "classes")
+    for t in held:
         drop(t)
     return out

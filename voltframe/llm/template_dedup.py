@@ -9,7 +9,7 @@ constant that occur in `min_docs` documents or more are recurring, and their lin
 A line that recurs as it is (masked) needs the less support the longer it is: min_docs * min_tokens / tokens classes,
 two at least. So 5 tokens need 20, 20 tokens 5 and 50 tokens 2.
 
-Supports count classes of near copies (near_copies), not texts: texts that are copies of one another as a whole
+Supports count classes of near copies (near_copies, by sketches), not texts: texts that are copies of one another as a whole
 count once, so that their lines do not recur by that, and near-duplicate removal decides about them. A recurring line
 is dropped whatever its share of a text.
 
@@ -102,7 +102,7 @@ def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen)
 def classed_texts(docs: DataFrame, text: str) -> DataFrame:
     """copy (hash of the text), class: equal for texts that near copies connect."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).filter(F.col("t").isNotNull()), "texts")
-    named = near_copies(rows, "row", "t", radius=None)
+    named = near_copies(rows, "row", "t", bands=16, rows=6, radius=None, exact=False)
     out = materialize(rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class")), "classes")
     drop(rows)
     drop(named)
