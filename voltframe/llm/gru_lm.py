@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, drop, held_out, materialize, new_path
 
-WORDS, RARE, CLASSES, HIDDEN = 16_384, 1_023, 136, 32
+WORDS, RARE, CLASSES, HIDDEN = 10_240, 511, 104, 24
 WINDOW, LANES, STEPS, SHARD = 16, 256, 250, 1 << 20
 HEAD = 1 << 17
 END, FIRST_RARE = 0, 1
@@ -137,10 +137,18 @@ class Network:
                 h = h * reset[t][:, None]
             x = p["e"][ids[t]] + p["b"]
             a = h @ p["u"]
-            g = 1 / (1 + np.exp(-np.clip(x[:, : 2 * n] + a[:, : 2 * n], -30, 30)))
+            g = x[:, : 2 * n] + a[:, : 2 * n]
+            g *= g.dtype.type(0.5)  # a sigmoid by tanh, which has no overflow
+            np.tanh(g, out=g)
+            g += g.dtype.type(1)
+            g *= g.dtype.type(0.5)
             z, r = g[:, :n], g[:, n:]
-            m = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-            new = m + z * (h - m)
+            m = r * a[:, 2 * n :]
+            m += x[:, 2 * n :]
+            np.tanh(m, out=m)
+            new = h - m
+            new *= z
+            new += m
             if keep:
                 kept.append((h, z, r, m, a[:, 2 * n :]))
             h = new
@@ -153,35 +161,44 @@ class Network:
 
         p = self.p
         cls, word = target // self.size, target % self.size
-        logit = h @ p["c"] + p["cb"]
-        logit -= logit.max(1, keepdims=True)
-        ex = np.exp(logit)
-        total = ex.sum(1)
+        order = np.argsort(cls, kind="stable")
+        h, cls, word = h[order], cls[order], word[order]
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        # states are below 1 in size, so that logits beyond 80 stand for weights that have run away
+        ex = h @ p["c"]
+        ex += p["cb"]
+        np.minimum(ex, 80, out=ex)
         rows = np.arange(len(h))
-        lp = logit[rows, cls] - np.log(total)
+        lp = ex[rows, cls].copy()
+        np.exp(ex, out=ex)
+        total = ex.sum(1)
+        lp -= np.log(total)
         if grad:
-            d = ex / total[:, None]
-            d[rows, cls] -= 1
-            dh, g = d @ p["c"].T, {"c": h.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+            ex *= (1 / total)[:, None]
+            ex[rows, cls] -= 1
+            dh, g = ex @ p["c"].T, {"c": h.T @ ex, "cb": ex.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
         for k in range(self.classes):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+            a, z = cuts[k], cuts[k + 1]
+            if a == z:
                 continue
-            hk = h[own]
-            lw = hk @ p["w"][k] + p["wb"][k]
-            lw -= lw.max(1, keepdims=True)
-            ew = np.exp(lw)
+            own, w = h[a:z], p["w"][k]
+            ew = own @ w
+            ew += p["wb"][k]
+            np.minimum(ew, 80, out=ew)
+            at, to = rows[: z - a], word[a:z]
+            lp[a:z] += ew[at, to]
+            np.exp(ew, out=ew)
             tw = ew.sum(1)
-            at = np.arange(len(own))
-            lp[own] += lw[at, word[own]] - np.log(tw)
+            lp[a:z] -= np.log(tw)
             if grad:
-                d = ew / tw[:, None]
-                d[at, word[own]] -= 1
-                dh[own] += d @ p["w"][k].T
-                g["w"][k], g["wb"][k] = hk.T @ d, d.sum(0)
-        return (lp, dh, g) if grad else lp
+                ew *= (1 / tw)[:, None]
+                ew[at, to] -= 1
+                dh[a:z] += ew @ w.T
+                np.matmul(own.T, ew, out=g["w"][k])
+                g["wb"][k] = ew.sum(0)
+        back = np.empty(len(order), np.int64)
+        back[order] = rows
+        return (lp[back], dh[back], g) if grad else lp[back]
 
     def gradients(self, ids, target, h, reset):
         """Truncated backpropagation through one window: (log-probability, gradients, last state).
