@@ -95,6 +95,10 @@ def test_decontaminate(spark, odd):
     assert (got[20]["n_hit"], got[20]["items"]) == (14, ["1"]) and got[21]["items"] == ["2"] and got[22]["n_hit"] == 0
     span = got[20]["spans"][0]
     assert f"before {item.upper()}, after"[span["start"] : span["end"]] == item.upper()
+    rows = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in df.collect())
+    more = bench.unionByName(spark.createDataFrame([(10 + k, " ".join(item.split()[k : k + 10])) for k in range(4)], "item_id long, text string"))
+    # in blocks of items the result is the same
+    assert rows(decontam.decontaminate(both, more, max_benchmark_bytes=60)) == rows(decontam.decontaminate(both, more))
 
 
 def test_sstable_round_trip(spark, odd, tmp_path):
