@@ -279,7 +279,8 @@ def quality_of_set(templates: DataFrame, prior: float) -> DataFrame:
     gap = F.zip_with("v1", "v2", lambda x, y: x - y)
     pairs = a.join(b, F.col("u1") < F.col("u2")).withColumn("n", A.norm(gap))
     raw = -F.log(F.col("p1") / F.col("p2")) + 0.5 * (A.dot(F.col("v1"), F.col("v1")) - A.dot(F.col("v2"), F.col("v2")))
-    measured = pairs.select("u1", "u2", "p1", "p2", "n", (raw / F.col("n")).alias("thr"), (A.dot(F.col("v1"), gap) / F.col("n")).alias("m1"), (A.dot(F.col("v2"), gap) / F.col("n")).alias("m2"))
+    by = lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))
+    measured = pairs.select("u1", "u2", "p1", "p2", "n", by(raw).alias("thr"), by(A.dot(F.col("v1"), gap)).alias("m1"), by(A.dot(F.col("v2"), gap)).alias("m2"))
 
     def run(batches):
         import pyarrow as pa
