@@ -164,7 +164,8 @@ def drop_lines(docs: DataFrame, places: DataFrame, text: str = "text") -> tuple[
     """docs with the lines gone from `text`, and the names of two added columns: lines before and lines dropped."""
     copy, gone, total, dropped = (fresh(docs.columns, x) for x in ("copy", "places", "n_lines", "n_dropped"))
     keyed = docs.withColumn(copy, F.xxhash64(F.col(text)))
-    found = keyed.join(places.select(F.col("copy").alias(copy), F.col("places").alias(gone)), copy, "left")
+    # places follow the corpus, so that they are never broadcast, at no size
+    found = keyed.join(places.select(F.col("copy").alias(copy), F.col("places").alias(gone)).hint("merge"), copy, "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col(gone), i.cast("long")), F.lit(False))), "\n")
     out = found.withColumn(total, F.coalesce(F.size(lines), F.lit(0))).withColumn(dropped, F.coalesce(F.size(gone), F.lit(0))).withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
