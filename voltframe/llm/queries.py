@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontam, gru_lm, langid, line_quality, rindex_dedup, simhash, sstable, template_dedup, toxicity
+from . import curve_packing, decontam, gru_lm, langid, line_quality, merkle, rindex_dedup, simhash, source_mix, sstable, template_dedup, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_curve_packing": op9_curve_packing,
     "op10_simhash": op10_simhash,
+    "op11_pivotal_mix": op11_pivotal_mix,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,4 +124,21 @@ x AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_r
       FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND n_words - gone >= n_words * 0.3 AS kept FROM x""",
+    # the crc32 of an identifier is reduced from its digits' bits
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE c AS (SELECT *, 4294967295 - list_reduce([4294967295] || [ascii(x) for x in string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: list_reduce([xor(c, b)] || [0 for k in range(8)], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS crc FROM documents),
+e AS (SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+      n_chars AS n, n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS m, coalesce(strlen(text) || ':' || text, '-') AS tail FROM c),
+leaf AS (SELECT doc_id, lang, leaf, other, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (SELECT doc_id, lang,
+      sha256(head || coalesce(strlen(CAST(n AS VARCHAR)) || ':' || n, '-') || tail) AS leaf, sha256(head || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || tail) AS other FROM e)),
+t(lang, k, nodes) AS (SELECT lang, 0, list(leaf ORDER BY i) FROM leaf GROUP BY lang UNION ALL
+      SELECT lang, k + 1, [sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')) for j in range(0, (len(nodes) + 1) // 2)] FROM t WHERE len(nodes) > 1),
+sub AS (SELECT lang, k AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM t WHERE len(nodes) = 1),
+u(k, nodes) AS (SELECT 0, list(subroot ORDER BY g) FROM sub UNION ALL SELECT k + 1, [sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')) for j in range(0, (len(nodes) + 1) // 2)] FROM u WHERE len(nodes) > 1),
+lv AS (SELECT s.lang, s.g, s.height, k AS step, nodes FROM t JOIN sub s ON t.lang IS NOT DISTINCT FROM s.lang WHERE len(nodes) > 1 UNION ALL SELECT lang, g, height, height + k, nodes FROM sub, u WHERE len(nodes) > 1),
+f(doc_id, lang, i, step, leaf, h, sib) AS (SELECT doc_id, lang, i, 0, leaf, other, '' FROM leaf UNION ALL
+      SELECT doc_id, f.lang, i, f.step + 1, leaf, sha256(CASE WHEN p % 2 = 1 THEN nodes[p] || h ELSE h || coalesce(nodes[p + 2], '') END), sib || coalesce(nodes[xor(p, 1) + 1], '')
+      FROM (SELECT f.*, nodes, CASE WHEN f.step < height THEN i >> f.step ELSE g >> (f.step - height) END AS p FROM f JOIN lv ON f.lang IS NOT DISTINCT FROM lv.lang AND f.step = lv.step) f),
+top AS (SELECT nodes[1] AS root, k AS more FROM u WHERE len(nodes) = 1)
+SELECT f.doc_id, f.leaf, s.subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified FROM f JOIN sub s ON f.lang IS NOT DISTINCT FROM s.lang, top WHERE f.step = s.height + top.more""",
 }
