@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontam, gru_lm, langid, line_quality, merkle, rindex_dedup, simhash, source_mix, sstable, template_dedup, toxicity
+from . import curve_packing, decontam, gru_lm, langid, line_quality, merkle, rindex_dedup, simhash, source_mix, sstable, template_dedup, toxicity, treap_search
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op11_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir))
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = treap_search.build(documents(spark, sf_dir))
+    return treap_search.search(index, n_docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_curve_packing": op9_curve_packing,
     "op10_simhash": op10_simhash,
     "op11_pivotal_mix": op11_pivotal_mix,
+    "op12_treap_search": op12_treap_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -124,6 +130,15 @@ x AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_r
       FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND n_words - gone >= n_words * 0.3 AS kept FROM x""",
+    "op12_treap_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+it AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+s AS (SELECT item_id, r, CAST(sum(df.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n) // l)))) AS BIGINT) AS score FROM it JOIN df USING (t) JOIN p USING (t) JOIN d USING (r), c GROUP BY item_id, r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""",
     # the crc32 of an identifier is reduced from its digits' bits
     "op13_merkle_manifest": r"""
 WITH RECURSIVE c AS (SELECT *, 4294967295 - list_reduce([4294967295] || [ascii(x) for x in string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: list_reduce([xor(c, b)] || [0 for k in range(8)], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS crc FROM documents),
