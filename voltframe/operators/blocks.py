@@ -11,21 +11,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from ..sources.shared import remove, settle
 from . import walks
 
 SIZE = 4096
 
 
-def to_blocks(signal: DataFrame, length: int, size: int = SIZE) -> DataFrame:
-    """Blocks of a signal (channel, t, v) of `length` samples; every channel has every block."""
+def to_blocks(signal: DataFrame, length: int, size: int = SIZE, channels: list[int] | None = None) -> DataFrame:
+    """Blocks of a signal (channel, t, v) of `length` samples; every channel has every block. Two samples of a channel
+    at one time are an error. A block costs its samples: they are put in order and gaps between neighbours filled.
+    `channels` of a known recording save a look at the signal for them."""
     block = F.floor((F.col("t") - 1) / size)
-    held = signal.groupBy("channel", block.alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("m"))
-    grid = signal.select("channel").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (length - 1) // size)).cast("long"))))
+    inside = signal.filter(F.col("t").between(1, length))
+    if channels is not None:
+        inside = inside.filter(F.col("channel").isin(channels))
+    held = inside.groupBy("channel", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v")))).alias("x"))
+    last = max(0, (length - 1) // size)
+    if channels is None:
+        grid = signal.select("channel").distinct()
+    else:
+        grid = signal.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, channels)).cast(ArrayType(signal.schema["channel"].dataType))).alias("channel"))
+    grid = grid.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
     first = F.col("block") * size + 1
-    places = F.sequence(first, F.least(first + size - 1, F.lit(length).cast("long")))
-    value = lambda t: F.coalesce(F.element_at(F.coalesce("m", F.create_map().cast("map<bigint,double>")), t), F.lit(0.0))
-    return grid.join(held, ["channel", "block"], "left").select("channel", "block", first.alias("t0"), F.transform(places, value).alias("v"))
+    end = F.least(first + size - 1, F.lit(length).cast("long"))
+    x, zeros = F.col("x"), lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.when(i == 0, first - 1).otherwise(F.get(x, i - 1)["t"])
+    filled = F.concat(F.flatten(F.transform(x, lambda r, i: F.concat(zeros(r["t"] - before(i) - 1), F.array(r["v"])))), zeros(end - F.element_at(x, -1)["t"]))
+    v = F.when(x.isNull(), zeros(end - first + 1)).when(F.size(x) == end - first + 1, F.transform(x, lambda r: r["v"])).otherwise(filled)
+    twice = F.size(F.array_distinct(F.transform(x, lambda r: r["t"]))) < F.size(x)
+    v = F.when(twice, F.raise_error(F.lit("two samples of a channel at one time")).cast("array<double>")).otherwise(v)
+    return grid.join(held, ["channel", "block"], "left").select("channel", "block", first.alias("t0"), v.alias("v"))
 
 
 def to_samples(blocks: DataFrame) -> DataFrame:
@@ -33,24 +50,28 @@ def to_samples(blocks: DataFrame) -> DataFrame:
     return blocks.select("channel", "t0", F.posexplode("v").alias("k", "v")).select("channel", (F.col("t0") + F.col("k")).alias("t"), "v")
 
 
-def with_halo(blocks: DataFrame, left: int, right: int) -> DataFrame:
-    """Blocks with `before` and `after`: the last `left` samples of the block before and the first `right` of the next."""
+def with_halo(blocks: DataFrame, left: int, right: int, size: int | None = None) -> DataFrame:
+    """Blocks with `before` and `after`: the `left` samples before the block and the `right` after it, fewer at the ends
+    of the recording. A halo wider than a block comes from as many blocks as it needs, whose `size` must be given then."""
     none = F.lit(None).cast("array<double>")
-    part = lambda step, v, before, after: F.struct((F.col("block") + step).alias("block"), (F.col("t0") if step == 0 else F.lit(None).cast("long")).alias("t0"), v.alias("v"), before.alias("before"), after.alias("after"))
-    parts = [part(0, F.col("v"), none, none)]
-    if left:
-        parts.append(part(1, none, F.slice("v", F.greatest(F.size("v") - left, F.lit(0)) + 1, left), none))
-    if right:
-        parts.append(part(-1, none, none, F.slice("v", 1, right)))
+    reach = lambda n: 0 if not n else 1 if size is None else -(-n // size)
+    part = lambda step, v, halo: F.struct((F.col("block") + step).alias("block"), F.lit(-step).alias("from"), (F.col("t0") if step == 0 else F.lit(None).cast("long")).alias("t0"), v.alias("v"), halo.alias("halo"))
+    parts = [part(0, F.col("v"), none)]
+    for k in range(1, reach(left) + 1):  # what block + k sees of this one: its last samples
+        want = left - (k - 1) * (size or 0)
+        parts.append(part(k, none, F.slice("v", F.greatest(F.size("v") - want, F.lit(0)) + 1, want)))
+    for k in range(1, reach(right) + 1):
+        parts.append(part(-k, none, F.slice("v", 1, right - (k - 1) * (size or 0))))
     sent = blocks.select("channel", F.explode(F.array(*parts)).alias("x")).select("channel", "x.*")
-    whole = sent.groupBy("channel", "block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("t0", "v", "before", "after")])
-    empty = F.array().cast("array<double>")
-    return whole.filter("v IS NOT NULL").select("channel", "block", "t0", "v", F.coalesce("before", empty).alias("before"), F.coalesce("after", empty).alias("after"))
+    halos = F.sort_array(F.collect_list(F.when(F.col("halo").isNotNull(), F.struct("from", "halo"))))
+    whole = sent.groupBy("channel", "block").agg(F.first("t0", ignorenulls=True).alias("t0"), F.first("v", ignorenulls=True).alias("v"), halos.alias("halos"))
+    side = lambda keep: F.flatten(F.transform(F.filter("halos", keep), lambda h: h["halo"]))
+    return whole.filter("v IS NOT NULL").select("channel", "block", "t0", "v", side(lambda h: h["from"] < 0).alias("before"), side(lambda h: h["from"] > 0).alias("after"))
 
 
-def map_blocks(blocks: DataFrame, left: int, right: int, f: Callable) -> DataFrame:
+def map_blocks(blocks: DataFrame, left: int, right: int, f: Callable, size: int | None = None) -> DataFrame:
     """Blocks with f(x, t0) for v, where x are the block's samples with `left` before and `right` after them (0 beyond
-    the recording) and t0 the time of the block's first sample."""
+    the recording) and t0 the time of the block's first sample. `size` as in with_halo()."""
 
     def run(batches):
         import numpy as np
@@ -64,7 +85,7 @@ def map_blocks(blocks: DataFrame, left: int, right: int, f: Callable) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.float64()))], names=["channel", "block", "t0", "v"])
 
     kind = blocks.schema["channel"].dataType.simpleString()
-    return with_halo(blocks, left, right).mapInArrow(run, f"channel {kind}, block long, t0 long, v array<double>")
+    return with_halo(blocks, left, right, size).mapInArrow(run, f"channel {kind}, block long, t0 long, v array<double>")
 
 
 # filters
@@ -82,28 +103,52 @@ def design_bandpass(low: float, high: float, fs: float, order: int) -> list[floa
     return [(b * sinc(b * (k - half)) - a * sinc(a * (k - half))) * (0.54 - 0.46 * math.cos(2 * math.pi * k / order)) for k in range(order + 1)]
 
 
-def fir(blocks: DataFrame, taps: list[float], length: int, zero_edges: bool = True) -> DataFrame:
+#: From so many taps or lags on, products are taken of spectra.
+DIRECT = 64
+
+
+def convolve_valid(x, taps):
+    """Samples of the convolution for which all taps lie inside x. Many taps: overlap-save, in stretches of four times
+    the taps at least, each with its own transform."""
+    import numpy as np
+
+    n, k = len(x), len(taps)
+    if n < k:
+        return np.zeros(0)
+    if k < DIRECT:
+        return np.convolve(x, taps, "valid")
+    width = 1 << (4 * k - 1).bit_length()
+    step, out = width - k + 1, n - k + 1
+    rows = -(-out // step)
+    padded = np.zeros((rows - 1) * step + width)
+    padded[:n] = x
+    pieces = np.lib.stride_tricks.sliding_window_view(padded, width)[::step]
+    y = np.fft.irfft(np.fft.rfft(pieces, axis=1) * np.fft.rfft(taps, width), width, axis=1)
+    return y[:, k - 1 :].ravel()[:out]
+
+
+def fir(blocks: DataFrame, taps: list[float], length: int, zero_edges: bool = True, size: int | None = None) -> DataFrame:
     """Centred convolution with an odd number of taps; the first and last len(taps) - 1 samples of the recording are
-    zeroed, as they lack neighbours."""
+    zeroed, as they lack neighbours. Half the taps may exceed a block if the blocks' `size` is given."""
     half, order = len(taps) // 2, len(taps) - 1
 
     def one(x, t0):
         import numpy as np
 
-        y = np.convolve(x, taps, "valid")
+        y = convolve_valid(x, taps)
         if zero_edges:
             t = t0 + np.arange(len(y))
             y[(t <= order) | (t > length - order)] = 0.0
         return y
 
-    return map_blocks(blocks, half, half, one)
+    return map_blocks(blocks, half, half, one, size)
 
 
-def zero_phase(blocks: DataFrame, taps: list[float], length: int) -> DataFrame:
+def zero_phase(blocks: DataFrame, taps: list[float], length: int, size: int | None = None) -> DataFrame:
     """Forward and backward filter: one convolution with the taps' autocorrelation; zeros beyond the recording."""
     import numpy as np
 
-    return fir(blocks, np.convolve(taps, taps[::-1]).tolist(), length, zero_edges=False)
+    return fir(blocks, np.convolve(taps, taps[::-1]).tolist(), length, zero_edges=False, size=size)
 
 
 # noise and detection
@@ -154,7 +199,8 @@ def detect(blocks: DataFrame, sigma: DataFrame, length: int, threshold: float =
 
     found = to_samples(map_blocks(blocks, 1, 1, one)).filter(~F.isnan("v")).withColumnRenamed("v", "amp")
     bound = F.create_map(*[F.lit(x) for r in sigma.collect() for x in (r["channel"], float(r["sigma"]) * threshold)])  # one row a channel
-    high = found.withColumn("v", height(F.col("amp"))).filter(F.col("v") > F.element_at(bound, F.col("channel")))
+    # few samples are above the bound; they are read several times below, the signal once
+    high = settle(found.withColumn("v", height(F.col("amp"))).filter(F.col("v") > F.element_at(bound, F.col("channel"))))
     kept = walks.suppress_peaks(high.select("channel", "t", "v"), min_dist, float("-inf"))
     return kept.join(high.select("channel", "t", "amp"), ["channel", "t"]).select("channel", "t", "amp")
 
@@ -167,15 +213,38 @@ def detect_and_merge(blocks: DataFrame, sigma: DataFrame, length: int, threshold
 # correlation
 
 
-def xcorr(blocks: DataFrame, max_lag: int, means: dict | None = None) -> DataFrame:
-    """c1, c2, lag, xc: sum over t of c1 at t times c2 at t + lag, 0 <= lag <= max_lag, c1 <= c2, one product of
-    matrices a block; the channels of a block meet in one task. With `means` channels are centred first."""
-    wide = with_halo(blocks, 0, max_lag).groupBy("block").agg(F.collect_list(F.struct("channel", "v", "after")).alias("rows"))
+def lagged_products(a, z, max_lag: int):
+    """Products (channel, channel, lag) of rows a (channels x n) with rows z (channels x n + max_lag) moved by each lag:
+    one product of matrices a lag, or, for many lags, one of spectra."""
+    import numpy as np
+
+    n = a.shape[1]
+    if max_lag < DIRECT:
+        return np.stack([a @ z[:, lag : lag + n].T for lag in range(max_lag + 1)], axis=2)
+    width = 1 << (n + max_lag - 1).bit_length()
+    left, right = np.conj(np.fft.rfft(a, width)), np.fft.rfft(z, width)
+    return np.stack([np.fft.irfft(x[None, :] * right, width)[:, : max_lag + 1] for x in left])
+
+
+def _product_rows(total: dict):
+    """An Arrow batch c1, c2, lag, xc of sums by pair of channels."""
+    import numpy as np
+    import pyarrow as pa
+
+    pairs, sums = list(total), np.stack(list(total.values()))
+    c1, c2 = (np.repeat([p[k] for p in pairs], sums.shape[1]) for k in (0, 1))
+    lag = np.tile(np.arange(sums.shape[1]), len(pairs))
+    return pa.RecordBatch.from_arrays([pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), pa.array(lag, pa.int64()), pa.array(sums.ravel(), pa.float64())], names=["c1", "c2", "lag", "xc"])
+
+
+def xcorr(blocks: DataFrame, max_lag: int, means: dict | None = None, size: int | None = None) -> DataFrame:
+    """c1, c2, lag, xc: sum over t of c1 at t times c2 at t + lag, 0 <= lag <= max_lag, c1 <= c2; the channels of a block
+    meet in one task. With `means` channels are centred first. Lags may exceed a block if the blocks' `size` is given."""
+    wide = with_halo(blocks, 0, max_lag, size).groupBy("block").agg(F.collect_list(F.struct("channel", "v", "after")).alias("rows"))
     taken = means or {}
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         total: dict = {}
         for b in batches:
@@ -183,43 +252,113 @@ def xcorr(blocks: DataFrame, max_lag: int, means: dict | None = None) -> DataFra
                 rows = sorted(rows, key=lambda r: r["channel"])
                 own = [np.array(r["v"]) - taken.get(r["channel"], 0.0) for r in rows]
                 more = [np.concatenate((x, np.array(r["after"]) - taken.get(r["channel"], 0.0), np.zeros(max_lag - len(r["after"])))) for x, r in zip(own, rows, strict=True)]
-                a, z = np.stack(own), np.stack(more)
-                for lag in range(max_lag + 1):
-                    m = a @ z[:, lag : lag + a.shape[1]].T
-                    for i, r in enumerate(rows):
-                        for j in range(i, len(rows)):
-                            key = (r["channel"], rows[j]["channel"], lag)
-                            total[key] = total.get(key, 0.0) + float(m[i, j])
+                m = lagged_products(np.stack(own), np.stack(more), max_lag)
+                for i, r in enumerate(rows):
+                    for j in range(i, len(rows)):
+                        key = (r["channel"], rows[j]["channel"])
+                        total[key] = total[key] + m[i, j] if key in total else m[i, j]
         if total:
-            c1, c2, lag = zip(*total, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), pa.array(lag, pa.int64()), pa.array(list(total.values()), pa.float64())], names=["c1", "c2", "lag", "xc"])
+            yield _product_rows(total)
 
     parts = wide.select("rows").mapInArrow(run, "c1 int, c2 int, lag long, xc double")
     return parts.groupBy("c1", "c2", "lag").agg(F.sum("xc").alias("xc"))
 
 
-def epoch_xcorr(signal: DataFrame, epochs: DataFrame, max_lag: int, max_samples: int, positions: dict | None = None, max_dist: float | None = None, order: list | None = None) -> DataFrame:
-    """c1, c2, lag, cov: products within noise epochs (s, e) by the samples used.
+#: Samples that a covariance takes at most, but for the end of its last epoch, and of one epoch.
+MAX_SAMPLES = 100_000
+
 
-    Epochs shorter than max_lag are left out; epochs are taken by start, or in the given order, until their lengths reach max_samples, the one
-    that reaches it included. Pairs of channels further apart than max_dist are left out.
+def used_epochs(signal: DataFrame, epochs: DataFrame, max_lag: int, max_samples: int = MAX_SAMPLES, max_per_epoch: int = MAX_SAMPLES, order: list | None = None) -> DataFrame:
+    """s, e, n of the noise epochs (s, e) that a covariance is taken from.
+
+    Epochs shorter than max_lag are left out; without any other the first max_samples of the recording are one epoch.
+    They are taken by start, or in the given order, up to the first with which they exceed max_samples; those longer
+    than max_per_epoch are then trimmed evenly. As each taken epoch has max_lag samples, their number is bounded: only
+    so many are put in order.
     """
     from pyspark.sql import Window
 
-    fit = epochs.withColumn("n", F.col("e") - F.col("s") + 1).filter(F.col("n") >= max_lag)
-    # epochs are a table of starts and ends; their running total is one ordered pass
-    before = F.coalesce(F.sum("n").over(Window.orderBy(*(order or ["s", "e"])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = fit.withColumn("before", before).filter(F.col("before") < max_samples).select("s", "e", "n")
-    inside = used.withColumn("epoch", F.col("s")).select("epoch", F.explode(F.sequence("s", "e")).alias("t")).join(signal, "t")
-    left = inside.select("epoch", F.col("channel").alias("c1"), F.col("v").alias("x"), F.col("t").alias("t1"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("t", F.col("t1") + F.col("lag"))
-    right = inside.select("epoch", F.col("channel").alias("c2"), F.col("v").alias("y"), "t")
-    pairs = left.join(right, ["epoch", "t"]).filter("c1 <= c2")
+    from .intervals import make_max_len
+
+    fit = epochs.select("s", "e", *[(F.col(x) if isinstance(x, str) else x).alias(f"_o{k}") for k, x in enumerate(order or [])]).withColumn("n", F.col("e") - F.col("s") + 1).filter(F.col("n") >= max(1, max_lag))
+    by = ["s", "e"] if order is None else [f"_o{k}" for k in range(len(order))]
+    if not fit.take(1):
+        end = F.when(F.max("t").isNotNull(), F.least(F.lit(max_samples).cast("long"), F.max("t")))
+        fit, by = signal.agg(F.lit(1).cast("long").alias("s"), end.alias("e")).filter("e IS NOT NULL").withColumn("n", F.col("e")), ["s", "e"]
+    front = fit.orderBy(*by).limit(max_samples // max(1, max_lag) + 2)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = front.withColumn("before", before).filter(F.col("before") <= max_samples)
+    return make_max_len(taken.select("s", "e"), max_per_epoch).select(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).withColumn("n", F.col("e") - F.col("s") + 1)
+
+
+def epoch_xcorr(signal: DataFrame, epochs: DataFrame, max_lag: int, max_samples: int = MAX_SAMPLES, positions: dict | None = None, max_dist: float | None = None, order: list | None = None, max_per_epoch: int = MAX_SAMPLES) -> DataFrame:
+    """c1, c2, lag, cov: products within noise epochs (s, e), by the samples used; lags without a pair of samples are
+    left out. Which epochs are used: used_epochs(). Pairs of channels further apart than max_dist are left out.
+
+    An epoch's samples meet in one task, max_per_epoch of each channel at most.
+    """
+    used = used_epochs(signal, epochs, max_lag, max_samples, max_per_epoch, order)
+    times = used.select(F.col("s").alias("epoch"), "n", F.explode(F.sequence("s", "e")).alias("t"))
+    # max_samples + max_per_epoch times at most
+    inside = signal.join(F.broadcast(times), "t")
+    held = inside.groupBy("epoch", "n").agg(F.collect_list(F.struct("channel", (F.col("t") - F.col("epoch")).alias("k"), "v")).alias("rows"))
+
+    def run(batches):
+        import numpy as np
+
+        total: dict = {}
+        for b in batches:
+            for n, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names = sorted({r["channel"] for r in rows})
+                place = {c: k for k, c in enumerate(names)}
+                x, known = np.zeros((2, len(names), n + max_lag))
+                c, k = np.array([place[r["channel"]] for r in rows]), np.array([r["k"] for r in rows])
+                x[c, k], known[c, k] = [r["v"] for r in rows], 1.0
+                m, pairs = lagged_products(x[:, :n], x, max_lag), lagged_products(known[:, :n], known, max_lag)
+                m = np.stack((m, pairs))
+                for i in range(len(names)):
+                    for j in range(i, len(names)):
+                        key = (names[i], names[j])
+                        total[key] = total[key] + m[:, i, j] if key in total else m[:, i, j]
+        if total:
+            rows, counts = _product_rows({k: v[0] for k, v in total.items()}), _product_rows({k: v[1] for k, v in total.items()})
+            yield rows.append_column("pairs", counts.column(3))
+
+    parts = held.select("n", "rows").mapInArrow(run, "c1 int, c2 int, lag long, xc double, pairs double")
+    sums = parts.groupBy("c1", "c2", "lag").agg(F.sum("xc").alias("xc"), F.sum("pairs").alias("pairs")).filter("pairs > 0.5")
     if positions is not None and max_dist is not None:
         near = F.create_map(*[F.lit(x) for c, p in positions.items() for x in (c, F.array(*map(F.lit, p)))])
         gap = F.sqrt(sum((near[F.col("c1")][k] - near[F.col("c2")][k]) ** 2 for k in range(len(next(iter(positions.values()))))))
-        pairs = pairs.filter(gap <= max_dist)
+        sums = sums.filter(gap <= max_dist)
     total = used.agg(F.sum("n").alias("total"))
-    return pairs.groupBy("c1", "c2", F.col("lag").cast("long").alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("xc")).crossJoin(F.broadcast(total)).select("c1", "c2", "lag", (F.col("xc") / F.col("total")).alias("cov"))
+    return sums.crossJoin(F.broadcast(total)).select("c1", "c2", "lag", (F.col("xc") / F.col("total")).alias("cov"))
+
+
+def noise_epochs(events: DataFrame, length: int, margin: int = 50) -> DataFrame:
+    """s, e: what events (t) with `margin` samples on each side leave of a recording; stretches of one sample are
+    dropped but at the end. Runs of events are told apart in cells of time, so no task holds them all."""
+    runs = walks.islands(events.select("t").distinct(), [], "t", 2 * margin + 1, [])
+    blank = runs.groupBy("island").agg((F.min("t") - margin).alias("s"), (F.max("t") + margin).alias("e"))
+    cell = 1 << 16
+    from pyspark.sql import Window
+
+    marked = blank.select("s", "e", F.floor(F.col("s") / cell).alias("_cell"))
+    ends = marked.groupBy("_cell").agg(F.max("e").alias("_last"))
+    ends = ends.select("_cell", F.lag("_last").over(Window.orderBy("_cell")).alias("_carry"))  # one row a cell
+    gaps = marked.join(ends, "_cell").withColumn("_p", F.coalesce(F.lag("e").over(Window.partitionBy("_cell").orderBy("s")), "_carry", F.lit(0)))
+    inner = gaps.select((F.col("_p") + 1).alias("s"), (F.col("s") - 1).alias("e")).filter("e - s >= 1")
+    tail = blank.agg(F.coalesce(F.max("e"), F.lit(0)).alias("e")).select((F.col("e") + 1).alias("s"), F.lit(length).cast("long").alias("e")).filter("s <= e")
+    return inner.unionByName(tail)
+
+
+def estimate_covariance(signal: DataFrame, sigma: DataFrame, length: int, max_lag: int = 79, max_samples: int = 150_000, positions: dict | None = None, max_dist: float | None = 40.0, threshold: float = 3.5, min_dist: int = 20, margin: int = 50, size: int = SIZE) -> DataFrame:
+    """c1, c2, lag, cov of the noise of a recording: spikes are detected on all channels and blanked, and what is left
+    between them is correlated. sigma: one row a channel, as for detect()."""
+    # events and epochs are read several times below
+    events = settle(detect(to_blocks(signal, length, size), sigma, length, threshold, min_dist))
+    epochs = settle(noise_epochs(events, length, margin))
+    remove(events)
+    return epoch_xcorr(signal, epochs, max_lag, max_samples, positions, max_dist)
 
 
 def mirrored(cov: DataFrame) -> DataFrame:
@@ -288,6 +427,62 @@ def solve(waves: DataFrame, c) -> DataFrame:
     return apply_matrix(waves, np.linalg.inv(np.asarray(c)))
 
 
+def lag_blocks(cov: DataFrame, channels: int, tf: int):
+    """Array (tf, channels, channels) of covariances c1, c2, lag, cov: entry [k, i, j] of channel i at t and j at t + k."""
+    import numpy as np
+
+    out = np.zeros((tf, channels, channels))
+    for r in mirrored(cov).filter(F.col("lag").between(0, tf - 1)).collect():  # channels**2 * tf numbers
+        out[r["lag"], r["c1"], r["c2"]] = r["cov"]
+    return out
+
+
+def toeplitz_solve(blocks, rhs):
+    """x with T x = rhs (rows of rhs: vectors in channel embedding), T the symmetric matrix of tf x tf blocks with
+    blocks[j - i] in row i, column j, its transpose below. A forward and a backward predictor grow by one block at a
+    time (Whittle); T is never formed: tf**2 * channels**3 steps, tf * channels numbers of a predictor."""
+    import numpy as np
+
+    blocks = np.asarray(blocks, float)
+    tf, c, _ = blocks.shape
+    b = np.asarray(rhs, float).reshape(-1, tf, c).transpose(1, 2, 0)
+    ahead, back = np.eye(c)[None], np.eye(c)[None]
+    v_ahead = v_back = blocks[0]
+    x = np.linalg.solve(blocks[0], b[0])[None]
+    for n in range(1, tf):
+        row = blocks[n:0:-1].transpose(0, 2, 1)  # blocks of the new last row, before the diagonal
+        ef = np.einsum("kij,kjl->il", row, ahead)
+        eb = np.einsum("kij,kjl->il", blocks[1 : n + 1], back)
+        zero = np.zeros((1, c, c))
+        longer, moved = np.concatenate((ahead, zero)), np.concatenate((zero, back))
+        to_back, to_ahead = np.linalg.solve(v_back, ef), np.linalg.solve(v_ahead, eb)
+        ahead, back = longer - moved @ to_back, moved - longer @ to_ahead
+        v_ahead, v_back = v_ahead - eb @ to_back, v_back - ef @ to_ahead
+        rest = b[n] - np.einsum("kij,kjm->im", row, x)
+        x = np.concatenate((x, np.zeros((1, *x.shape[1:])))) + back @ np.linalg.solve(v_back, rest)
+    return x.transpose(2, 0, 1).reshape(len(np.atleast_2d(rhs)), tf * c)
+
+
+def solve_lags(waves: DataFrame, blocks) -> DataFrame:
+    """Waveforms (.., v; time embedding) times the inverse of the covariance with these lag blocks."""
+    import numpy as np
+
+    blocks = np.asarray(blocks, float)
+    tf, channels, _ = blocks.shape
+    names = [c for c in waves.columns if c != "v"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.array(b.column("v").to_pylist(), float).reshape(-1, channels, tf).transpose(0, 2, 1).reshape(-1, tf * channels)
+            y = toeplitz_solve(blocks, x).reshape(-1, tf, channels).transpose(0, 2, 1).reshape(-1, tf * channels) if len(x) else x
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(list(y), pa.list_(pa.float64()))], names=[*names, "v"])
+
+    types = ", ".join(f"`{c}` {waves.schema[c].dataType.simpleString()}" for c in names)
+    return waves.select(*names, "v").mapInArrow(run, f"{types}, v array<double>")
+
+
 # resampling and sub-sample shifts: matrices on each channel
 
 

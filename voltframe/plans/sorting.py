@@ -17,14 +17,9 @@ from .registry import _MEANS, _SUPPRESS, FROM, GDF, SIGNAL, WAVES, query
 _GRID = f"sig AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM sig), grid AS (SELECT c.channel, u.t FROM (SELECT DISTINCT channel FROM sig) c, (SELECT unnest(range(1, n + 1)) AS t FROM n) u), dense AS (SELECT g.channel, g.t, coalesce(s.v, 0) AS v FROM grid g LEFT JOIN sig s ON s.channel = g.channel AND s.t = g.t)"
 
 
-def _length(x):
-    return x.agg(F.max("t")).first()[0] or 0
-
-
-def _blocks(s, d, size=512):
-    x = T.signal(s, d)
-    n = _length(x)
-    return B.to_blocks(x, n, size), n
+def _blocks(s, d, size=B.SIZE):
+    x, n = T.signal(s, d), T.signal_length(s, d)
+    return B.to_blocks(x, n, size, list(range(T.CHANNELS))), n
 
 
 def _frame(s, values, schema):
@@ -92,38 +87,38 @@ def _(s, d):
 def _noise(s, d):
     x = T.signal(s, d)
     k = F.col("id")
-    return x, s.range(_length(x) // 100).select((100 * k + 1).alias("s"), (100 * k + 1 + k % 60).alias("e"))
+    return x, s.range(T.signal_length(s, d) // 100).select((100 * k + 1).alias("s"), (100 * k + 1 + k % 60).alias("e"))
 
 
 def _cov_sql(order: str, most: int) -> str:
     return f"""sig AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM sig), ep AS (SELECT 100 * k + 1 AS s, 100 * k + 1 + k % 60 AS e FROM (SELECT unnest(range(0, n // 100)) AS k FROM n)), fit AS (SELECT s, e, e - s + 1 AS n FROM ep WHERE e - s + 1 >= 3),
-run AS (SELECT *, coalesce(sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fit), used AS (SELECT * FROM run WHERE before < {most}), ins AS (SELECT s AS epoch, channel, t, v FROM used JOIN sig ON t BETWEEN s AND e),
+run AS (SELECT *, coalesce(sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fit), used AS (SELECT * FROM run WHERE before <= {most}), ins AS (SELECT s AS epoch, channel, t, v FROM used JOIN sig ON t BETWEEN s AND e),
 cv AS (SELECT a.channel AS c1, b.channel AS c2, b.t - a.t AS lag, sum(a.v * b.v) / (SELECT sum(n) FROM used) AS cov FROM ins a JOIN ins b ON a.epoch = b.epoch AND b.t - a.t BETWEEN 0 AND 3 AND a.channel <= b.channel GROUP BY 1, 2, 3)"""
 
 
-@query("cov_01", f"WITH {_cov_sql('s, e', 2000)} SELECT c1, c2, lag, round(cov, 5) AS cov FROM cv WHERE abs(c1 - c2) <= 2")
+@query("cov_01", f"WITH {_cov_sql('s, e', 100000)} SELECT c1, c2, lag, round(cov, 5) AS cov FROM cv WHERE abs(c1 - c2) <= 2")
 def _(s, d):
     x, epochs = _noise(s, d)
-    return B.epoch_xcorr(x, epochs, 3, 2000, {c: [float(c)] for c in range(4)}, 2.0).withColumn("cov", F.round("cov", 5))
+    return B.epoch_xcorr(x, epochs, 3, B.MAX_SAMPLES, {c: [float(c)] for c in range(4)}, 2.0).withColumn("cov", F.round("cov", 5))
 
 
-@query("cov_02", f"WITH {_cov_sql('md5(CAST(s AS VARCHAR)), s', 1000)} SELECT c1, c2, lag, round(cov, 5) AS cov FROM cv")
+@query("cov_02", f"WITH {_cov_sql('md5(CAST(s AS VARCHAR)), s', 100000)} SELECT c1, c2, lag, round(cov, 5) AS cov FROM cv")
 def _(s, d):
     x, epochs = _noise(s, d)
-    return B.epoch_xcorr(x, epochs, 3, 1000, order=[F.md5(F.col("s").cast("string")), "s"]).withColumn("cov", F.round("cov", 5))
+    return B.epoch_xcorr(x, epochs, 3, order=[F.md5(F.col("s").cast("string")), "s"]).withColumn("cov", F.round("cov", 5))
 
 
-@query("cov_03", f"""WITH {_cov_sql('s, e', 2000)}, m AS (SELECT c1, c2, lag, cov FROM cv UNION ALL SELECT c2, c1, -lag, cov FROM cv WHERE NOT (c1 = c2 AND lag = 0)), z AS (SELECT c1, c2, k, k + lag AS j, cov FROM m, range(0, 3) r(k) WHERE abs(lag) < 3 AND k + lag BETWEEN 0 AND 2)
+@query("cov_03", f"""WITH {_cov_sql('s, e', 100000)}, m AS (SELECT c1, c2, lag, cov FROM cv UNION ALL SELECT c2, c1, -lag, cov FROM cv WHERE NOT (c1 = c2 AND lag = 0)), z AS (SELECT c1, c2, k, k + lag AS j, cov FROM m, range(0, 3) r(k) WHERE abs(lag) < 3 AND k + lag BETWEEN 0 AND 2)
 SELECT 'time' AS layout, c1 * 3 + k AS row, c2 * 3 + j AS col, round(cov, 5) AS value FROM z UNION ALL SELECT 'channel', k * 4 + c1, j * 4 + c2, round(cov, 5) FROM z""")
 def _(s, d):
-    cov = B.epoch_xcorr(*_noise(s, d), 3, 2000)
+    cov = B.epoch_xcorr(*_noise(s, d), 3)
     one = lambda kind: B.embedded(cov, 4, 3, kind).select(F.lit(kind).alias("layout"), "row", "col", F.round("value", 5).alias("value"))
     return one("time").unionByName(one("channel"))
 
 
 @query("cov_04")
 def _(s, d):
-    c = B.dense(B.embedded(B.epoch_xcorr(*_noise(s, d), 15, 20000), 4, 16), 64)
+    c = B.dense(B.embedded(B.epoch_xcorr(*_noise(s, d), 15), 4, 16), 64)
     import numpy as np
 
     return B.whiten(T.waveforms(s, d).select("wf_id", "v"), c + 1e4 * np.eye(64))
@@ -131,10 +126,12 @@ def _(s, d):
 
 @query("cov_05")
 def _(s, d):
-    c = B.dense(B.embedded(B.epoch_xcorr(*_noise(s, d), 15, 20000), 4, 16), 64)
     import numpy as np
 
-    return B.solve(T.waveforms(s, d).select("wf_id", "v"), c + 1e4 * np.eye(64))
+    x, _, n = _low(s, d)
+    lags = B.lag_blocks(B.estimate_covariance(x, M.mad(x), n, 15, margin=8, threshold=3.0, min_dist=8, max_dist=None), 4, 16)
+    lags[0] += 1e4 * np.eye(4)
+    return B.solve_lags(T.waveforms(s, d).select("wf_id", "v"), lags)
 
 
 # noise and detection, on the signal less 70
@@ -142,8 +139,8 @@ def _(s, d):
 
 def _low(s, d):
     x = T.signal(s, d).withColumn("v", F.col("v") - 70)
-    n = _length(x)
-    return x, B.to_blocks(x, n, 512), n
+    n = T.signal_length(s, d)
+    return x, B.to_blocks(x, n, channels=list(range(T.CHANNELS))), n
 
 
 _LOW = f"""{_GRID}, low AS (SELECT g.channel, g.t, coalesce(s.v - 70, 0) AS v FROM grid g LEFT JOIN sig s ON s.channel = g.channel AND s.t = g.t), md AS (SELECT channel, median(v - 70) AS m FROM sig GROUP BY 1), sg AS (SELECT channel, round(1.4826 * median(abs(v - 70 - m)), 6) AS sigma FROM sig JOIN md USING (channel) GROUP BY 1),
@@ -167,7 +164,7 @@ def _(s, d):
 @query("det_06")
 def _(s, d):
     x, b, n = _low(s, d)
-    return B.noise_std(b, n, 1.5, max_length=3000)
+    return B.noise_std(b, n, 1.5)
 
 
 @query("det_07")
@@ -182,7 +179,7 @@ def _(s, d):
 @query("wav_07", f"WITH x AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM x), p AS (SELECT channel, t FROM x, n WHERE t % 25 = 1 AND t - (t - 1) // 500 * 500 >= 12 AND (t <= n - 12 OR ((t - 1) // 500 + 1) * 500 < n)) SELECT p.channel, p.t, k AS pos, coalesce(v, 0) AS v FROM p CROSS JOIN range(0, 12) r(k) LEFT JOIN x ON p.channel = x.channel AND x.t = p.t - 5 + k")
 def _(s, d):
     x = T.signal(s, d)
-    return P.cut_in_chunks(x, x.filter("t % 25 = 1").select("channel", "t"), _length(x), 12, 5, 500).select("channel", "t", "pos", "v")
+    return P.cut_in_chunks(x, x.filter("t % 25 = 1").select("channel", "t"), T.signal_length(s, d), 12, 5, 500).select("channel", "t", "pos", "v")
 
 
 @query("wav_09", f"WITH x AS ({SIGNAL}), g AS (SELECT unit % 10 AS unit, t - {FROM} + 1 AS t, event_id FROM ({GDF})), o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS k FROM g) SELECT unit, pos, round(median(coalesce(v, 0)), 6) AS x FROM (SELECT * FROM o WHERE k <= 50) e CROSS JOIN range(0, 24) r(pos) LEFT JOIN x ON x.channel = pos // 6 AND x.t = e.t - 2 + pos % 6 GROUP BY 1, 2")

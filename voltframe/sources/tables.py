@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MINUTE = 60_000
+MINUTE, CHANNELS = 60_000, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,12 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal (channel, t, v): quantities of `lineitem` in key order; four channels by line number."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select((F.col("l_linenumber") % 4).cast("int").alias("channel"), (F.col("l_orderkey") + 1).alias("t"), F.col("l_quantity").cast("double").alias("v")).groupBy("channel", "t").agg(F.sum("v").alias("v"))
+    return l.select((F.col("l_linenumber") % CHANNELS).cast("int").alias("channel"), (F.col("l_orderkey") + 1).alias("t"), F.col("l_quantity").cast("double").alias("v")).groupBy("channel", "t").agg(F.sum("v").alias("v"))
+
+
+def signal_length(spark: SparkSession, sf_dir: str) -> int:
+    """Samples of signal(); one maximum over a column of the table."""
+    return (table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] or -1) + 1
 
 
 def pick(signal: DataFrame, times: list[int]) -> DataFrame:
