@@ -13,6 +13,7 @@ from ..operators import fits as L
 from ..operators import intervals as I
 from ..operators import matrices as M
 from ..operators import population as U
+from ..sources import flat
 from ..sources import recordings as R
 from ..sources import tables as T
 from .registry import _MEANS, DAY, FROM, GDF, SIGNAL, TO, WAVES, query
@@ -40,12 +41,24 @@ def _(s, d):
     return T.signal(s, d).withColumn("v", F.round(F.col("v") * R.preprocessed_lsb(2.9, 8, 1024), 4))
 
 
-@query("src_05", f"SELECT channel, t, v * 0.5 AS v FROM ({SIGNAL})")
+_DENSE = f"sig AS ({SIGNAL}), n AS (SELECT max(t) AS n FROM sig), grid AS (SELECT c.channel, u.t FROM (SELECT DISTINCT channel FROM sig) c, (SELECT unnest(range(1, n + 1)) AS t FROM n) u), dense AS (SELECT g.channel, g.t, coalesce(s.v, 0) AS v FROM grid g LEFT JOIN sig s ON s.channel = g.channel AND s.t = g.t)"
+
+
+def _flat_file(s, d, size=B.SIZE, lsb=1.0):
+    path = R.scratch(s, "flat")
+    flat.save(B.to_blocks(T.signal(s, d), T.signal_length(s, d), size), path, list(range(T.CHANNELS)), lsb)
+    return path
+
+
+@query("src_05", f"WITH {_DENSE} SELECT channel, (t - 1) // 1000 AS block, count(*) AS n, sum(v) * 0.5 AS total FROM dense GROUP BY 1, 2")
 def _(s, d):
-    x = T.signal(s, d)
-    n = x.agg(F.max("t")).first()[0] or 0
-    back = B.to_samples(R.unpack_int16(R.pack_int16(B.to_blocks(x, n, 1000)), 0.5))
-    return back.join(x.select("channel", "t"), ["channel", "t"], "left_semi")
+    x = flat.read(s, _flat_file(s, d, 1000), T.CHANNELS, committed=True, form="blocks", size=1000, lsb=0.5)
+    return x.select("channel", "block", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("src_08", f"WITH {_DENSE} SELECT channel, t, v FROM dense WHERE channel IN (1, 3) AND t BETWEEN 500 AND 900")
+def _(s, d):
+    return flat.read(s, _flat_file(s, d, 256), T.CHANNELS, committed=True, only=[1, 3], first=500, last=900, split=1 << 10).select("channel", "t", "v")
 
 
 @query("src_07", f"SELECT unit, count(*) AS n, round(sum(v[1]), 5) AS x FROM ({WAVES}) WHERE unit IN (1, 4) GROUP BY unit")
@@ -70,6 +83,16 @@ def _(s, d):
     return s.read.parquet(f"{path}/metadata")
 
 
+@query("src_10_resume", f"WITH {_DENSE} SELECT (t - 1) // 500 AS chunk, count(*) // 4 AS n, sum(v) AS total FROM dense GROUP BY 1")
+def _(s, d):
+    path, n = R.scratch(s, "chunks"), T.signal_length(s, d)
+    x, channels = B.to_blocks(T.signal(s, d), n, 500), list(range(T.CHANNELS))
+    flat.save(x.filter("block % 3 = 1"), path, channels)  # a run that did not get far
+    done = flat.save(x, path, channels)
+    total = flat.read(s, path, T.CHANNELS, committed=True).groupBy(F.floor((F.col("t") - 1) / 500).alias("chunk")).agg(F.sum("v").alias("total"))
+    return done.select("chunk", "n").join(total, "chunk")
+
+
 @query("src_11", f"SELECT channel, count(*) AS n, sum(v) AS total FROM ({SIGNAL}) WHERE channel IN (1, 3) GROUP BY channel")
 def _(s, d):
     path, x = R.scratch(s, "recording"), T.signal(s, d)

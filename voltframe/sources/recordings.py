@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import flat, shared
 
 
 def microvolts(raw: Column, gain: float, volts: float = 3.3, bits: int = 10) -> Column:
@@ -64,21 +64,9 @@ def unpack_int16(packed: DataFrame, lsb: float = 1.0) -> DataFrame:
 
 
 def read_interleaved(spark: SparkSession, path: str, channels: int, dtype: str = "<i2") -> DataFrame:
-    """channel, t, v of flat binary files with the channels of a sample side by side; a file is one row of Spark's
-    binary source, so recordings come as files of bounded length, whose names give their order."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, dtype).reshape(-1, channels).astype(float)
-                n = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * n * channels), pa.array(np.tile(np.arange(channels), n), pa.int32()), pa.array(np.repeat(np.arange(1, n + 1), channels), pa.int64()), pa.array(x.ravel())], names=["path", "channel", "t", "v"])
-
-    return files.mapInArrow(run, "path string, channel int, t long, v double")
+    """path, channel, t, v of flat binary files with the channels of a sample side by side, cut by ranges of bytes."""
+    names = F.array(*[F.lit(name) for name, _ in flat.files(path)])
+    return flat.read(spark, path, channels, dtype=dtype).select(F.get(names, F.col("file")).alias("path"), "channel", "t", "v")
 
 
 def parse_parameters(text: str) -> dict[str, str]:
