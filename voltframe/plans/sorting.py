@@ -11,6 +11,8 @@ from ..operators import generate as G
 from ..operators import matrices as M
 from ..operators import templates as P
 from ..sources import tables as T
+from ..sources.recordings import scratch
+from ..streaming import detection as D
 from .registry import _MEANS, _SUPPRESS, FROM, GDF, SIGNAL, WAVES, query
 
 #: The signal on a full grid of channels and times, 0 where it has no sample.
@@ -153,6 +155,15 @@ def _(s, d):
     return B.detect(b, M.mad(x), n, 3.0, 8)
 
 
+@query("det_02_stream", f"WITH RECURSIVE {_LOW} SELECT channel, t, amp FROM det")
+def _(s, d):
+    x, b, n = _low(s, d)
+    path = scratch(s, "chunks")
+    b.repartition(4, "block").write.parquet(path)  # chunks of a channel come in no order
+    sigma = {r["channel"]: r["sigma"] for r in M.mad(x).collect()}
+    return D.run_to_table(s, path, "channel int, block long, t0 long, v array<double>", lambda c: D.detect_stream(c, n, 3.0, 8, sigma), 2)
+
+
 @query("det_03", f"""WITH RECURSIVE {_LOW}, i0 AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, channel, amp) < 4 THEN 0 ELSE 1 END AS n FROM det), i1 AS (SELECT *, sum(n) OVER (ORDER BY t, channel, amp ROWS UNBOUNDED PRECEDING) AS island FROM i0), p AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY t, channel, amp) AS k FROM i1),
 w(island, k, grp, bt, ba) AS (SELECT island, k, k, t, amp FROM p WHERE k = 1 UNION ALL SELECT p.island, p.k, CASE WHEN p.t < bt + 4 THEN grp ELSE p.k END, CASE WHEN p.t >= bt + 4 OR abs(ba) <= abs(amp) THEN p.t ELSE bt END, CASE WHEN p.t >= bt + 4 OR abs(ba) <= abs(amp) THEN amp ELSE ba END FROM w JOIN p ON p.island = w.island AND p.k = w.k + 1),
 o AS (SELECT p.*, row_number() OVER (PARTITION BY p.island, grp ORDER BY amp, p.k) AS r FROM p JOIN w USING (island, k)) SELECT t, amp, channel FROM o WHERE r = 1""")
