@@ -68,3 +68,13 @@ def distance(a: Column, b: Column) -> Column:
 def arg(v: Column, extreme: Column) -> Column:
     """1-based place of the first element equal to extreme."""
     return F.array_position(v, extreme)
+
+
+def lowest_between(v: Column) -> Column:
+    """Place (from 0, with a fraction) and value of the lowest point of the parabola through the smallest sample (the first
+    of equals) and its neighbours; at an end of v, or on a flat, the sample itself."""
+    i = arg(v, F.array_min(v)).cast("int") - 1
+    a, b, c = (F.get(v, i + k) for k in (-1, 0, 1))
+    bend = a - 2 * b + c
+    off = F.when((i > 0) & (i < F.size(v) - 1) & (bend > 0), (a - c) / (2 * bend)).otherwise(F.lit(0.0))
+    return F.struct((i + off).alias("place"), (b - F.when(off != 0, bend * off * off / 2).otherwise(F.lit(0.0))).alias("value"))

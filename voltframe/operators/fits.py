@@ -44,7 +44,8 @@ def align_on_mean(waves: DataFrame, n: int, tf: int, by: str = "unit", max_round
 
 
 def curve(kind: str, p, x):
-    """gaussian: height, centre, width, base; exponential: height, rate, base; sigmoid: height, slope, centre, base; power: height, exponent, base."""
+    """gaussian: height, centre, width, base; exponential: height, rate, base; sigmoid: height, slope, centre, base; power:
+    height, exponent, centre, base (the base alone up to the centre)."""
     import numpy as np
 
     if kind == "gaussian":
@@ -53,7 +54,9 @@ def curve(kind: str, p, x):
         return p[0] * np.exp(np.clip(-p[1] * x, -700, 700)) + p[2]
     if kind == "sigmoid":
         return p[0] / (1 + np.exp(np.clip(-p[1] * (x - p[2]), -700, 700))) + p[3]
-    return p[0] * np.power(np.maximum(x, 1e-300), p[1]) + p[2]
+    up = np.maximum(x - p[2], 0.0)
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        return p[0] * np.where(up > 0, np.power(np.maximum(up, 1e-300), p[1]), 0.0) + p[3]
 
 
 def simplex(loss, start, rounds: int = 2000, tolerance: float = 1e-10):
@@ -93,7 +96,7 @@ def fit_curves(points: DataFrame, kind: str, by: str) -> DataFrame:
         x, y = table["x"].to_numpy(float), table["y"].to_numpy(float)
         low, high, top = float(y.min()), float(y.max()), float(x[y.argmax()])
         wide = float(x.std()) or 1.0
-        start = {"gaussian": (high - low, top, wide / 2, low), "exponential": (high - low, 1 / wide, low), "sigmoid": (high - low, 4 / wide, float(x.mean()), low), "power": (high - low, 1.0, low)}[kind]
+        start = {"gaussian": (high - low, top, wide / 2, low), "exponential": (high - low, 1 / wide, low), "sigmoid": (high - low, 4 / wide, float(x.mean()), low), "power": (high - low, 1.0, float(x.min()) - 0.01 * wide, low)}[kind]
         loss = lambda p: float(np.nan_to_num(np.sqrt(((curve(kind, p, x) - y) ** 2).sum()), nan=1e300, posinf=1e300))
         best, residual = simplex(loss, start)
         best, residual = simplex(loss, best)
@@ -103,8 +106,75 @@ def fit_curves(points: DataFrame, kind: str, by: str) -> DataFrame:
     return rows.groupBy(by).applyInPandas(run, f"{by} {points.schema[by].dataType.simpleString()}, params array<double>, residual double")
 
 
+def surface(p, x, y):
+    """Densities at x, y of two normal distributions around the same centre: p holds the centre, the log of the first
+    variance, the log ratio of the second to it, the angle of the first axis, and the log of how much wider the
+    surround is than the middle."""
+    import numpy as np
+
+    along = np.cos(p[4]) * (x - p[0]) + np.sin(p[4]) * (y - p[1])
+    across = np.cos(p[4]) * (y - p[1]) - np.sin(p[4]) * (x - p[0])
+    one, two = np.exp(np.clip(p[2], -30, 30)), np.exp(np.clip(p[2] + p[3], -30, 30))
+    out = []
+    for wider in (1.0, np.exp(np.clip(p[5], -10, 10))):
+        out.append(np.exp(-0.5 * (along**2 / (one * wider) + across**2 / (two * wider))) / (2 * np.pi * np.sqrt(one * two) * wider))
+    return out
+
+
+def fit_surfaces(points: DataFrame, by: str, kind: str = "hat") -> DataFrame:
+    """Receptive fields (by, x, y, z: one value a place) as a middle and a surround around one centre.
+
+    z less its median is fitted by a * N(centre, C) - b * N(centre, r * C) with r > 1 (kind "hat"), or by the first term
+    alone ("gaussian"). Given centre, C and r the amplitudes are a linear fit, so that they may have any signs; the
+    search for the others starts at the largest |z|. Gives by, x, y, cxx, cxy, cyy, ratio, a, b, base, residual (norm);
+    null where z is constant. The covariance's axes differ tenfold at most. One field a task; fields are grids of
+    electrodes or of channels and samples.
+    """
+    schema = ", ".join(f"{c} double" for c in ("x", "y", "cxx", "cxy", "cyy", "ratio", "a", "b", "base", "residual"))
+
+    def run(key, table):
+        import numpy as np
+        import pandas as pd
+
+        x, y, z = (table[c].to_numpy(float) for c in ("x", "y", "z"))
+        base = float(np.median(z))
+        z = z - base
+        names = ["x", "y", "cxx", "cxy", "cyy", "ratio", "a", "b", "base", "residual"]
+        if not z.any():
+            return pd.DataFrame([[key[0], *[None] * 8, base, 0.0]], columns=[by, *names])
+
+        def solve(p):
+            bound = abs(p[3]) - np.log(10.0)
+            parts = surface(p, x, y)
+            m = np.stack(parts if kind == "hat" else parts[:1], axis=1)
+            if not np.isfinite(m).all() or (kind == "hat" and p[5] < 0.05):
+                return None, 1e150
+            k, *_ = np.linalg.lstsq(m, z, rcond=None)
+            return k, float(np.sqrt(((m @ k - z) ** 2).sum())) * (1 + max(0.0, bound))
+
+        top = np.abs(z).argmax()
+        spread = max(np.ptp(x), np.ptp(y), 1e-9)
+        best = None
+        for width, angle in ((0.08, 0.3), (0.2, 1.1)):
+            start = (x[top], y[top], 2 * np.log(width * spread), 0.1, angle, 1.0)
+            p, loss = simplex(lambda p: solve(p)[1], start, 800)
+            if best is None or loss < best[1]:
+                best = (p, loss)
+        p, _ = simplex(lambda p: solve(p)[1], best[0], 1500)
+        k, residual = solve(p)
+        one, two = np.exp(p[2]), np.exp(p[2] + p[3])
+        turn = np.array([[np.cos(p[4]), -np.sin(p[4])], [np.sin(p[4]), np.cos(p[4])]])
+        c = turn @ np.diag([one, two]) @ turn.T
+        hat = kind == "hat"
+        return pd.DataFrame([[key[0], p[0], p[1], c[0, 0], c[0, 1], c[1, 1], float(np.exp(p[5])) if hat else None, k[0], -k[1] if hat else None, base, residual]], columns=[by, *names])
+
+    rows = points.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(by, *[F.col(c).cast("double") for c in ("x", "y", "z")])
+    return rows.groupBy(by).applyInPandas(run, f"{by} {points.schema[by].dataType.simpleString()}, {schema}")
+
+
 def receptive_fields(waves: DataFrame, n: int, tf: int, by: str) -> DataFrame:
-    """by, share, channel, sample, peak: leading component of each group's mean (channels x samples): how much of its power
+    """by, share, channel, sample, peak: leading component of each group's mean (channels x samples), whose two sides are the
+    field over channels and the course in time (both of component 1: a mean of one source has no other): how much of its power
     that holds, the channel and the sample where it is largest, and its value in time there (the channel's being
     positive). Means are aggregates; a group's decomposition sees one mean."""
     from .matrices import templates

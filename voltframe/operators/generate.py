@@ -20,11 +20,13 @@ def normal(*keys: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(*keys, F.lit("a")))) * F.cos(2 * math.pi * uniform(*keys, F.lit("b")))
 
 
-def poisson_trains(spark: SparkSession, rates: dict[int, float], duration: float, seed: str = "0") -> DataFrame:
-    """unit, k, s (seconds): homogeneous Poisson trains; gaps are summed up by unit, in blocks of 1,024 events whose sums
+def poisson_trains(spark: SparkSession, rates: dict[int, float] | DataFrame, duration: float, seed: str = "0") -> DataFrame:
+    """unit, k, s (seconds): homogeneous Poisson trains of rates by unit (or a table unit, rate); gaps are summed up by unit, in blocks of 1,024 events whose sums
     are summed first. Twice the expected number of events plus 100 are drawn and cut at the duration, so that a train
     that ends early is out of question."""
-    units = spark.createDataFrame([(int(u), float(r), int(2 * r * duration + 100)) for u, r in rates.items()], "unit long, rate double, n long")
+    if not isinstance(rates, DataFrame):
+        rates = spark.createDataFrame([(int(u), float(r)) for u, r in rates.items()], "unit long, rate double")
+    units = rates.select("unit", F.col("rate").cast("double").alias("rate"), F.floor(2 * F.col("rate") * duration + 100).alias("n"))
     draws = units.select("unit", "rate", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     gaps = draws.withColumn("gap", -F.log(uniform(F.lit(seed), F.col("unit"), F.col("k"))) / F.col("rate")).withColumn("block", F.floor(F.col("k") / 1024))
     sums = gaps.groupBy("unit", "block").agg(F.sum("gap").alias("sum"))

@@ -184,24 +184,28 @@ def principal_components(waves: DataFrame, dims: int) -> DataFrame:
     """Projections on the first components; moments are one aggregate of the size of a waveform squared."""
     import numpy as np
 
+    # products are taken of what is left of a first mean, so that a large offset costs no digits
+    centre = waves.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).orderBy("k").collect()
+    if not centre:
+        return waves.select("wf_id", *[F.lit(0.0).alias(f"pc{k + 1}") for k in range(dims)])
+    mean = np.array([r["x"] for r in centre])
+    size = len(mean)
+
     def moments(batches):
         import pandas as pd
 
         n, s, ss = 0, 0.0, 0.0
         for b in batches:
-            x = np.stack(b["v"].to_numpy())
+            x = np.stack(b["v"].to_numpy()) - mean
             n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
 
     parts = waves.select("v").mapInPandas(moments, "n long, s array<double>, ss array<double>")
     total = parts.select("n", F.posexplode(F.concat("s", "ss")).alias("k", "x")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("k").collect()
-    if not total:
-        return waves.select("wf_id", *[F.lit(0.0).alias(f"pc{k + 1}") for k in range(dims)])
     n, flat = total[0]["n"], np.array([r["x"] for r in total])
-    size = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
-    mean = flat[:size] / n
-    cov = flat[size:].reshape(size, size) / n - np.outer(mean, mean)
+    rest = flat[:size] / n
+    cov = flat[size:].reshape(size, size) / n - np.outer(rest, rest)
     vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :dims]
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), range(dims)] < 0, -1, 1)
     centred = F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)

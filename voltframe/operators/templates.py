@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -138,6 +138,42 @@ def align_on_average_max(waves: DataFrame, channels: int, tf: int, by: str = "un
     return waves.join(means, by).select("wf_id", (F.col("_m") - place(F.col("v"))).alias("tau"))
 
 
+def align_on_template(waves: DataFrame, templates: DataFrame, channels: int, tf: int, by: str = "unit", max_shift: float = 5.0, step: float = 0.01) -> DataFrame:
+    """wf_id, tau, v: waveforms moved by the fraction of samples tau, within max_shift, at which they fit the template of
+    their group best (largest dot product; of equals the smallest tau). The product is of the plain sinc: rows of norm 1, as waveforms are then moved by, would
+    draw tau to half samples. Moving a waveform and multiplying it with the template is a product with the template moved the other way, once a
+    template for all steps; the best step is a row's largest product. templates: by, v, joined by group.
+    """
+    import numpy as np
+
+    n = round(max_shift / step)
+    taus = np.arange(-n, n + 1) * step
+
+    def run(batches):
+        import pyarrow as pa
+
+        plain = np.sinc(np.arange(tf)[None, :, None] - np.arange(tf)[None, None, :] - taus[:, None, None])
+        shift = np.stack([B.sinc_shift_matrix(tf, float(t)) for t in taus])
+        known: dict = {}
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, channels, tf)
+            templates = [t.values for t in (b.column(2)[k] for k in range(b.num_rows))]
+            keys = [t.to_numpy(zero_copy_only=False).tobytes() for t in templates]
+            best = np.empty(b.num_rows, np.int64)
+            for key in set(keys):
+                if key not in known:
+                    known.clear() if len(known) > 64 else None
+                    known[key] = np.einsum("ct,stk->sck", np.frombuffer(key).reshape(channels, tf), plain).reshape(len(taus), -1)
+                own = np.array([k == key for k in keys])
+                best[own] = np.argmax(np.round(x[own].reshape(own.sum(), -1) @ known[key].T, 9), 1)
+            out = np.einsum("wtk,wck->wct", shift[best], x).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(taus[best]), pa.array(list(out), pa.list_(pa.float64()))], names=["wf_id", "tau", "v"])
+
+    kind = waves.schema["wf_id"].dataType.simpleString()
+    rows = waves.select(by, "wf_id", "v").join(templates.select(by, F.col("v").alias("_t")), by).select("wf_id", "v", "_t")
+    return rows.mapInArrow(run, f"wf_id {kind}, tau double, v array<double>")
+
+
 # merging
 
 
@@ -264,35 +300,64 @@ def duplicates(pairs: DataFrame, events: DataFrame, dist: int = 10, min_overlap:
 # quality
 
 
-def quality_of_set(templates: DataFrame, prior: float) -> DataFrame:
+def quality_of_set(templates: DataFrame, prior: float, channels: int = 1, max_shift: int = 0) -> DataFrame:
     """u1, u2, error: expected error of telling two templates apart along the line through them, noise being white with
     variance 1; unit -1 is noise (a zero template with the rest of the priors). Equal templates: the smaller prior.
-    Pairs of a template set, as all pairs of it are asked for; sets are local groups."""
-    n = templates.count()
+
+    With max_shift the second template of a pair is moved to where it is nearest to the first (by up to max_shift
+    samples, zeros entering; of equals the smallest move, then to the left). Each template meets those with a larger
+    number: the pairs of a set, which is a local group's, made by a sent copy of the set; the copy is checked to be small.
+    """
+    n, size = templates.agg(F.count("*"), F.max(F.size("v"))).first()
     if prior * n >= 1:
         raise ValueError("the priors add up to 1 or more")
-    width = F.size("v")
-    rows = templates.select(F.col("unit").cast("long").alias("unit"), "v", F.lit(float(prior)).alias("p"))
-    noise = templates.limit(1).select(F.lit(-1).cast("long").alias("unit"), F.array_repeat(F.lit(0.0), width).alias("v"), F.lit(1.0 - prior * n).alias("p"))
-    every = noise.unionByName(rows)
-    a, b = (every.select(F.col("unit").alias(f"u{k}"), F.col("v").alias(f"v{k}"), F.col("p").alias(f"p{k}")) for k in (1, 2))
-    gap = F.zip_with("v1", "v2", lambda x, y: x - y)
-    pairs = a.join(b, F.col("u1") < F.col("u2")).withColumn("n", A.norm(gap))
-    raw = -F.log(F.col("p1") / F.col("p2")) + 0.5 * (A.dot(F.col("v1"), F.col("v1")) - A.dot(F.col("v2"), F.col("v2")))
-    by = lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))
-    measured = pairs.select("u1", "u2", "p1", "p2", "n", by(raw).alias("thr"), by(A.dot(F.col("v1"), gap)).alias("m1"), by(A.dot(F.col("v2"), gap)).alias("m2"))
+    if n * (size or 0) > 1 << 22:
+        raise ValueError("a set of templates this large is not that of a local group")
+    rows = templates.select(F.col("unit").cast("long").alias("unit"), F.col("v").cast("array<double>").alias("v"))
+    every = sorted((int(r["unit"]), list(r["v"])) for r in rows.collect())
+    every = [(-1, [0.0] * (size or 0), 1.0 - prior * n), *[(u, v, float(prior)) for u, v in every]]
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        normal = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+        units, all_v, priors = np.array([u for u, _, _ in every]), np.array([v for _, v, _ in every], float), np.array([p for _, _, p in every])
+        shape = (len(units), channels, -1)
+        moved = {s: _shifted(all_v.reshape(shape), s).reshape(len(units), -1) for s in sorted(range(-max_shift, max_shift + 1), key=lambda s: (abs(s), s))}
+        normal = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
         for b in batches:
-            out = []
-            for p1, p2, d, thr, m1, m2 in zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True):
-                out.append(min(p1, p2) if d < 1e-6 else p1 * normal(thr - m1) + p2 * (1 - normal(thr - m2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["u1", "u2", "error"])
+            for k in b.column(0).to_pylist():
+                later = np.flatnonzero(np.arange(len(units)) > k)
+                if not len(later):
+                    continue
+                choices = list(moved.values())
+                gaps = np.stack([np.linalg.norm(m[later] - all_v[k], axis=1) for m in choices])
+                two = np.stack(choices)[np.argmin(np.round(gaps, 9), 0), later]
+                line = all_v[k] - two
+                d = np.linalg.norm(line, axis=1)
+                safe = np.maximum(d, 1e-300)
+                thr = (-np.log(priors[k] / priors[later]) + 0.5 * ((all_v[k] ** 2).sum() - (two**2).sum(1))) / safe
+                m1, m2 = (line @ all_v[k]) / safe, (line * two).sum(1) / safe
+                error = np.where(d < 1e-6, np.minimum(priors[k], priors[later]), priors[k] * normal(thr - m1) + priors[later] * (1 - normal(thr - m2)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(later), units[k])), pa.array(units[later]), pa.array(error)], names=["u1", "u2", "error"])
+
+    return templates.sparkSession.range(len(every)).mapInArrow(run, "u1 long, u2 long, error double")
+
+
+def _shifted(x, s: int):
+    """The last axis moved right by s, zeros entering."""
+    import numpy as np
+
+    out = np.zeros_like(x)
+    n = x.shape[-1]
+    if abs(s) < n:
+        out[..., max(0, s) : n + min(0, s)] = x[..., max(0, -s) : n - max(0, s)]
+    return out
 
-    return measured.mapInArrow(run, "u1 long, u2 long, error double")
+
+def total_quality(pairs: DataFrame) -> DataFrame:
+    """q (sum of the pairs' errors) and q_mean of quality_of_set()."""
+    return pairs.agg(F.sum("error").alias("q"), F.avg("error").alias("q_mean"))
 
 
 def project_pairs(waves: DataFrame, templates: DataFrame, bins: int = 20, reach: float = 5.0) -> DataFrame:
@@ -347,6 +412,43 @@ def electrode_groups(positions: list[tuple[float, float]], most: int = 9, near:
     return groups
 
 
+def matching_blocks(electrodes: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Two blocks of electrodes (electrode, x, y) that have the same layout, matched place by place: rank_x, rank_y (of the
+    coordinate among those of the own block, from 1), electrode_1, electrode_2 of the places that both have.
+
+    The blocks are the two means of the positions, from the first electrode by (x, y) and the one furthest from it;
+    a round is one aggregate, two centres come to the driver. The first block is the one with the smaller centre.
+    An electrode is at a place alone.
+    """
+    first = electrodes.select(F.min(F.struct("x", "y")).alias("p")).first()["p"]
+    if first is None:
+        return electrodes.select(F.lit(1).alias("rank_x"), F.lit(1).alias("rank_y"), F.col("electrode").alias("electrode_1"), F.col("electrode").alias("electrode_2"))
+    far = lambda p: (F.col("x") - p[0]) ** 2 + (F.col("y") - p[1]) ** 2
+    last = electrodes.select(F.max_by(F.struct("x", "y"), F.struct(far(first), "x", "y")).alias("p")).first()["p"]
+    centres = [tuple(first), tuple(last)]
+    for _ in range(max_rounds):
+        block = F.when(far(centres[0]) <= far(centres[1]), 0).otherwise(1)
+        now = electrodes.groupBy(block.alias("b")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()
+        moved = list(centres)
+        for r in now:
+            moved[r["b"]] = (r["x"], r["y"])
+        if moved == centres:
+            break
+        centres = moved
+    centres.sort()
+    block = F.when(far(centres[0]) <= far(centres[1]), 1).otherwise(2)
+    held = electrodes.withColumn("block", block)
+
+    def ranks(axis: str) -> DataFrame:
+        # distinct coordinates of a block: a grid's side
+        w = Window.partitionBy("block").orderBy(axis)
+        return held.select("block", axis).distinct().withColumn(f"rank_{axis}", F.row_number().over(w))
+
+    placed = held.join(ranks("x"), ["block", "x"]).join(ranks("y"), ["block", "y"])
+    one, two = (placed.filter(F.col("block") == k).select("rank_x", "rank_y", F.col("electrode").alias(f"electrode_{k}")) for k in (1, 2))
+    return one.join(two, ["rank_x", "rank_y"])
+
+
 def hexagonal_grid(spark, rows: int, columns: int, pitch: float) -> DataFrame:
     """electrode, x, y: rows of a hexagonal grid, odd ones half a pitch to the right."""
     ids = spark.range(rows * columns)

@@ -140,9 +140,9 @@ def _(s, d):
     return store.first(3).select(F.col("unit").cast("long").alias("unit"), "wf_id")
 
 
-@query("src_19", "SELECT * FROM (VALUES (0, 1, 1.0), (1, 1, 2.0), (0, 2, 3.0), (1, 2, 4.0)) q(channel, t, v)")
+@query("src_19", f"SELECT channel, t, v FROM ({SIGNAL})")
 def _(s, d):
-    return R.as_signal(s, [[1, 2], [3, 4]])
+    return R.as_signal(s, T.signal(s, d).withColumn("file", F.lit(0)))
 
 
 # selections and representations
@@ -282,14 +282,22 @@ def _(s, d):
     return L.receptive_fields(T.waveforms(s, d), 4, 16, "unit")
 
 
+@query("fit_02_surface")
+def _(s, d):
+    means = M.templates(T.waveforms(s, d)).select("unit", F.posexplode("v").alias("k", "z"))
+    return L.fit_surfaces(means.select("unit", (F.col("k") % 16).alias("x"), F.floor(F.col("k") / 16).alias("y"), "z"), "unit")
+
+
 @query("udf_01", f"SELECT event_id, round(amp * amp, 5) AS square, round(abs(amp), 5) AS absolute FROM ({GDF})")
 def _(s, d):
     own = U.STEPS["energy"]
     return T.gdf(s, d).select("event_id", *[F.round(own[k](F.col("amp")), 5).alias(k) for k in ("square", "absolute")])
 
 
-@query("msc_01", "SELECT * FROM (VALUES ('filter.high', '7000'), ('filter.low', '500'), ('threshold', '3.5')) q(name, value)")
+@query("msc_01", f"SELECT event_id, amp, 7000 AS high, 500 AS low FROM ({GDF}) WHERE abs(amp) > 3.5")
 def _(s, d):
-    got, rest = config.parse({"threshold": 4.2, "filter": {"low": 300, "high": 7000}}, {"threshold": 3.5, "filter": {"low": 500}, "other": 1}, "split")
+    # given values override defaults, deeply, and what is unknown is split off; the merged ones run the filter
+    p, rest = config.parse({"threshold": 4.2, "filter": {"low": 300, "high": 7000}}, {"threshold": 3.5, "filter": {"low": 500}, "other": 1}, "split")
     assert rest == {"other": 1}
-    return s.createDataFrame([(k, str(v)) for k, v in sorted(config.flatten(got).items())], "name string, value string")
+    flat_p = config.flatten(p)
+    return T.gdf(s, d).filter(F.abs("amp") > flat_p["threshold"]).select("event_id", "amp", F.lit(flat_p["filter.high"]).alias("high"), F.lit(flat_p["filter.low"]).alias("low"))

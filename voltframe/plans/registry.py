@@ -464,6 +464,13 @@ def _(s, d):
     return L.fit_curves(hours, "gaussian", "unit").select("unit", "residual")
 
 
+@query("fit_01_kinds")
+def _(s, d):
+    hours = T.gdf(s, d).groupBy("unit", (F.floor(F.col("t") / 60) % 24).alias("x")).agg(F.count("*").alias("y"))
+    one = lambda kind: L.fit_curves(hours, kind, "unit").withColumn("kind", F.lit(kind))
+    return one("exponential").unionByName(one("sigmoid")).unionByName(one("power"))
+
+
 # event-table aggregation
 
 

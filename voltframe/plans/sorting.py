@@ -31,10 +31,13 @@ def _frame(s, values, schema):
 # filters
 
 
-@query("sig_01", "WITH k AS (SELECT k, k - 55 AS x FROM range(0, 111) r(k)) SELECT k, round(CASE WHEN x = 0 THEN 0.7 - 0.03 ELSE (sin(pi() * 0.7 * x) - sin(pi() * 0.03 * x)) / (pi() * x) END * (0.54 - 0.46 * cos(2 * pi() * k / 110)), 9) AS b FROM k")
+_TAPS = "h AS (SELECT k, CASE WHEN k = 55 THEN 0.7 - 0.03 ELSE (sin(pi() * 0.7 * (k - 55)) - sin(pi() * 0.03 * (k - 55))) / (pi() * (k - 55)) END * (0.54 - 0.46 * cos(2 * pi() * k / 110)) AS b FROM range(0, 111) r(k))"
+
+
+@query("sig_01", f"WITH {_GRID}, {_TAPS} SELECT d.channel, d.t, CASE WHEN d.t <= 110 OR d.t > any_value(n) - 110 THEN 0 ELSE round(coalesce(sum(x.v * b), 0), 5) END AS v FROM dense d CROSS JOIN n CROSS JOIN h LEFT JOIN sig x ON x.channel = d.channel AND x.t = d.t + 55 - k GROUP BY 1, 2")
 def _(s, d):
-    taps = B.design_bandpass(300, 7000, 20000, 110)
-    return _frame(s, list(enumerate(taps)), "k long, b double").withColumn("b", F.round("b", 9))
+    x, n = _blocks(s, d)
+    return B.to_samples(B.fir(x, B.design_bandpass(300, 7000, 20000, 110), n)).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @query("sig_02", f"WITH {_GRID}, y AS (SELECT channel, t, -0.125 * coalesce(lag(v, 2) OVER w, 0) + 0.25 * coalesce(lag(v) OVER w, 0) + 0.75 * v + 0.25 * coalesce(lead(v) OVER w, 0) - 0.125 * coalesce(lead(v, 2) OVER w, 0) AS y FROM dense WINDOW w AS (PARTITION BY channel ORDER BY t)) SELECT channel, t, CASE WHEN t <= 4 OR t > n - 4 THEN 0 ELSE round(y, 6) END AS v FROM y, n")
@@ -209,9 +212,51 @@ def _(s, d):
     return P.align_on_average_max(T.waveforms(s, d), 4, 16)
 
 
-@query("wav_21")
+_SHIFTS = "h0 AS (SELECT s, j, k, j - k - s * 0.02 AS z FROM range(-250, 251) a(s), range(0, 16) b(j), range(0, 16) c(k)), h AS (SELECT s, j, k, CASE WHEN abs(z) < 1e-12 THEN 1.0 ELSE sin(pi() * z) / (pi() * z) END AS h FROM h0)"
+
+
+@query("wav_14_interpolated", f"WITH m AS {_MEANS}, tp AS (SELECT unit, (k - 1) // 16 AS c, (k - 1) % 16 AS j, x FROM m), {_SHIFTS}, g AS (SELECT unit, s, c * 16 + k + 1 AS p, sum(x * h) AS g FROM tp JOIN h USING (j) GROUP BY 1, 2, 3), w AS (SELECT wf_id, unit, p, v[p] AS x FROM ({WAVES}), range(1, 65) r(p)), sc AS (SELECT wf_id, s, round(sum(x * g), 9) AS score FROM w JOIN g USING (unit, p) GROUP BY 1, 2) SELECT wf_id, round(arg_min(s, (-score, s)) * 0.02, 2) AS tau FROM sc GROUP BY 1")
+def _(s, d):
+    w = T.waveforms(s, d)
+    return P.align_on_template(w, M.templates(w).select("unit", "v"), 4, 16, step=0.02).select("wf_id", F.round("tau", 2).alias("tau"))
+
+
+_NORMAL_CDF = "ld AS (SELECT i, sum(ln(2 * i + 1)) OVER (ORDER BY i) AS l FROM range(0, 900) r(i))"
+
+
+def _cdf(x: str) -> str:
+    """The normal distribution function by its series, in SQL."""
+    return f"(CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE 0.5 + sign({x}) * (SELECT sum(exp(-({x}) * ({x}) / 2 - 0.5 * ln(2 * pi()) + (2 * i + 1) * ln(greatest(abs({x}), 1e-12)) - l)) FROM ld) END)"
+
+
+def _quality_sql(shifts: int) -> str:
+    return f"""WITH m AS {_MEANS}, {_NORMAL_CDF}, u AS (SELECT unit, (k - 1) // 16 AS c, (k - 1) % 16 AS k, x, 0.01 AS p FROM m UNION ALL SELECT -1, (k - 1) // 16, (k - 1) % 16, 0.0, 1 - 0.01 * (SELECT count(DISTINCT unit) FROM m) FROM range(1, 65) r(k)),
+y AS (SELECT unit, s, c, k, p, coalesce((SELECT any_value(o.x) FROM u o WHERE o.unit = u.unit AND o.c = u.c AND o.k = u.k - s), 0) AS x FROM u, range(-{shifts}, {shifts + 1}) q(s)),
+pr AS (SELECT a.unit AS u1, b.unit AS u2, s, any_value(a.p) AS p1, any_value(b.p) AS p2, sqrt(sum((a.x - b.x) ** 2)) AS n, sum(a.x * a.x) AS s1, sum(b.x * b.x) AS s2, sum(a.x * (a.x - b.x)) AS c1, sum(b.x * (a.x - b.x)) AS c2 FROM u a JOIN y b ON a.unit < b.unit AND a.c = b.c AND a.k = b.k GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY round(n, 9), abs(s), s) AS r FROM pr), z AS (SELECT u1, u2, p1, p2, (-ln(p1 / p2) + 0.5 * (s1 - s2)) / n AS thr, c1 / n AS m1, c2 / n AS m2 FROM best WHERE r = 1),
+er AS (SELECT u1, u2, p1 * {_cdf('thr - m1')} + p2 * (1 - {_cdf('thr - m2')}) AS error FROM z) """
+
+
+@query("wav_21", _quality_sql(0) + "SELECT CAST(u1 AS BIGINT) AS u1, CAST(u2 AS BIGINT) AS u2, round(error, 6) AS error FROM er")
 def _(s, d):
-    return P.quality_of_set(M.templates(T.waveforms(s, d)), 0.01)
+    return P.quality_of_set(M.templates(T.waveforms(s, d)), 0.01).withColumn("error", F.round("error", 6))
+
+
+@query("wav_21_min_dist", _quality_sql(3) + "SELECT CAST(u1 AS BIGINT) AS u1, CAST(u2 AS BIGINT) AS u2, round(error, 6) AS error FROM er")
+def _(s, d):
+    return P.quality_of_set(M.templates(T.waveforms(s, d)), 0.01, 4, 3).withColumn("error", F.round("error", 6))
+
+
+@query("wav_21_total", _quality_sql(0) + "SELECT round(sum(error), 6) AS q, round(avg(error), 6) AS q_mean FROM er")
+def _(s, d):
+    return P.total_quality(P.quality_of_set(M.templates(T.waveforms(s, d)), 0.01)).select(F.round("q", 6).alias("q"), F.round("q_mean", 6).alias("q_mean"))
+
+
+@query("wav_22", f"""WITH w AS (SELECT wf_id, v, list_position(v, list_min(v)) AS i FROM ({WAVES})), b AS (SELECT wf_id, v, i, CASE WHEN i BETWEEN 2 AND 63 THEN v[i - 1] - 2 * v[i] + v[i + 1] ELSE 0 END AS bend FROM w),
+o AS (SELECT wf_id, v, i, bend, CASE WHEN bend > 0 THEN (v[i - 1] - v[i + 1]) / (2 * bend) ELSE 0 END AS off FROM b) SELECT wf_id, round(i - 1 + off, 6) AS place, round(v[i] - bend * off * off / 2, 6) AS value FROM o""")
+def _(s, d):
+    low = A.lowest_between(F.col("v"))
+    return T.waveforms(s, d).select("wf_id", low.alias("low")).select("wf_id", F.round("low.place", 6).alias("place"), F.round("low.value", 6).alias("value"))
 
 
 # clusters and merging; local groups are units modulo 3 with two channels each
@@ -277,9 +322,21 @@ def _(s, d):
     return _frame(s, [(g, e) for g, own in enumerate(P.electrode_groups(at)) for e in own], "leg long, electrode long")
 
 
-@query("grp_02", "SELECT k AS electrode, round((k % 8 + 0.5 * (k // 8 % 2)) * 17.5, 6) AS x, round(k // 8 * 17.5 * sqrt(3) / 2, 6) AS y FROM range(0, 96) r(k)")
+@query("grp_02", "SELECT k AS electrode, round((k % 8 + 0.5 * (k // 8 % 2)) * 17.5, 6) AS x, round(k // 8 * 17.5 * sqrt(3) / 2, 6) AS y FROM (SELECT s_suppkey AS k FROM supplier)")
 def _(s, d):
-    return P.hexagonal_grid(s, 12, 8, 17.5).select("electrode", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    used = T.table(s, d, "supplier").select(F.col("s_suppkey").alias("electrode"))
+    rows = used.agg(F.max("electrode")).first()[0] // 8 + 1
+    return P.hexagonal_grid(s, rows, 8, 17.5).join(used, "electrode").select("electrode", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("grp_02_blocks", """WITH e AS (SELECT s_suppkey AS electrode, s_suppkey % 2 AS b, (s_suppkey // 2) % 5 * 17.5 + s_suppkey % 2 * 700 AS x, (s_suppkey // 10) * 1.5 AS y FROM supplier WHERE s_suppkey % 7 <> 3),
+r AS (SELECT electrode, b, dense_rank() OVER (PARTITION BY b ORDER BY x) AS rx, dense_rank() OVER (PARTITION BY b ORDER BY y) AS ry FROM e)
+SELECT CAST(p.rx AS INTEGER) AS rank_x, CAST(p.ry AS INTEGER) AS rank_y, p.electrode AS electrode_1, q.electrode AS electrode_2 FROM r p JOIN r q USING (rx, ry) WHERE p.b = 0 AND q.b = 1""")
+def _(s, d):
+    # suppliers as the electrodes of two blocks, far apart, with dead ones (keys of remainder 3 by 7) missing
+    k = F.col("s_suppkey")
+    at = T.table(s, d, "supplier").filter(k % 7 != 3).select(k.alias("electrode"), (F.floor(k / 2) % 5 * 17.5 + k % 2 * 700).alias("x"), (F.floor(k / 10) * 1.5).alias("y"))
+    return P.matching_blocks(at)
 
 
 @query("grp_02_swap", f"SELECT wf_id, CASE c WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE c END AS channel, k, round(v[c * 16 + k], 6) AS x FROM ({WAVES}), range(0, 4) r(c), range(1, 17) q(k)")
@@ -300,31 +357,36 @@ def _(s, d):
 
 
 _U = "((CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) + 0.5) / 4294967296)"
-_TRAINS = f"gaps AS (SELECT unit, k, -ln({_U.format(chr(39) + '0:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k')}) / rate AS gap FROM (VALUES (1, 5.0), (2, 20.0)) q(unit, rate), LATERAL (SELECT unnest(range(1, CAST(2 * rate * 30 + 101 AS BIGINT))) AS k)), tr AS (SELECT unit, k, s FROM (SELECT unit, k, sum(gap) OVER (PARTITION BY unit ORDER BY k) AS s FROM gaps) WHERE s <= 30)"
+_TRAINS = f"gaps AS (SELECT unit, k, -ln({_U.format(chr(39) + '0:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k')}) / rate AS gap FROM (SELECT user_id AS unit, count(*) / 10.0 AS rate FROM events GROUP BY 1) q, LATERAL (SELECT unnest(range(1, CAST(2 * rate * 30 + 101 AS BIGINT))) AS k)), tr AS (SELECT unit, k, s FROM (SELECT unit, k, sum(gap) OVER (PARTITION BY unit ORDER BY k) AS s FROM gaps) WHERE s <= 30)"
+
+
+def _rates(s, d):
+    """Rates in events by a unit's share of the table: a tenth of its events a second."""
+    return T.gdf(s, d).groupBy("unit").agg((F.count("*") / 10).alias("rate"))
 
 
 @query("gen_01", f"WITH {_TRAINS} SELECT unit, k, round(s, 6) AS s FROM tr")
 def _(s, d):
-    return G.poisson_trains(s, {1: 5.0, 2: 20.0}, 30.0).withColumn("s", F.round("s", 6))
+    return G.poisson_trains(s, _rates(s, d), 30.0).withColumn("s", F.round("s", 6))
 
 
 @query("gen_02", f"WITH {_TRAINS} SELECT unit, k, round(s, 6) AS s FROM tr WHERE {_U.format(chr(39) + '0:keep:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k')} < (sin(s) + 1) / 2")
 def _(s, d):
-    trains = G.poisson_trains(s, {1: 5.0, 2: 20.0}, 30.0)
-    return G.thin_by_rate(trains, 20 * (F.sin("s") + 1) / 2, 20.0).withColumn("s", F.round("s", 6))
+    trains = G.poisson_trains(s, _rates(s, d), 30.0)
+    return G.thin_by_rate(trains, (F.sin("s") + 1) / 2, 1.0).withColumn("s", F.round("s", 6))
 
 
 _NORMAL = f"sqrt(-2 * ln({_U.format(chr(39) + '0:amp:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k || ' + chr(39) + ':a' + chr(39))})) * cos(2 * pi() * {_U.format(chr(39) + '0:amp:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k || ' + chr(39) + ':b' + chr(39))})"
 _SPIKES = f"{_TRAINS}, sp AS (SELECT unit, k, CAST(floor(s * 1000) AS BIGINT) + 1 AS t FROM tr), gp AS (SELECT *, lead(t) OVER (PARTITION BY unit ORDER BY t, k) AS nx FROM sp), tn AS (SELECT unit, k, t, 1 + 0.1 * {_NORMAL} AS amp, CAST(floor({_U.format(chr(39) + '0:jitter:' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || k')} * 5) AS BIGINT) + 1 AS jitter FROM gp WHERE nx IS NULL OR nx - t >= 3)"
 
 
-def _spikes(s):
-    return G.spike_trains(G.poisson_trains(s, {1: 5.0, 2: 20.0}, 30.0), 1000.0, 0.1, 3, 5)
+def _spikes(s, d):
+    return G.spike_trains(G.poisson_trains(s, _rates(s, d), 30.0), 1000.0, 0.1, 3, 5)
 
 
 @query("gen_03", f"WITH {_SPIKES} SELECT unit, k, t, round(amp, 6) AS amp, jitter FROM tn")
 def _(s, d):
-    return _spikes(s).withColumn("amp", F.round("amp", 6))
+    return _spikes(s, d).withColumn("amp", F.round("amp", 6))
 
 
 @query("gen_04", f"WITH u AS (SELECT unit, count(*) AS n_spikes, round(avg(amp), 6) AS amp FROM ({GDF}) GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY amp, unit) AS r, count(*) OVER () AS n FROM u WHERE n_spikes > (SELECT avg(n_spikes) FROM u)) SELECT DISTINCT unit, n_spikes, amp FROM r JOIN range(0, 5) q(i) ON r = round(1 + i * (n - 1) / 4)")
@@ -342,4 +404,4 @@ def _(s, d):
 
 @query("gen_06", f"WITH {_SPIKES}, m AS {_MEANS} SELECT (m.k - 1) // 16 AS channel, t + jitter - 4 + (m.k - 1) % 16 AS t, round(sum(amp * 10 * 0.5 * x), 5) AS v FROM tn JOIN m USING (unit) GROUP BY 1, 2")
 def _(s, d):
-    return G.artificial_units(_spikes(s), M.templates(T.waveforms(s, d)), 10.0, 0.5, 4, 16, 4).withColumn("v", F.round("v", 5))
+    return G.artificial_units(_spikes(s, d), M.templates(T.waveforms(s, d)), 10.0, 0.5, 4, 16, 4).withColumn("v", F.round("v", 5))
