@@ -402,17 +402,24 @@ def _truth_and_result(s, d):
 _PAIRS = "SELECT x.u1, x.u2, CAST(shift AS BIGINT) AS shift, tp, n1, n2 FROM x JOIN na USING (u1) JOIN nb USING (u2) WHERE k = 1 AND tp > 0"
 
 
+def _assigned(score: str, columns: str) -> str:
+    """SQL of the assignment: the best pair left of those whose units are free, one step a pair."""
+    return _WALK.replace("SHIFTS", "[0]").replace("MOST", "0").rstrip() + f""", s AS (SELECT u1, u2, shift, tp, n1, n2, row_number() OVER (ORDER BY {score} DESC, u1, u2) AS r FROM ({_PAIRS})),
+g(step, r, one, two) AS (SELECT 0, 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT step + 1, n.r, list_append(one, n.u1::BIGINT), list_append(two, n.u2::BIGINT) FROM (SELECT g.step, g.one, g.two, min(s.r) AS r FROM g JOIN s ON NOT list_contains(g.one, s.u1::BIGINT) AND NOT list_contains(g.two, s.u2::BIGINT) GROUP BY ALL) g JOIN s n ON n.r = g.r)
+SELECT {columns} FROM g JOIN s USING (r)"""
+
+
 @query("join_05", _WALK.replace("SHIFTS", "[0, -3, -2, -1, 1, 2, 3]").replace("MOST", "3") + _PAIRS)
 def _(s, d):
     return V.compare(*_truth_and_result(s, d), 5, 3)
 
 
-@query("eva_01")
+@query("eva_01", _assigned("3 * tp - n1 - n2", "u1, u2, shift, tp, n1, n2"))
 def _(s, d):
     return V.assign(V.compare(*_truth_and_result(s, d), 5), "error")
 
 
-@query("eva_02")
+@query("eva_02", _assigned("tp / n2", "u1, u2, shift, tp, n1, n2"))
 def _(s, d):
     return V.assign(V.compare(*_truth_and_result(s, d), 5), "rate")
 
