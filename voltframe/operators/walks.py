@@ -182,37 +182,6 @@ def mark_overlaps(events: DataFrame, dist: int) -> DataFrame:
     return by_group(run, ["island"], ["t", "event_id"], "event_id long", walk)
 
 
-def mean_shift(points: DataFrame, bandwidth: float, by: str = "leg", rounds: int = 100) -> DataFrame:
-    """Flat-kernel mean shift of each group (one local electrode group fits a task): cluster of each point, by size."""
-
-    def run(key, table):
-        import numpy as np
-
-        x = np.array(table["x"].tolist())
-        at = x.copy()
-        for _ in range(rounds):
-            moved = np.stack([x[((x - p) ** 2).sum(1) <= bandwidth**2].mean(0) for p in at])
-            done = np.abs(moved - at).max() < 1e-3 * bandwidth
-            at = moved
-            if done:
-                break
-        centres: list = []
-        own = np.empty(len(x), int)
-        for k, p in enumerate(at):
-            d = [((p - c) ** 2).sum() for c in centres]
-            if d and min(d) < (bandwidth / 2) ** 2:
-                own[k] = int(np.argmin(d))
-            else:
-                own[k] = len(centres)
-                centres.append(p)
-        order = np.argsort(-np.bincount(own), kind="stable")
-        rank = np.empty(len(order), int)
-        rank[order] = np.arange(1, len(order) + 1)
-        return table[[by, "id"]].assign(cluster=rank[own])
-
-    return points.groupBy(by).applyInPandas(run, f"{by} int, id long, cluster int")
-
-
 def without_oscillations(events: DataFrame, by: list[str], max_dist: int, min_group: int, min_amp: float) -> DataFrame:
     """Drops groups of events at most max_dist apart, from the first large one on, if a channel has min_group large ones."""
     marked = islands(events, by, "t", max_dist + 1, ["event_id"]).withColumn("_big", (F.abs("amp") >= min_amp).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators import clusters as C
 from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import fits as L
@@ -602,7 +603,7 @@ def _(s, d):
 @query("clu_01")
 def _(s, d):
     pc = M.principal_components(T.waveforms(s, d), 2)
-    return K.mean_shift(pc.select((F.col("wf_id") % 4).cast("int").alias("leg"), F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x")), 0.6)
+    return C.mean_shift(pc.select(F.lit(0).alias("leg"), F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x")), 0.6)
 
 
 @query("clu_04", f"SELECT unit, count(*) AS n, CASE WHEN count(*) > 60 THEN unit ELSE 0 END AS cluster FROM ({GDF}) GROUP BY 1")

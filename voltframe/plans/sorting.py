@@ -266,16 +266,19 @@ def _local(s, d):
     return M.templates(T.waveforms(s, d)).withColumn("leg", (F.col("unit") % 3).cast("int"))
 
 
+def _by_unit(s, d):
+    w = T.waveforms(s, d)
+    return M.principal_components(w, 2).join(w.select("wf_id", F.col("unit").cast("int").alias("leg")), "wf_id").select("leg", F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x"))
+
+
 @query("clu_02")
 def _(s, d):
-    pc = M.principal_components(T.waveforms(s, d), 2)
-    return C.mean_shift_growing(pc.select((F.col("wf_id") % 4).cast("int").alias("leg"), F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x")), 0.3, 10)
+    return C.mean_shift_growing(_by_unit(s, d), 0.3, 10)
 
 
 @query("clu_03")
 def _(s, d):
-    pc = M.principal_components(T.waveforms(s, d), 2)
-    return C.mean_shift_growing(pc.select((F.col("wf_id") % 4).cast("int").alias("leg"), F.col("wf_id").alias("id"), F.array("pc1", "pc2").alias("x")), 0.3, 10, reach=3.0)
+    return C.mean_shift_growing(_by_unit(s, d), 0.3, 10, reach=3.0)
 
 
 @query("mrg_01")
