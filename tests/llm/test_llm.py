@@ -1,5 +1,6 @@
 """Operators of the llm subpackage on small fixtures, against brute force."""
 
+import collections
 import random
 import re
 import zlib
@@ -162,6 +163,35 @@ def test_line_quality(spark, odd):
         assert r["n_words"] == len(w) and (hit is None or r["n_repeat_words"] == len(hit))
 
 
+def test_lines_of_many_documents_of_a_host_are_removed(spark):
+    """Documents are counted, copies too, in hosts of any size; verdicts by brute force."""
+    rng = random.Random(8)
+    rows, menu = [], "Home | About us | Contact 2024"
+    for k in range(60):
+        host = "small" if k < 7 else "large" if k < 50 else None
+        body = words(rng, 30 if k % 2 else 4)
+        rows.append((k, f"{menu.replace('2024', str(k))}\n{menu.upper()}\n{body}\n{words(rng, 12)}" if k % 3 else body + "\n" + words(rng, 20), host))
+    rows += [(100 + k, "the same text in six documents of this host, of twelve words", "large") for k in range(6)]
+    rows += [(200 + k, "five copies of this text are not more than the limit of it", "large") for k in range(5)]
+    rows += [(300, "the same text in six documents of this host, of twelve words", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    normal = lambda x: re.sub(r"[^a-z0-9]+", " ", re.sub(r"\d+", "0", x.lower())).strip()
+    held = collections.defaultdict(set)
+    for d, t, h in rows:
+        for x in t.split("\n"):
+            held[h, normal(x)].add(d)
+    got = {r["doc_id"]: r for r in line_quality.judge(docs).collect()}
+    flipped = 0
+    for d, t, h in rows:
+        gone = [x for x in t.split("\n") if len(held[h, normal(x)]) > 5]
+        n = len(t.split())
+        left = n - sum(len(x.split()) for x in gone)
+        assert (got[d]["n_removed_lines"], got[d]["n_words_left"]) == (len(gone), left)
+        assert got[d]["kept"] == (not got[d]["base_failed"] and left >= 10 and left >= 0.3 * n)
+        flipped += not got[d]["kept"] and not got[d]["base_failed"]
+    assert flipped >= 6 and not got[100]["kept"] and got[200]["kept"] and got[300]["kept"]
+
+
 def test_templates(spark):
     rng = random.Random(5)
     lines = [f"posted by user {rng.choice('abcdefgh')}{k} at {k}:30 in the forum\n{words(rng, 30)}" for k in range(40)]

@@ -1,15 +1,16 @@
 """Cross-document line frequency, in DataFrame functions alone.
 
 Lines are normalised (lower case, digits as 0, other runs of anything but letters and digits as one space) and
-hashed; a line's frequency is the number of distinct documents (different texts) of its host that hold it. Lines
-above both limits are removed: more than `max_docs` documents and more than `max_share` of the host's. A document
-is rejected if it fails the base rules, or if removal leaves fewer than `min_words` words or less than `min_left`
+hashed; a line's frequency is the number of documents of its host that hold it, once each. Lines in more than
+`max_docs` documents are removed, in hosts of any size: what no two people write is boilerplate in its sixth document,
+whether the host has fifty or a billion. A document is rejected if it fails the base rules, or if removal leaves fewer than `min_words` words or less than `min_left`
 of its words.
 
 Base rules: under 10 words, or over a fifth of the words in five-word windows that occur twice or more.
 
-Null and empty texts have no words and fail. A null host is a host of its own. Exact copies count once for
-frequency, whichever rows hold them, and share their verdict within a host. An empty table gives no rows. Only
+Null and empty texts have no words and fail. A null host is a host of its own. Every row is a document, exact copies
+and repeated rows too, so that a text found in many documents of a host is depleted and rejected. Copies share their
+verdict within a host. An empty table gives no rows. Only
 the named columns are read. Text never leaves the scan: what is shuffled is line hashes, pre-aggregated, and the
 join back is a shuffle join whose skewed keys Spark can split.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACES, _SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-MAX_DOCS, MAX_SHARE, MIN_WORDS, MIN_LEFT, WINDOW = 50, 0.005, 10, 0.3, 5
+MAX_DOCS, MIN_WORDS, MIN_LEFT, WINDOW = 5, 10, 0.3, 5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,19 +78,16 @@ def base_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
     )
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, host, counts, base_failed, n_removed_lines, n_words_left, kept."""
     from .common import materialize
 
     # a few dozen bytes a document and line, read three times below
     base = materialize(base_columns(docs, doc_id, text, host), "lines")
     base = base.withColumn("host_key", F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull()))
-    copies = base.groupBy("host_key", "copy").agg(F.first("lines").alias("lines"))
-    sizes = copies.groupBy("host_key").agg(F.count("*").alias("docs"))
-    held = copies.select("host_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    often = held.groupBy("host_key", "h").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
-    # host sizes are joined after the first limit has left few rows
-    often = often.join(sizes, "host_key").filter(F.col("n") > F.col("docs") * max_share).select("host_key", "h")
+    copies = base.groupBy("host_key", "copy").agg(F.first("lines").alias("lines"), F.count("*").alias("rows"))
+    held = copies.select("host_key", "rows", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    often = held.groupBy("host_key", "h").agg(F.sum("rows").alias("n")).filter(F.col("n") > max_docs).select("host_key", "h")
     in_copies = copies.select("host_key", "copy", F.explode("lines").alias("x")).select("host_key", "copy", "x.h", "x.n")
     removed = in_copies.join(often, ["host_key", "h"], "left_semi").groupBy("host_key", "copy").agg(F.count("*").alias("n_removed_lines"), F.sum("n").alias("gone"))
     out = base.drop("lines").join(removed, ["host_key", "copy"], "left")

@@ -35,7 +35,7 @@ def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return line_quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.col("n_words_left").cast("long").alias("n_words_left"))
 
 
 def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +117,17 @@ w AS (SELECT r, doc_id, source, text, t, list_filter(string_split_regex(t, '[\x2
 win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT coalesce(text, '<null>')) AS docs FROM d GROUP BY source),
-ln AS (SELECT r, source, coalesce(text, '<null>') AS copy, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
+ln AS (SELECT r, source, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
               trim(regexp_replace(regexp_replace(lower(x), '\p{Nd}+', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS line
        FROM (SELECT r, source, text, unnest(l) AS x FROM w)),
-often AS (SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT copy) AS n FROM ln GROUP BY source, line) f
-          JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 AND f.n > h.docs * 0.005),
-gone AS (SELECT r, sum(n) AS n FROM ln JOIN often o ON ln.source IS NOT DISTINCT FROM o.source AND ln.line = o.line GROUP BY r),
+often AS (SELECT source, line FROM ln GROUP BY source, line HAVING count(DISTINCT r) > 5),
+gone AS (SELECT r, count(*) AS lines, sum(n) AS n FROM ln JOIN often o ON ln.source IS NOT DISTINCT FROM o.source AND ln.line = o.line GROUP BY r),
 x AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(w.l) - len(list_distinct(w.l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS gone
+             CAST(len(w.l) - len(list_distinct(w.l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS gone, CAST(coalesce(gone.lines, 0) AS BIGINT) AS n_removed_lines
       FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND n_words - gone >= n_words * 0.3 AS kept FROM x""",
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND n_words - gone >= n_words * 0.3 AS kept, n_removed_lines, n_words - gone AS n_words_left FROM x""",
     "op12_treap_search": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
 c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
