@@ -227,8 +227,13 @@ def brute_near_copies(texts, similarity=0.8):
     return groups(pairs, len(texts))
 
 
-def classes_of(spark, texts):
-    """Classes of near copies by sketches, as the line step counts them."""
+def classes_of(texts):
+    """Classes of near copies by brute force, as the line step counts them."""
+    return brute_near_copies(texts)
+
+
+def sketched_classes_of(spark, texts):
+    """Classes of near copies by sketches."""
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if t is not None], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, bands=16, rows=6, radius=None, exact=False).collect()}
     return [got.get(k) for k in range(len(texts))]
@@ -237,7 +242,7 @@ def classes_of(spark, texts):
 def test_classes_by_sketches_hold_near_copies_and_little_else(spark):
     texts = [t for _, t in texts_of(spark, MIDDLE)]
     sets = [set(near_copies.shingles(t).tolist()) for t in texts]
-    kinds = classes_of(spark, texts)
+    kinds = sketched_classes_of(spark, texts)
     near = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
     pairs = [(a, b, near(a, b)) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) >= 0.5 * max(len(sets[a]), len(sets[b]))]
     sure = [kinds[a] == kinds[b] for a, b, s in pairs if s >= 0.9]
@@ -282,7 +287,7 @@ def brute_lines(texts, kinds):
 
 def test_op5_equals_brute_force(spark):
     texts = texts_of(spark, MIDDLE)
-    want = brute_lines([t for _, t in texts], classes_of(spark, [t for _, t in texts]))
+    want = brute_lines([t for _, t in texts], classes_of([t for _, t in texts]))
     got = {r["doc_id"]: r for r in queries.op5_template_lines(spark, MIDDLE).collect()}
     for (d, t), kept in zip(texts, want, strict=True):
         assert got[d]["kept_sha256"] == (None if kept is None else hashlib.sha256(kept.encode()).hexdigest())
@@ -303,7 +308,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_toxic(spark, docs, MIDDLE).collect()}
     ids = sorted(left)
     texts = [left[d] for d in ids]
-    texts = brute_lines(texts, classes_of(spark, texts))
+    texts = brute_lines(texts, classes_of(texts))
     first = {}
     for k, g in enumerate(brute_near_copies(texts)):
         first.setdefault(g, k)

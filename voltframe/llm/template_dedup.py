@@ -100,9 +100,9 @@ def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen)
 
 
 def classed_texts(docs: DataFrame, text: str) -> DataFrame:
-    """copy (hash of the text), class: equal for texts that near copies connect."""
+    """copy (hash of the text), class: equal for texts that near copies connect, each link decided by the sets of shingles."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).filter(F.col("t").isNotNull()), "texts")
-    named = near_copies(rows, "row", "t", bands=16, rows=6, radius=None, exact=False)
+    named = near_copies(rows, "row", "t", radius=None)
     out = materialize(rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class")), "classes")
     drop(rows)
     drop(named)
