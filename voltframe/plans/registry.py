@@ -410,6 +410,28 @@ g(step, r, one, two) AS (SELECT 0, 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION A
 SELECT {columns} FROM g JOIN s USING (r)"""
 
 
+#: Labels of all events with a jitter of 5 and overlaps within 3: near pairs of events in the order in which pairs of
+#: units are walked, one step a pair in each run of events that no match leaves.
+_LABELS = _assigned("tp", "u1, u2").replace("SELECT u1, u2 FROM g", ", won AS (SELECT u1, u2 FROM g") + f"""),
+rk AS (SELECT u1, u2, own, row_number() OVER (ORDER BY NOT own, -tp, u2, u1) AS rk FROM (SELECT s.u1, s.u2, tp, w.u1 IS NOT NULL AS own FROM s LEFT JOIN won w ON s.u1 = w.u1 AND s.u2 = w.u2)),
+ae AS (SELECT unit AS u1, t AS t1, event_id AS e1 FROM ({GDF}) WHERE event_id % 3 <> 0), be AS (SELECT unit + 100 AS u2, t + 2 AS t2, event_id AS e2 FROM ({GDF}) WHERE event_id % 3 <> 1),
+ov AS (SELECT DISTINCT p.e1 FROM ae p JOIN ae q ON p.u1 <> q.u1 AND q.t1 BETWEEN p.t1 - 3 AND p.t1 + 3),
+isl AS (SELECT t, sum(CASE WHEN d <= 5 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS island FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS d FROM (SELECT t1 AS t FROM ae UNION SELECT t2 FROM be))),
+nr AS (SELECT island, rk, own, e1, t2, e2, row_number() OVER (PARTITION BY island ORDER BY rk, t1, e1, t2, e2) AS k FROM ae JOIN be ON t2 BETWEEN t1 - 5 AND t1 + 5 JOIN rk USING (u1, u2) JOIN isl ON isl.t = t1),
+lb(island, k, one, two, rk, lt, le, ok, e1, e2, own) AS (SELECT DISTINCT island, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false, NULL::BIGINT, NULL::BIGINT, false FROM nr UNION ALL
+SELECT island, k, CASE WHEN ok THEN list_append(one, e1) ELSE one END, CASE WHEN ok THEN list_append(two, e2) ELSE two END, rk, CASE WHEN ok THEN t2 ELSE lt END, CASE WHEN ok THEN e2 ELSE le END, ok, e1, e2, own FROM (
+SELECT n.island, n.k, one, two, n.rk, n.t2, n.e1, n.e2, n.own, CASE WHEN n.rk = l.rk THEN lt END AS lt, CASE WHEN n.rk = l.rk THEN le END AS le, NOT list_contains(one, n.e1) AND NOT list_contains(two, n.e2) AND (l.rk IS DISTINCT FROM n.rk OR lt IS NULL OR n.t2 > lt OR n.t2 = lt AND n.e2 > le) AS ok
+FROM lb l JOIN nr n ON n.island = l.island AND n.k = l.k + 1)),
+mt AS (SELECT lb.e1, lb.e2, own, ov.e1 IS NOT NULL AS o FROM lb LEFT JOIN ov USING (e1) WHERE ok),
+lab AS (SELECT 1 AS side, u1 AS unit, e1 AS event_id, ov.e1 IS NOT NULL AS overlap, CASE WHEN mt.e1 IS NULL THEN 2 WHEN own THEN 1 ELSE 7 END + CASE WHEN ov.e1 IS NULL THEN 0 WHEN mt.e1 IS NOT NULL AND NOT own THEN 1 ELSE 3 END AS label FROM ae LEFT JOIN ov USING (e1) LEFT JOIN mt USING (e1)
+UNION ALL SELECT 2, u2, e2, false, CASE WHEN mt.e2 IS NULL THEN 3 WHEN own THEN CASE WHEN o THEN 4 ELSE 1 END WHEN o THEN 8 ELSE 7 END FROM be LEFT JOIN mt USING (e2)),
+t1 AS (SELECT unit AS u1, count(*) AS n_true, count(*) FILTER (NOT overlap) AS n_alone, count(*) FILTER (overlap) AS n_overlap, count(*) FILTER (label IN (2, 5)) AS fn, count(*) FILTER (label = 2) AS fn_alone, count(*) FILTER (label = 5) AS fn_overlap, count(*) FILTER (label IN (1, 4)) AS tp, count(*) FILTER (label = 1) AS tp_alone, count(*) FILTER (label = 4) AS tp_overlap, count(*) FILTER (label IN (7, 8)) AS cl, count(*) FILTER (label = 7) AS cl_alone, count(*) FILTER (label = 8) AS cl_overlap FROM lab WHERE side = 1 GROUP BY 1),
+t2 AS (SELECT unit AS u2, count(*) AS detected, count(*) FILTER (label IN (7, 8)) AS fa, count(*) FILTER (label = 3) AS fp, count(*) FILTER (label = 7) AS c, count(*) FILTER (label = 8) AS co FROM lab WHERE side = 2 GROUP BY 1),
+tb AS (SELECT u1, u2, n_true, n_alone, n_overlap, coalesce(detected, 0) AS detected, coalesce(fa, 0) AS fa, coalesce(fp, 0) AS fp, fn, fn_alone, fn_overlap, tp, tp_alone, tp_overlap, cl, cl_alone, cl_overlap, fn_overlap AS det_err_overlap, coalesce(fp, 0) + fn AS det_err, cl_overlap + fn_overlap AS err_overlap, cl + coalesce(fp, 0) + fn AS err FROM t1 LEFT JOIN won USING (u1) LEFT JOIN t2 USING (u2)
+UNION ALL SELECT -1, u2, 0, 0, 0, detected, fa, fp, 0, 0, 0, 0, 0, 0, 0, c, co, 0, fp, 0, 0 FROM t2 WHERE u2 NOT IN (SELECT u2 FROM won)) """
+_PART = "coalesce(round(100 * {} / nullif({}, 0), 6), 0)"
+
+
 @query("join_05", _WALK.replace("SHIFTS", "[0, -3, -2, -1, 1, 2, 3]").replace("MOST", "3") + _PAIRS)
 def _(s, d):
     return V.compare(*_truth_and_result(s, d), 5, 3)
@@ -430,12 +452,12 @@ def _(s, d):
     return V.label(*_truth_and_result(s, d), 5, 30, 3)[0].select("u1", "u2", "tp")
 
 
-@query("eva_04")
+@query("eva_04", _LABELS + "SELECT side, label, count(*) AS n FROM lab GROUP BY 1, 2")
 def _(s, d):
     return V.label(*_truth_and_result(s, d), 5, 3)[1].groupBy("side", "label").agg(F.count("*").alias("n"))
 
 
-@query("eva_05")
+@query("eva_05", _LABELS + f"SELECT {', '.join(V.TABLE)} FROM tb")
 def _(s, d):
     return V.result_table(*_truth_and_result(s, d), 5, 3)
 
@@ -445,7 +467,7 @@ def _(s, d):
     return V.similarity(V.compare(*_truth_and_result(s, d), 5))
 
 
-@query("eva_07")
+@query("eva_07", _LABELS + f"SELECT u1, u2, {_PART.format('tp', 'n_true')} AS tpr, {_PART.format('tp_alone', 'n_alone')} AS tpr_alone, {_PART.format('tp_overlap', 'n_overlap')} AS tpr_overlap, {_PART.format('tp', 'detected')} AS ppv, {_PART.format('err', 'n_true')} AS err, {_PART.format('cl', 'n_true')} AS fcr FROM tb WHERE u1 <> -1")
 def _(s, d):
     return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 3))
 
