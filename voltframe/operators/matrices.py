@@ -138,15 +138,19 @@ def cross_covariances(t: DataFrame, n: int, tf: int) -> DataFrame:
 
 
 def cross_differences(t: DataFrame, tf: int, most: int = 2) -> DataFrame:
-    """Smallest squared distance of each pair over shifts, its shift (the first of equals), and the largest absolute
-    difference at that shift, without the edges; beyond `most` the latter is taken unshifted."""
+    """Smallest squared distance of each pair over shifts, its shift (the first of equals), the largest absolute
+    difference at that shift, without the edges (beyond `most` unshifted), and that difference by the larger of the two
+    sizes at its place (the first of equals)."""
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     shifted = _per_shift(_pairs(t), tf).withColumn("d", square("v1") - 2 * F.col("c") + square("v2"))
     best = shifted.groupBy("u1", "u2").agg(F.min_by(F.struct("d", "tau", "v1", "v2"), F.struct(F.round("d", 9), "tau")).alias("x")).select("u1", "u2", "x.*")
     by = F.when(F.abs("tau") <= most, F.col("tau")).otherwise(0)
     inside = F.filter(F.sequence(F.lit(0), F.size("v1") - 1), lambda k: (k % tf).between(F.abs(by), tf - 1 - F.abs(by)))
-    gap = F.array_max(F.transform(inside, lambda k: F.abs(F.get("v1", k) - F.get("v2", k - by))))
-    return best.select("u1", "u2", F.col("tau").cast("long").alias("tau"), F.round("d", 5).alias("d"), F.round(gap, 5).alias("max_abs"))
+    one, two = (lambda k: F.get("v1", k)), (lambda k: F.get("v2", k - by))
+    worst = F.array_max(F.transform(inside, lambda k: F.struct(F.abs(one(k) - two(k)).alias("gap"), (-k).alias("k"), F.greatest(F.abs(one(k)), F.abs(two(k))).alias("size"))))
+    found = best.select("u1", "u2", "tau", "d", worst.alias("w"))
+    relative = F.coalesce(F.try_divide(F.col("w.gap"), F.col("w.size")), F.lit(0.0))
+    return found.select("u1", "u2", F.col("tau").cast("long").alias("tau"), F.round("d", 5).alias("d"), F.round("w.gap", 5).alias("max_abs"), F.round(relative, 5).alias("max_relative"))
 
 
 def shifted_distances(t: DataFrame, tf: int, max_shift: int) -> DataFrame:
@@ -158,6 +162,23 @@ def shifted_distances(t: DataFrame, tf: int, max_shift: int) -> DataFrame:
     return found.groupBy("u1", "u2").agg(F.round(F.min("d"), 5).alias("low"), F.min_by("tau", low).alias("low_at"), F.round(F.max("d"), 5).alias("high"), F.min_by("tau", high).alias("high_at"))
 
 
+def footprint_overlap(true: DataFrame, found: DataFrame, channels: int, tf_true: int, tf_found: int, cut: int, max_shift: int = 10) -> DataFrame:
+    """u1, u2, dot, low, low_at: each true footprint, `cut` samples in and as long as the found ones, with each found one:
+    their product, and the smallest distance over shifts of the found one (the first from the most negative up).
+
+    Every true unit is asked about every found one; the smaller catalogue is sent along after a look at its size.
+    """
+    own = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.slice("v", c * tf_true + cut + 1, tf_found)))
+    one = true.select(F.col("unit").alias("u1"), own.alias("v1"))
+    two = found.select(F.col("unit").alias("u2"), F.col("v").alias("v2"))
+    if min(true.count(), found.count()) > BANK:
+        raise ValueError(f"one of the two catalogues has to have {BANK} units at most")
+    pairs = one.crossJoin(F.broadcast(two)) if found.count() <= BANK else two.crossJoin(F.broadcast(one))
+    d = F.array(*[F.struct(F.round(A.distance(F.col("v1"), A.shift(F.col("v2"), k, tf_found)), 9).alias("d"), F.lit(k).cast("long").alias("tau")) for k in range(-max_shift, max_shift + 1)])
+    best = F.array_min(d)
+    return pairs.select("u1", "u2", F.round(A.dot(F.col("v1"), F.col("v2")), 6).alias("dot"), F.round(best["d"], 6).alias("low"), best["tau"].alias("low_at"))
+
+
 def overlaps(t: DataFrame, n: int, tf: int) -> DataFrame:
     """100 * cosine of each pair, the later template moved left by the pair's best lag (cross_covariances), zeros coming in."""
     best = cross_covariances(t, n, tf).select("u1", "u2", F.col("tau").cast("int").alias("tau"))

@@ -374,7 +374,7 @@ def project_pairs(waves: DataFrame, templates: DataFrame, bins: int = 20, reach:
     return at.groupBy("u1", "u2", "unit", F.least(F.floor((F.col("x") + reach) / width), F.lit(bins - 1).cast("long")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-# electrode groups: geometry tables of at most some thousand electrodes, on the driver
+# electrode groups: a probe's geometry has at most some thousand electrodes
 
 
 def electrode_groups(positions: list[tuple[float, float]], most: int = 9, near: float = 20.0, reach: float = 52.0) -> list[list[int]]:
@@ -412,6 +412,18 @@ def electrode_groups(positions: list[tuple[float, float]], most: int = 9, near:
     return groups
 
 
+def probe_groups(electrodes: DataFrame, by: str = "probe", most: int = 9, near: float = 20.0, reach: float = 52.0) -> DataFrame:
+    """by, leg, electrode: electrode_groups() of every probe (by, electrode, x, y), a probe a task."""
+
+    def walk(x):
+        groups = electrode_groups(list(zip(x["x"], x["y"], strict=True)), most, near, reach)
+        return [(x[by][0], g, x["electrode"][k]) for g, own in enumerate(groups) for k in own]
+
+    kind = lambda c: electrodes.schema[c].dataType.simpleString()
+    rows = electrodes.select(by, "electrode", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return walks.by_group(rows, [by], ["electrode"], f"{by} {kind(by)}, leg long, electrode {kind('electrode')}", walk)
+
+
 def matching_blocks(electrodes: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Two blocks of electrodes (electrode, x, y) that have the same layout, matched place by place: rank_x, rank_y (of the
     coordinate among those of the own block, from 1), electrode_1, electrode_2 of the places that both have.

@@ -1,5 +1,5 @@
 """Order-dependent walks over sorted events, a group at a time; groups are cut at gaps the walk cannot cross, so
-that a train is spread over many tasks. match_trains alone walks a unit's train in one task, in order."""
+that a train is spread over many tasks."""
 
 from __future__ import annotations
 
@@ -134,10 +134,19 @@ def suppress_peaks(found: DataFrame, min_dist: int, min_height: float) -> DataFr
 
 
 def match_trains(a: DataFrame, b: DataFrame, jitter: int) -> DataFrame:
-    """Greedy one-to-one matches of two event sets by unit: tp, fp, fn; the tail of the longer train is not counted."""
+    """Greedy one-to-one matches of two event sets by unit: tp, fp, fn; the tail of the longer train is not counted.
+
+    No match crosses a gap of more than the jitter in the events of both, so a task walks a run, not a train. Up to
+    where the first of the two trains ends every event is counted; the run that holds that end is walked until then.
+    """
     both = a.select("unit", "t", F.lit(0).alias("side")).unionByName(b.select("unit", "t", F.lit(1).alias("side")))
+    ends = both.groupBy("unit").agg(F.max(F.when(F.col("side") == 0, F.col("t"))).alias("_a"), F.max(F.when(F.col("side") == 1, F.col("t"))).alias("_b"))
+    runs = islands(both, ["unit"], "t", jitter + 1, ["side"]).join(ends, "unit")
 
     def walk(x):
+        last = x["_a"][0], x["_b"][0]
+        if None in last or x["t"][0] > min(last):  # nothing is counted of units without one of the trains
+            return []
         one, two = ([t for t, s in zip(x["t"], x["side"], strict=True) if s == k] for k in (0, 1))
         i = j = tp = fp = fn = 0
         while i < len(one) and j < len(two):
@@ -147,9 +156,15 @@ def match_trains(a: DataFrame, b: DataFrame, jitter: int) -> DataFrame:
                 fn, i = fn + 1, i + 1
             else:
                 fp, j = fp + 1, j + 1
+        # events left here are passed by where the other train goes on
+        fn += len(one) - i if last[1] > x["t"][-1] else 0
+        fp += len(two) - j if last[0] > x["t"][-1] else 0
         return [(x["unit"][0], tp, fp, fn)]
 
-    return by_group(both, ["unit"], ["t"], f"unit {a.schema['unit'].dataType.simpleString()}, tp long, fp long, fn long", walk)
+    kind = a.schema["unit"].dataType.simpleString()
+    parts = by_group(runs, ["unit", "island"], ["t", "side"], f"unit {kind}, tp long, fp long, fn long", walk)
+    sums = parts.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return ends.select("unit").join(sums, "unit", "left").fillna(0, ["tp", "fp", "fn"]).select("unit", "tp", "fp", "fn")
 
 
 def mark_overlaps(events: DataFrame, dist: int) -> DataFrame:

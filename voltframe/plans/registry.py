@@ -366,7 +366,7 @@ def _(s, d):
 
 @query("wav_16", f"""WITH {_LAGS}, e AS (SELECT unit, sum(x * x) AS e FROM p GROUP BY 1), q AS (SELECT l.u1, l.u2, tau, a.e - 2 * xx + b.e AS d FROM l JOIN e a ON a.unit = u1 JOIN e b ON b.unit = u2),
 r AS (SELECT *, row_number() OVER (PARTITION BY u1, u2 ORDER BY round(d, 9), tau) AS r FROM q), z AS (SELECT *, CASE WHEN abs(tau) <= 2 THEN tau ELSE 0 END AS s FROM r WHERE r = 1)
-SELECT z.u1, z.u2, CAST(z.tau AS BIGINT) AS tau, round(any_value(z.d), 5) AS d, round(max(abs(a.x - b.x)), 5) AS max_abs FROM z JOIN p a ON a.unit = z.u1 JOIN p b ON b.unit = z.u2 AND b.c = a.c AND b.i = a.i - z.s WHERE a.i BETWEEN abs(z.s) AND 15 - abs(z.s) GROUP BY 1, 2, 3""")
+SELECT z.u1, z.u2, CAST(z.tau AS BIGINT) AS tau, round(any_value(z.d), 5) AS d, round(max(abs(a.x - b.x)), 5) AS max_abs, round(max(abs(a.x - b.x)) / arg_max(greatest(abs(a.x), abs(b.x)), (abs(a.x - b.x), -(a.c * 16 + a.i))), 5) AS max_relative FROM z JOIN p a ON a.unit = z.u1 JOIN p b ON b.unit = z.u2 AND b.c = a.c AND b.i = a.i - z.s WHERE a.i BETWEEN abs(z.s) AND 15 - abs(z.s) GROUP BY 1, 2, 3""")
 def _(s, d):
     return M.cross_differences(M.templates(T.waveforms(s, d)), 16)
 
@@ -467,6 +467,11 @@ def _(s, d):
     return V.similarity(V.compare(*_truth_and_result(s, d), 5))
 
 
+@query("eva_06_after", _LABELS + "SELECT ae.u1, be.u2, round(count(*) / any_value(n1), 6) AS similarity FROM mt JOIN ae USING (e1) JOIN be USING (e2) JOIN na ON na.u1 = ae.u1 GROUP BY 1, 2")
+def _(s, d):
+    return V.similarity_after(*_truth_and_result(s, d), 5, 3)
+
+
 @query("eva_07", _LABELS + f"SELECT u1, u2, {_PART.format('tp', 'n_true')} AS tpr, {_PART.format('tp_alone', 'n_alone')} AS tpr_alone, {_PART.format('tp_overlap', 'n_overlap')} AS tpr_overlap, {_PART.format('tp', 'detected')} AS ppv, {_PART.format('err', 'n_true')} AS err, {_PART.format('cl', 'n_true')} AS fcr FROM tb WHERE u1 <> -1")
 def _(s, d):
     return V.percentages(V.result_table(*_truth_and_result(s, d), 5, 3))
@@ -477,6 +482,15 @@ def _(s, d):
     return V.score_sorting(*_truth_and_result(s, d), samples=5, duration=44640.0)
 
 
+@query("eva_08_footprints", f"""WITH m AS {_MEANS}, a AS (SELECT unit AS u1, (k - 1) // 16 AS c, (k - 1) % 16 - 2 AS k, x FROM m WHERE (k - 1) % 16 BETWEEN 2 AND 13), w AS (SELECT unit AS u2, (k - 1) // 16 AS c, (k - 1) % 16 - 4 AS k, x FROM m WHERE (k - 1) % 16 BETWEEN 4 AND 15),
+g AS (SELECT u1, o.u2, s, round(sqrt(sum((a.x - coalesce(w.x, 0)) ** 2)), 9) AS d FROM a CROSS JOIN range(-10, 11) q(s) CROSS JOIN (SELECT DISTINCT u2 FROM w) o LEFT JOIN w ON w.u2 = o.u2 AND w.c = a.c AND w.k = a.k - s GROUP BY 1, 2, 3),
+t AS (SELECT u1, u2, sum(a.x * w.x) AS dot FROM a JOIN w ON a.c = w.c AND a.k = w.k GROUP BY 1, 2) SELECT u1, u2, round(any_value(dot), 6) AS dot, round(min(d), 6) AS low, arg_min(s, (d, s)) AS low_at FROM g JOIN t USING (u1, u2) GROUP BY 1, 2""")
+def _(s, d):
+    t = M.templates(T.waveforms(s, d))
+    found = t.select("unit", F.flatten(F.transform(A.channels(F.col("v"), 4, 16), lambda x: F.slice(x, 5, 12))).alias("v"))
+    return M.footprint_overlap(t, found, 4, 16, 12, 2)
+
+
 @query("mrg_04", f"SELECT 1000 * (unit % 4) + unit AS unit, t, event_id, unit % 3 = 1 AS discarded FROM ({GDF})")
 def _(s, d):
     local = T.gdf(s, d).select((F.col("unit") % 4).alias("leg"), "unit", "t", "event_id")

@@ -320,9 +320,10 @@ def _(s, d):
 
 @query("grp_01")
 def _(s, d):
-    # geometry: a table of electrodes, read by the driver
-    at = [(17.5 * x, 17.5 * y) for x, y in sorted({(r[0] % 5, r[0] // 5) for r in T.table(s, d, "supplier").select("s_suppkey").limit(5000).collect()})]
-    return _frame(s, [(g, e) for g, own in enumerate(P.electrode_groups(at)) for e in own], "leg long, electrode long")
+    # suppliers as the electrodes of probes of a hundred, ten by ten
+    k = F.col("s_suppkey")
+    at = T.table(s, d, "supplier").select(F.floor(k / 100).alias("probe"), k.alias("electrode"), (k % 10 * 17.5).alias("x"), (F.floor(k % 100 / 10) * 17.5).alias("y"))
+    return P.probe_groups(at)
 
 
 @query("grp_02", "SELECT k AS electrode, round((k % 8 + 0.5 * (k // 8 % 2)) * 17.5, 6) AS x, round(k // 8 * 17.5 * sqrt(3) / 2, 6) AS y FROM (SELECT s_suppkey AS k FROM supplier)")
