@@ -76,14 +76,15 @@ def merge_sessions(events: DataFrame, gap: int) -> DataFrame:
     return marked.groupBy("unit", "island").agg(F.when(F.min("amp") < 0, F.min_by("event_id", F.struct("amp", "event_id"))).otherwise(F.min_by("event_id", F.struct(-F.col("amp"), "event_id"))).alias("event_id"), F.count("*").alias("n_events")).drop("island")
 
 
-def merge_detections(events: DataFrame, max_dist: int) -> DataFrame:
-    """t, amp, channel of one event for each group of detections close in time, over all channels.
+def merge_detections(events: DataFrame, max_dist: int, by: list[str] | None = None) -> DataFrame:
+    """by, t, amp, channel of one event for each group of detections close in time, over all channels (of each group `by`).
 
     A group grows while the next event is less than max_dist after the group's best event so far: a negative event
     takes the place of a positive one, else one of equal or larger size does. Kept is the most negative event of a
     group, or the largest if none is negative (of equals the first, in the order of t, channel, amp).
     """
-    marked = islands(events.select("t", "amp", "channel"), [], "t", max_dist, ["channel", "amp"])
+    by = by or []
+    marked = islands(events.select(*by, "t", "amp", "channel"), by, "t", max_dist, ["channel", "amp"])
 
     def walk(x):
         t, amp, out, first = x["t"], x["amp"], [], 0
@@ -96,12 +97,13 @@ def merge_detections(events: DataFrame, max_dist: int) -> DataFrame:
             group = range(first, end)
             low = min(amp[k] for k in group)
             kept = min(group, key=lambda k: (amp[k], k)) if low < 0 else min(group, key=lambda k: (-amp[k], k))
-            out.append((t[kept], amp[kept], x["channel"][kept]))
+            out.append((*(x[c][kept] for c in by), t[kept], amp[kept], x["channel"][kept]))
             first = end
         return out
 
-    kind = events.schema["channel"].dataType.simpleString()
-    return by_group(marked, ["island"], ["t", "channel", "amp"], f"t long, amp double, channel {kind}", walk)
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    schema = ", ".join([*(f"{c} {kind(c)}" for c in by), f"t long, amp double, channel {kind('channel')}"])
+    return by_group(marked, [*by, "island"], ["t", "channel", "amp"], schema, walk)
 
 
 def peaks(signal: DataFrame) -> DataFrame:

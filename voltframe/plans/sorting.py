@@ -10,6 +10,7 @@ from ..operators import clusters as C
 from ..operators import generate as G
 from ..operators import matrices as M
 from ..operators import templates as P
+from ..operators.sorter import Settings, Sorter
 from ..sources import tables as T
 from ..sources.recordings import scratch
 from ..streaming import detection as D
@@ -409,3 +410,12 @@ def _(s, d):
 @query("gen_06", f"WITH {_SPIKES}, m AS {_MEANS} SELECT (m.k - 1) // 16 AS channel, t + jitter - 4 + (m.k - 1) % 16 AS t, round(sum(amp * 10 * 0.5 * x), 5) AS v FROM tn JOIN m USING (unit) GROUP BY 1, 2")
 def _(s, d):
     return G.artificial_units(_spikes(s, d), M.templates(T.waveforms(s, d)), 10.0, 0.5, 4, 16, 4).withColumn("v", F.round("v", 5))
+
+
+@query("sorter")
+def _(s, d):
+    # from samples to units: the table's signal less 70, four channels in two groups
+    x, b, n = _low(s, d)
+    legs = s.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 2), (2, 3)], "leg int, channel int")
+    found = Sorter(b, n, legs, scratch(s, "sorter"), Settings(threshold=3.0, min_dist=8, merge_dist=4, tf=16, cut_left=5, blank=8, bandwidth=5.0, least=5, dims=3, jitter=4))
+    return found.units().groupBy("unit", "discarded").agg(F.count("*").alias("n"))
