@@ -19,7 +19,7 @@ def create(gdf: DataFrame, frames: DataFrame, files: DataFrame) -> tuple[DataFra
     """
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     starts = files.withColumn("s", F.coalesce(F.sum("n_samples").over(w), F.lit(0)) + 1).withColumn("e", F.col("s") + F.col("n_samples") - 1)
-    inside = range_join(gdf, starts.select("file", "s", "e"), [], "t", 1 << 20).withColumn("idx", F.col("t") - F.col("s") + 1).drop("s", "e")
+    inside = range_join(gdf, starts.select("file", "s", "e"), [], "t", 1 << 14).withColumn("idx", F.col("t") - F.col("s") + 1).drop("s", "e")
     bounds = frames.groupBy("file").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     placed = E.frame_numbers(inside, bounds, E.missing_frames(frames, "file", "frame"), "file")
     return placed, starts.join(bounds, "file").select("file", "n_samples", "first", "last")
