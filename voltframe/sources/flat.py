@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..functions.arrays import pieces, vectors
+
 #: Bytes of a partition, and of what is read and handed on at once.
 SPLIT, PIECE = 32 << 20, 1 << 20
 
@@ -255,13 +257,15 @@ def chunks(blocks: DataFrame, channels: list[int], lsb: float = 1.0, dtype: str
         import pyarrow as pa
 
         kind = np.dtype(dtype)
-        for b in batches:
-            data, sizes = [], []
-            for rows in b.column(2).to_pylist():
-                n = max(len(r["v"]) for r in rows)
+        for b in pieces(batches, 64):
+            data, sizes, parts = [], [], b.column(2).flatten()
+            own, v = parts.field("channel").to_pylist(), vectors(parts.field("v"))
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy())
+            for first, last in zip(np.append(0, ends[:-1]), ends, strict=True):
+                n = max(len(x) for x in v[first:last])
                 x = np.zeros((n, len(names)))
-                for r in rows:
-                    x[: len(r["v"]), names.index(r["channel"])] = r["v"]
+                for c, y in zip(own[first:last], v[first:last], strict=True):
+                    x[: len(y), names.index(c)] = y
                 x /= lsb
                 if kind.kind in "iu":
                     x = np.clip(np.round(x), np.iinfo(kind).min, np.iinfo(kind).max)
