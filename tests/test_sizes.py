@@ -119,3 +119,22 @@ def test_fits_side_by_side_are_those_alone(spark):
     for k in range(7):
         alone, value = L.simplex(lambda p, k=k: float(((p - aims[k]) ** 2).sum()), starts[k])
         assert np.allclose(many[k], alone, atol=1e-6) and abs(values[k] - value) < 1e-9
+
+
+def test_events_of_assigned_pairs_do_not_meet_all_others(spark, monkeypatch):
+    from voltframe.operators import evaluation as V
+
+    true = spark.createDataFrame([(u, 100 * k, 10 * k + u) for k in range(20) for u in range(4)], "unit long, t long, event_id long")
+    found = true.selectExpr("unit + 100 AS unit", "t + 1 AS t", "event_id")
+    first_free, sizes = V.first_free, []
+
+    def counted(near, jitter):
+        sizes.append(near.count())
+        return first_free(near, jitter)
+
+    monkeypatch.setattr(V, "first_free", counted)
+    # 20 times 4 x 4 events are near each other; those of assigned pairs match before the others are paired
+    assert rows(V.label(true, found, 2, 1)[1].groupBy("side", "label").count()) == [(1, 4, 80), (2, 4, 80)]
+    assert sizes == [80, 0]
+    assert rows(V.assigned(true, found, 2)[0].select("u1", "u2", "tp")) == [(u, u + 100, 20) for u in range(4)]
+    assert len(sizes) == 2
