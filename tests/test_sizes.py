@@ -138,3 +138,30 @@ def test_events_of_assigned_pairs_do_not_meet_all_others(spark, monkeypatch):
     assert sizes == [80, 0]
     assert rows(V.assigned(true, found, 2)[0].select("u1", "u2", "tp")) == [(u, u + 100, 20) for u in range(4)]
     assert len(sizes) == 2
+
+
+def test_a_long_run_of_detections_is_not_held(spark, monkeypatch):
+    import random
+
+    from voltframe.operators import walks as K
+
+    monkeypatch.setattr(K, "by_group", lambda *_: pytest.fail("a whole run is held"))
+    draw = random.Random(7)
+    events = sorted({(leg, draw.randrange(900), draw.randrange(3), float(draw.randrange(-6, 4))) for leg in range(2) for _ in range(700)})
+    want = []
+    for leg in range(2):
+        own = [x[1:] for x in events if x[0] == leg]
+        first = 0
+        while first < len(own):
+            best, end = first, first + 1
+            while end < len(own) and own[end][0] < own[best][0] + 4:
+                if own[best][2] > 0 > own[end][2] or abs(own[best][2]) <= abs(own[end][2]):
+                    best = end
+                end += 1
+            group = own[first:end]
+            low = min(x[2] for x in group)
+            t, c, a = min(group, key=lambda x: x[2]) if low < 0 else max(group, key=lambda x: x[2])
+            want.append((leg, t, a, c))
+            first = end
+    df = spark.createDataFrame(events, "leg int, t long, channel int, amp double")
+    assert rows(K.merge_detections(df, 4, ["leg"])) == sorted(want)
