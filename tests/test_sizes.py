@@ -165,3 +165,20 @@ def test_a_long_run_of_detections_is_not_held(spark, monkeypatch):
             first = end
     df = spark.createDataFrame(events, "leg int, t long, channel int, amp double")
     assert rows(K.merge_detections(df, 4, ["leg"])) == sorted(want)
+
+
+def test_runs_of_flags_are_found_by_cells(spark, monkeypatch):
+    import random
+
+    from voltframe.operators import intervals as I
+
+    monkeypatch.setattr(I, "CELL", 8)
+    draw = random.Random(2)
+    held = {c: {t for t in range(-30, 200) if draw.random() < 0.9} | set(range(300, 332)) for c in range(3)}
+    want = []
+    for c, ts in held.items():
+        starts, ends = sorted(t for t in ts if t - 1 not in ts), sorted(t for t in ts if t + 1 not in ts)
+        want += [(c, a, z) for a, z in zip(starts, ends, strict=True)]
+    df = spark.createDataFrame([(c, t) for c, ts in held.items() for t in range(-30, 340) for _ in range(2) if t in ts] + [(0, 900)], "channel int, t long")
+    found = I.from_binary(df, F.col("t") < 900, "channel", "t")
+    assert rows(found.select("channel", "s", "e")) == sorted(want)
