@@ -182,3 +182,16 @@ def test_runs_of_flags_are_found_by_cells(spark, monkeypatch):
     df = spark.createDataFrame([(c, t) for c, ts in held.items() for t in range(-30, 340) for _ in range(2) if t in ts] + [(0, 900)], "channel int, t long")
     found = I.from_binary(df, F.col("t") < 900, "channel", "t")
     assert rows(found.select("channel", "s", "e")) == sorted(want)
+
+
+def test_alignment_on_the_mean_goes_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    from voltframe.operators import fits as L
+
+    draw = np.random.default_rng(4)
+    waves = [(k, k % 2, np.roll(np.sin(np.arange(20) / 2), int(draw.integers(-3, 4))).tolist() + draw.normal(size=20).tolist()) for k in range(21)]
+    df = spark.createDataFrame(waves, "wf_id long, unit int, v array<double>")
+    whole = rows(L.align_on_mean(df, 2, 20))
+    monkeypatch.setattr(L, "PART", 4)
+    assert rows(L.align_on_mean(df, 2, 20)) == whole and len({r[1] for r in whole}) > 1
