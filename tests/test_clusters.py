@@ -77,3 +77,18 @@ def test_a_step_costs_neighbours():
         cells = clusters.Cells(x, 1.0)
         sizes.append(np.mean([len(cells.near(p, 1.0)) for p in x[:300]]))
     assert sizes[1] < 1.3 * sizes[0]
+
+
+def test_means_in_a_plane_are_those_of_all_points():
+    import numpy as np
+
+    from voltframe.operators.clusters import Plane
+
+    draw = np.random.default_rng(1)
+    for dims in (1, 2):
+        for n in (1, 40, 3_000):
+            x = draw.normal(size=(n, dims)) * 2
+            plane = Plane(x, 0.6)
+            for p in [*x[:50], *(draw.normal(size=(50, dims)) * 4), x.min(0), x.max(0) + 9]:
+                inside = x[((x - p) ** 2).sum(1) <= 0.36]
+                assert np.allclose(plane.mean(p), inside.mean(0) if len(inside) else p, atol=1e-10)
