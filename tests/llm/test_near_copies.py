@@ -57,3 +57,34 @@ def test_pipeline_stage_removes_all_near_copies(spark):
     for k, x in enumerate(want):
         first.setdefault(x, k)
     assert left == sorted(first.values())
+
+
+def test_a_pair_without_a_common_band_is_linked(spark):
+    """Found by trying seeds: similarity 90/110, no band in common, fingerprints more than RADIUS bits apart."""
+    rng = random.Random(23598)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    own = list(base)
+    for at in (20, 60):
+        own[at] = f"x{rng.randrange(10**6)}"
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(own)), (3, "other words")], "doc_id long, text string")
+    for radius in (None, near_copies.RADIUS):
+        got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, radius=radius).collect()}
+        assert got[1] == got[2] != got[3]
+    assert [r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_prefixes_alone_find_all_links(spark, monkeypatch):
+    """Without a class to begin with, in blocks of 4 texts and of all, against all pairs; texts share a common passage."""
+    rng, passage = random.Random(5), " ".join(f"p{k}" for k in range(30))
+    texts = [t for t in fixture() if t] + [f"{' '.join(f'y{rng.randrange(4)}' for _ in range(rng.randrange(3, 9)))} {passage}" for _ in range(60)]
+    texts = list(dict.fromkeys(" ".join(t.lower().split()) for t in texts)) + [f"v{k % 3} v{k}" for k in range(9)]
+    pairs, _ = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r["copy"]: r["row"] for r in near_copies.signatures(docs, "doc_id", "text").filter("n >= 0").collect()}
+    for block, bits in ((4, b"\x00"), (1024, b"\x55")):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        common = spark.sparkContext.broadcast(bits * (near_copies.FILTER_BITS // 8))
+        keyed = near_copies.prefixes(docs, "doc_id", "text", common, 5, 0.8).withColumn("class", near_copies.F.col("copy"))
+        found = near_copies.prefix_pairs(keyed, 0.8, near_copies.materialize).collect()
+        got = {frozenset((ids[r["a"]], ids[r["b"]])) for r in found}
+        assert {frozenset(p) for p in pairs} <= got and len(got) == len(found)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, worker_cache
+from .common import bitmap, drop, materialize, worker_cache
 from .simhash import RADIUS, SEED, bits_over_half, components, links, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
@@ -30,6 +30,9 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 16
+#: Exact search: hashes shared by the prefixes of a pair, texts of a block, hashes counted at once in a task, bits of
+#: the filter of common hashes, and the count from which a hash is common.
+SHARED, BLOCK, COUNTED, FILTER_BITS, COMMON = 4, 1024, 1 << 21, 1 << 22, 16
 
 
 def _powers():
@@ -142,7 +145,10 @@ def band_keys(own, bands: int = BANDS, rows: int = ROWS):
 
 
 def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, prints: bool = True) -> DataFrame:
-    """row, copy (hash of the set), n (its size), fp (SimHash of the set, with `prints`), keys, next, sketch."""
+    """row, copy (hash of the set), n (its size), fp (SimHash of the set, with `prints`), keys, next, sketch.
+
+    Rows with n = -1 name hashes (keys) that several different sets of a task hold, and in how many of them (next)."""
+    names = ["row", "copy", "n", "fp", "keys", "next", "sketch"]
 
     def run(batches):
         import numpy as np
@@ -150,19 +156,37 @@ def signatures(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE, ban
         from xxhash import xxh64_intdigest
 
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+        pool, size = {}, 0
+
+        def repeated():
+            if not pool:
+                return
+            key, count = np.unique(np.concatenate(list(pool.values())), return_counts=True)
+            key, count = key[count > 1].view(np.int64), count[count > 1]
+            for at in range(0, len(key), CHUNK):
+                zero = pa.array([0], pa.int64())
+                lists = [pa.array([x[at : at + CHUNK]], pa.list_(pa.int64())) for x in (key, count)]
+                yield pa.RecordBatch.from_arrays([zero, zero, pa.array([-1], pa.int64()), zero, *lists, pa.array([b""], pa.binary())], names=names)
+
         for b in batches:
             copy, n, fp, keys = [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingles(t, shingle)
                 copy.append(xxh64_intdigest(own.tobytes(), SEED))
+                if copy[-1] not in pool:
+                    pool[copy[-1]], size = own, size + len(own)
+                if size > COUNTED:
+                    yield from repeated()
+                    pool, size = {}, 0
                 n.append(len(own))
                 fp.append(bits_over_half(own) if prints else 0)
                 keys.append(band_keys(own, bands, rows) if len(own) else none)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), signed(copy), pa.array(n, pa.int64()), signed(fp), pa.array([k for k, _, _ in keys], pa.list_(pa.int64())), pa.array([k for _, k, _ in keys], pa.list_(pa.int64())), pa.array([k for _, _, k in keys], pa.binary())],
-                names=["row", "copy", "n", "fp", "keys", "next", "sketch"],
+                names=names,
             )
+        yield from repeated()
 
     return docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).mapInArrow(run, "row long, copy long, n long, fp long, keys array<long>, next array<long>, sketch binary")
 
@@ -199,6 +223,179 @@ def bucket_pairs(unique: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def needed(n, similarity: float):
+    """Hashes that a set of n shares at least with a similar one that is no smaller."""
+    import numpy as np
+
+    return np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, row: str, text: str, common, shingle: int, similarity: float) -> DataFrame:
+    """copy, n, keys: the first hashes of each text's set, common ones last; equal sets once a task, or more often."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        bits, seen = np.frombuffer(common.value, np.uint8), set()
+        for b in batches:
+            copy, n, keys = [], [], []
+            for t in b.column(0).to_pylist():
+                own = shingles(t, shingle)
+                c = xxh64_intdigest(own.tobytes(), SEED)
+                if not len(own) or c in seen:
+                    continue
+                seen.add(c)
+                at = (own % np.uint64(FILTER_BITS)).astype(np.int64)
+                often = (bits[at >> 3] >> (at & 7)) & 1 > 0
+                k = len(own) - int(needed(len(own), similarity)) + SHARED
+                copy.append(c)
+                n.append(len(own))
+                keys.append(np.concatenate((own[~often][:k], own[often][: max(0, k - int((~often).sum()))])).view(np.int64))
+            if len(seen) > CHUNK:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(copy, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["copy", "n", "keys"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "copy long, n long, keys array<long>")
+
+
+def apart(bucket, side, n, at, similarity: float):
+    """Yields (i, j): places of rows of one bucket, on different sides, whose sizes and places in the order allow the similarity."""
+    import numpy as np
+
+    _, bucket = np.unique(bucket, return_inverse=True)
+    order = np.lexsort((n, bucket))
+    key, size = bucket[order] << 40, n[order]
+    # from each row to the last of its bucket that is not too large
+    stop = np.searchsorted(key + size, key + np.floor(size / similarity + 1e-9).astype(np.int64), side="right")
+    room = stop - np.arange(len(order)) - 1
+    done = np.concatenate(([0], np.cumsum(room)))
+    a = 0
+    while a < len(order):
+        z = max(a + 1, int(np.searchsorted(done, done[a] + (1 << 20), side="right")) - 1)
+        own = room[a:z]
+        i = np.repeat(np.arange(a, z), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(done[a:z] - done[a], own)
+        i, j = order[i], order[j]
+        new = side[i] != side[j]
+        i, j = i[new], j[new]
+        # before one of the SHARED first hashes in common there are less than SHARED of them, and after it no more than are left
+        most = np.minimum(n[i] - at[i], n[j] - at[j]) + SHARED - 1
+        fit = most >= (n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-6
+        if fit.any():
+            yield i[fit], j[fit]
+        a = z
+
+
+_BUCKET = "a long, b long, total long, key long, block int, class long, copy long, n long, at int"
+
+
+def _found(copy, n, i, j):
+    """A batch of pairs in the columns of _BUCKET."""
+    import numpy as np
+    import pyarrow as pa
+
+    of = lambda k, t: pa.nulls(len(i), t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(copy[i], copy[j])), pa.array(np.maximum(copy[i], copy[j])), pa.array(np.maximum(n[i], n[j])), of(0, pa.int64()), of(0, pa.int32()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int32())],
+        names=[x.split()[0] for x in _BUCKET.split(", ")],
+    )
+
+
+def in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
+    """_BUCKET of rows (key, class, copy, n, at): pairs (a, b, total: the larger size) within blocks of a key's texts,
+    and the rows of keys that fill a block or more, with the number of their block."""
+    names = [x.split()[0] for x in _BUCKET.split(", ")]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, before = None, 0  # rows of a block that may go on, and the rows of its key before them
+
+        def settle(key, cls, copy, n, at, number):
+            block = number // BLOCK
+            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
+            size = np.diff(np.concatenate((start, [len(key)])))
+            bucket, size = np.repeat(np.arange(len(start)), size), np.repeat(size, size)
+            mixed = cls[start] != cls[np.concatenate((start[1:], [len(key)])) - 1]  # rows come by class
+            many = np.flatnonzero(np.repeat(mixed, size[start]))
+            if len(many):
+                for i, j in apart(bucket[many], cls[many], n[many], at[many], similarity):
+                    yield _found(copy, n, many[i], many[j])
+            long = (block > 0) | (size == BLOCK)
+            if long.any():
+                none = pa.nulls(int(long.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key[long]), pa.array(block[long].astype(np.int32)), pa.array(cls[long]), pa.array(copy[long]), pa.array(n[long]), pa.array(at[long].astype(np.int32))], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy() for c in b.columns]
+            all_ = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            key = all_[0]
+            place = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), place, 0))
+            number = place - start + np.where(start == 0, before, 0)
+            cut = len(key) - 1 - number[-1] % BLOCK
+            if cut:
+                yield from settle(*(x[:cut] for x in all_), number[:cut])
+            held, before = [x[cut:] for x in all_], number[cut]
+        if held is not None:
+            yield from settle(*held, before + np.arange(len(held[0])))
+
+    wanted = rows.select("key", "class", "copy", "n", "at").repartition("key").sortWithinPartitions("key", "class", "n", "copy")
+    return wanted.mapInArrow(run, _BUCKET)
+
+
+def between_blocks(rows: DataFrame, similarity: float) -> DataFrame:
+    """_BUCKET with the pairs between different blocks of a key, but for two blocks of one class alone."""
+    blocks = rows.groupBy("key", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    one = (F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low"))
+    reach = (F.col("x.most") >= F.col("y.least") * (similarity - 1e-9)) & (F.col("y.most") >= F.col("x.least") * (similarity - 1e-9))
+    duos = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")) & reach & ~one).select("x.key", F.col("x.block").alias("one"), F.col("y.block").alias("other"))
+    sides = duos.select("key", "one", "other", F.explode(F.array("one", "other")).alias("block"))
+    placed = sides.join(rows.select("key", "block", "class", "copy", "n", "at"), ["key", "block"])
+
+    def run(batches):
+        import numpy as np
+
+        def settle(key, one, other, block, cls, copy, n, at):
+            bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1]))))
+            for i, j in apart(bucket, cls, n, at, similarity):
+                new = block[i] != block[j]
+                yield _found(copy, n, i[new], j[new])
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy() for c in b.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            change = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            if len(change):
+                yield from settle(*(x[: change[-1] + 1] for x in held))
+                held = [x[change[-1] + 1 :] for x in held]
+        if held is not None:
+            yield from settle(*held)
+
+    wanted = placed.select("key", "one", "other", "block", "class", "copy", "n", "at").repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
+    return wanted.mapInArrow(run, _BUCKET)
+
+
+def prefix_pairs(keyed: DataFrame, similarity: float, put) -> DataFrame:
+    """a, b: pairs of different classes among `keyed` (copy, n, class, keys) whose prefixes share SHARED hashes, or all they need."""
+    buckets = put(in_blocks(keyed.select("class", "copy", "n", F.posexplode("keys").alias("at", "key")), similarity), "buckets")
+    found = buckets.filter("key is null")
+    split = buckets.filter("key is not null")
+    if not split.isEmpty():
+        found = found.union(between_blocks(split, similarity))
+    least = F.least(F.lit(SHARED), F.ceil(F.first("total") * similarity - 1e-9))
+    return found.groupBy("a", "b").agg(F.count("*").alias("both"), least.alias("least")).filter("both >= least").select("a", "b")
+
+
 def sets_of(docs: DataFrame, row: str, text: str, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """copy, items (the sorted set) for `chosen` (row, copy)."""
 
@@ -251,15 +448,16 @@ def covering_pairs(unique: DataFrame, radius: int) -> DataFrame:
 def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int | None = RADIUS, exact: bool = True) -> DataFrame:
     """row, component_id: the same for texts connected by near copies; `row` identifies the rows.
 
-    With `radius` None only the bands search.
+    With `radius` None the covering tables are left out, which costs no link.
     """
-    held = []
+    spark, held = docs.sparkSession, []
 
     def put(df, name):
         held.append(materialize(df, name))
         return held[-1]
 
-    marked = put(signatures(docs, row, text, shingle, bands, rows, radius is not None), "signatures")
+    signed = put(signatures(docs, row, text, shingle, bands, rows, radius is not None), "signatures")
+    marked = signed.filter("n >= 0")
     kept = ["row", "n", "fp", "keys", "next", *["sketch"] * (not exact)]
     unique = put(marked.groupBy("copy").agg(*[F.min("row").alias("row") if c == "row" else F.first(c).alias(c) for c in kept]).filter("n > 0"), "unique")
     pairs = bucket_pairs(unique, similarity)
@@ -270,11 +468,22 @@ def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingl
     if exact:
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "copy")
         sets = put(sets_of(docs, row, text, unique.select("row", "copy").join(wanted, "copy", "left_semi"), shingle), "sets")
-        linked = confirmed(pairs, sets, similarity)
+        linked = put(confirmed(pairs, sets, similarity), "links")
     else:
         linked = likely(pairs, unique.select("copy", "sketch"), similarity)
     root = components(linked)
     held.append(root)
+    if exact:
+        counts = signed.filter("n = -1").select(F.explode(F.arrays_zip("keys", "next")).alias("x")).groupBy("x.keys").agg(F.sum("x.next").alias("count"))
+        often = spark.sparkContext.broadcast(bitmap(counts.filter(F.col("count") >= COMMON), F.col("keys"), FILTER_BITS))
+        first = prefixes(docs, row, text, often, shingle, similarity).groupBy("copy").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        keyed = first.join(root, F.col("copy") == F.col("node"), "left").select("copy", "n", F.coalesce("root", "copy").alias("class"), "keys")
+        more = put(prefix_pairs(keyed, similarity, put), "further")
+        if not more.isEmpty():
+            wanted = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "copy")
+            sets = put(sets_of(docs, row, text, unique.select("row", "copy").join(wanted, "copy", "left_semi"), shingle), "sets")
+            root = components(linked.union(confirmed(more, sets, similarity)))
+            held.append(root)
     out = materialize(marked.select("row", "copy").join(root, F.col("copy") == F.col("node"), "left").select(F.col("row").alias(row), F.coalesce("root", "copy").alias("component_id")), "classes")
     for t in held:
         drop(t)

@@ -9,7 +9,7 @@ constant that occur in `min_docs` documents or more are recurring, and their lin
 A line that recurs as it is (masked) needs the less support the longer it is: min_docs * min_tokens / tokens classes,
 two at least. So 5 tokens need 20, 20 tokens 5 and 50 tokens 2.
 
-Supports count classes of near copies (near_copies, by sketches), not texts: texts that are copies of one another as a whole
+Supports count classes of near copies (near_copies), not texts: texts that are copies of one another as a whole
 count once, so that their lines do not recur by that, and near-duplicate removal decides about them. A recurring line
 is dropped whatever its share of a text.
 
@@ -28,10 +28,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, materialize
+from .common import bitmap, drop, fresh, materialize
 from .near_copies import near_copies
 
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 20, 0.6
+#: Bands of the first search for near copies; what they miss the exact search finds.
+BANDS = 8
 #: Bits of the fixed-size filter that picks lines of busy leaves for the second scan; extra lines do no harm.
 FILTER_BITS = 1 << 22
 _SPECIAL = re.compile(r"[\d@:]")
@@ -102,7 +104,7 @@ def line_texts(docs: DataFrame, text: str, depth: int, min_tokens: int, chosen)
 def classed_texts(docs: DataFrame, text: str) -> DataFrame:
     """copy (hash of the text), class: equal for texts that near copies connect, each link decided by the sets of shingles."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).filter(F.col("t").isNotNull()), "texts")
-    named = near_copies(rows, "row", "t", radius=None)
+    named = near_copies(rows, "row", "t", bands=BANDS, radius=None)
     out = materialize(rows.select("row", F.xxhash64("t").alias("copy")).join(named, "row").groupBy("copy").agg(F.min("component_id").alias("class")), "classes")
     drop(rows)
     drop(named)
@@ -132,13 +134,7 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, text: str = "text", dept
     often = counts.filter("n > 1").join(sizes, "line").filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(min_docs * min_tokens) / F.col("size"))))
     busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     # busy leaves as a bitmap of FILTER_BITS, whatever their number
-    place = F.pmod("leaf", F.lit(FILTER_BITS))
-    size = 1 << 15  # bits in a bitmap of Spark's
-    parts = busy.groupBy(F.floor(place / size).alias("part")).agg(F.bitmap_construct_agg(place % size).alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8)
-    for part, own in parts:
-        bits[part * size // 8 : part * size // 8 + len(own)] = own
-    chosen = spark.sparkContext.broadcast(bytes(bits))
+    chosen = spark.sparkContext.broadcast(bitmap(busy, F.col("leaf"), FILTER_BITS))
     texts = line_texts(docs, text, depth, min_tokens, chosen).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = materialize(texts.join(counts, ["leaf", "line"]).join(busy.select("leaf"), "leaf", "left_semi"), "busy")
     spots = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
