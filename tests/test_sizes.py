@@ -195,3 +195,17 @@ def test_alignment_on_the_mean_goes_in_parts(spark, monkeypatch):
     whole = rows(L.align_on_mean(df, 2, 20))
     monkeypatch.setattr(L, "PART", 4)
     assert rows(L.align_on_mean(df, 2, 20)) == whole and len({r[1] for r in whole}) > 1
+
+
+def test_gaps_of_merged_epochs_come_from_one_order(spark):
+    import random
+
+    from voltframe.operators import intervals as I
+
+    draw = random.Random(11)
+    epochs = [(k % 9, a, a + draw.randrange(12)) for k in range(400) for a in [draw.randrange(1, 700)]]
+    df = spark.createDataFrame([*epochs, (9, 5, 800), (9, 1, 2)], "series_id int, s long, e long")
+    want = rows(I.flip(I.merge(df), F.lit(705).cast("long"), F.lit(-3).cast("long")))
+    found = I.flip_merged(df, F.lit(705).cast("long"), F.lit(-3).cast("long"))
+    assert rows(found) == want and len(want) > 100
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
