@@ -88,3 +88,37 @@ def test_prefixes_alone_find_all_links(spark, monkeypatch):
         found = near_copies.prefix_pairs(keyed, 0.8, near_copies.materialize).collect()
         got = {frozenset((ids[r["a"]], ids[r["b"]])) for r in found}
         assert {frozenset(p) for p in pairs} <= got and len(got) == len(found)
+
+
+def test_a_group_just_below_the_similarity_leaves_few_pairs_and_no_link_is_lost(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(n):
+        out = list(base)
+        for k in rng.sample(range(150), n):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return " ".join(out)
+
+    texts = [changed(4) for _ in range(120)] + [changed(1) for _ in range(12)]
+    sets = [near_copies.shingles(t) for t in texts]
+    wanted = sum(near_copies.similarity_of(sets[a], sets[b]) >= 0.8 for a in range(len(sets)) for b in range(a))
+    assert wanted > 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = near_copies.prefixes(docs, "doc_id", "text", spark.sparkContext.broadcast(bytes(near_copies.FILTER_BITS // 8)), 5, 0.8).persist()
+    some = near_copies.shared_prefixes(first, spark.sparkContext.broadcast(near_copies.repeated_keys(first)), 0.8)
+    pairs = near_copies.prefix_pairs(some.withColumn("class", near_copies.F.col("copy")), 0.8, near_copies.materialize).persist()
+    rows = docs.select(near_copies.F.col("doc_id").alias("row"), "text")
+    assert some.count() == len(texts)
+    assert pairs.count() < 0.3 * len(texts) * (len(texts) - 1) / 2
+    signed = near_copies.signatures(rows, "row", "text", prints=False).filter("n >= 0").select("row", "copy")
+    sets_of = near_copies.sets_of(rows, "row", "text", signed)
+    assert near_copies.confirmed(pairs, sets_of).count() == wanted
+    first.unpersist(), pairs.unpersist()
+
+
+def test_hashes_of_one_prefix_are_not_sent_on_and_shared_ones_keep_their_places(spark):
+    rows = [(1, 10, b"", [5 << 40, 7 << 50, 1 << 61, 9 << 55]), (2, 10, b"", [-3, 5 << 40, 1 << 61, 9 << 55, 7 << 50]), (3, 10, b"", [-9 << 50, 4 << 52, 5 << 40])]
+    first = spark.createDataFrame(rows, "copy long, n long, bits binary, keys array<long>")
+    got = near_copies.shared_prefixes(first, spark.sparkContext.broadcast(near_copies.repeated_keys(first)), 0.8).collect()
+    assert {r["copy"]: (r["keys"], r["ats"]) for r in got} == {1: (rows[0][3], [0, 1, 2, 3]), 2: (rows[1][3][1:], [1, 2, 3, 4])}  # 3 shares one hash, not four

@@ -12,6 +12,10 @@ size and not its square, however many texts share a common passage. Near copies
 of both in a bucket of one kind, and nearly always in a mixed one, as they share further minimum hashes too; a pair has
 to be kept apart in every band that it shares to be missed. Recall is measured in the README.
 
+What both searches miss an exact one finds: prefixes of the sets in one order of all hashes, of which only hashes of two
+prefixes or more are sent on. Before a pair leaves its bucket the parities of the two sets have to allow the
+similarity, so that a group of texts just below it costs few pairs and not its square.
+
 Every candidate pair is decided by the Jaccard similarity of the two sets, so that no link is wrong, or, without
 `exact`, by that of two sketches of BANDS * ROWS places (standard error 0.04 at 0.8), which spares the second look at
 the texts. Components are transitive. Null and empty texts are equal; an empty table gives an empty result.
@@ -33,6 +37,11 @@ CHUNK = 1 << 16
 #: Exact search: hashes shared by the prefixes of a pair, texts of a block, hashes counted at once in a task, bits of
 #: the filter of common hashes, and the count from which a hash is common.
 SHARED, BLOCK, COUNTED, FILTER_BITS, COMMON = 4, 1024, 1 << 21, 1 << 22, 16
+#: Bits of a set's parities; bits (a power of two) of the filter of hashes of two prefixes; prefix hashes merged in a task.
+PARITIES, REPEATED_BITS, MERGED = 512, 27, 1 << 22
+#: Bits of the filter of rows: an odd multiple of 32,768, so that rows numbered by partition (in steps of a power of two)
+#: do not fall together.
+ROW_BITS = 1021 << 15
 
 
 def _powers():
@@ -230,8 +239,17 @@ def needed(n, similarity: float):
     return np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
 
 
+def parities(own):
+    """Whether the hashes of a set that have a remainder modulo PARITIES are odd in number, a bit each: two sets differ in
+    as many hashes at least as these in bits."""
+    import numpy as np
+
+    return np.packbits((np.bincount((own >> np.uint64(8)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
 def prefixes(docs: DataFrame, row: str, text: str, common, shingle: int, similarity: float) -> DataFrame:
-    """copy, n, keys: the first hashes of each text's set, common ones last; equal sets once a task, or more often."""
+    """copy, n, bits (parities), keys: the first hashes of each text's set, common ones last; equal sets once a task, or
+    more often."""
 
     def run(batches):
         import numpy as np
@@ -240,7 +258,7 @@ def prefixes(docs: DataFrame, row: str, text: str, common, shingle: int, similar
 
         bits, seen = np.frombuffer(common.value, np.uint8), set()
         for b in batches:
-            copy, n, keys = [], [], []
+            copy, n, odd, keys = [], [], [], []
             for t in b.column(0).to_pylist():
                 own = shingles(t, shingle)
                 c = xxh64_intdigest(own.tobytes(), SEED)
@@ -252,16 +270,91 @@ def prefixes(docs: DataFrame, row: str, text: str, common, shingle: int, similar
                 k = len(own) - int(needed(len(own), similarity)) + SHARED
                 copy.append(c)
                 n.append(len(own))
+                odd.append(parities(own))
                 keys.append(np.concatenate((own[~often][:k], own[often][: max(0, k - int((~often).sum()))])).view(np.int64))
             if len(seen) > CHUNK:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(copy, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["copy", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(copy, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["copy", "n", "bits", "keys"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "copy long, n long, bits binary, keys array<long>")
+
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "copy long, n long, keys array<long>")
+def repeated_keys(first: DataFrame) -> bytes:
+    """Filter by the leading REPEATED_BITS bits of the hashes in two prefixes or more; a few others do no harm."""
+    total = first.agg(F.sum(F.size("keys"))).first()[0] or 0
+    lead = min(REPEATED_BITS - 3, max(6, (total // MERGED).bit_length()))  # leading bits that name a merging task
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def dealt(keys):
+            key = np.unique(np.concatenate(keys), return_counts=True)
+            group = (key[0] >> np.uint64(64 - lead)).astype(np.int64)
+            part = ((key[0] << np.uint64(lead)) >> np.uint64(32)).astype(np.uint32)
+            cut = np.searchsorted(group, np.arange((1 << lead) + 1))
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            cells = [(part[a:z], key[1][a:z] > 1) for a, z in zip(cut[full], cut[full + 1], strict=True)]
+            lists = [[p[~m].tobytes() for p, m in cells], [p[m].tobytes() for p, m in cells]]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in lists)], names=["bucket", "once", "more"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b.column(0).flatten().to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size >= MERGED:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def merge(key, table):
+        import numpy as np
+        import pandas as pd
 
+        join = lambda c: np.concatenate([np.frombuffer(x, np.uint32) for x in table[c]])
+        once, more = np.sort(join("once")), join("more")
+        once = once[np.concatenate((once[1:] == once[:-1], [False]))] if len(once) else once
+        bits = np.zeros(1 << (REPEATED_BITS - lead), np.uint8)
+        for x in (once, more):
+            bits[x >> np.uint32(32 - REPEATED_BITS + lead)] = 1
+        return pd.DataFrame({"bucket": [int(key[0])], "bits": [np.packbits(bits).tobytes()]})
 
-def apart(bucket, side, n, at, similarity: float):
-    """Yields (i, j): places of rows of one bucket, on different sides, whose sizes and places in the order allow the similarity."""
+    out, width = bytearray(1 << (REPEATED_BITS - 3)), 1 << (REPEATED_BITS - lead - 3)
+    found = first.select("keys").mapInArrow(run, "bucket int, once binary, more binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary")
+    for k, own in found.toLocalIterator():
+        out[k * width : (k + 1) * width] = own
+    return bytes(out)
+
+
+def shared_prefixes(first: DataFrame, repeated, similarity: float) -> DataFrame:
+    """copy, n, bits, keys, ats: of prefixes() the hashes in the filter and their places, for sets that keep enough of them
+    to share as many as a pair has to."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.frombuffer(repeated.value, np.uint8)
+        for b in batches:
+            keys = b.column(3)
+            values, size = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
+            at = (values.view(np.uint64) >> np.uint64(64 - REPEATED_BITS)).astype(np.int64)
+            own = (bits[at >> 3] >> (7 - (at & 7))) & 1 > 0
+            of = np.repeat(np.arange(len(size)), size)
+            enough = np.bincount(of[own], minlength=len(size)) >= np.minimum(SHARED, needed(b.column(1).to_numpy(), similarity))
+            own &= enough[of]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of[own], minlength=len(size))[enough]))).astype(np.int32)
+            place = (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size))[own]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (values[own], place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(enough)) for c in range(3)), *lists], names=["copy", "n", "bits", "keys", "ats"])
+
+    return first.select("copy", "n", "bits", "keys").mapInArrow(run, "copy long, n long, bits binary, keys array<long>, ats array<int>")
+
+
+def apart(bucket, side, n, at, odd, similarity: float):
+    """Yields (i, j): places of rows of one bucket, on different sides, whose sizes, places in the order and parities (odd,
+    a row of numbers each) allow the similarity."""
     import numpy as np
 
     _, bucket = np.unique(bucket, return_inverse=True)
@@ -283,12 +376,25 @@ def apart(bucket, side, n, at, similarity: float):
         # before one of the SHARED first hashes in common there are less than SHARED of them, and after it no more than are left
         most = np.minimum(n[i] - at[i], n[j] - at[j]) + SHARED - 1
         fit = most >= (n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-6
-        if fit.any():
-            yield i[fit], j[fit]
+        i, j = i[fit], j[fit]
+        # sets that share enough differ in few hashes, and in no more parities
+        few = np.floor((n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            near = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= few[k : k + (1 << 16)]
+            if near.any():
+                yield x[near], y[near]
         a = z
 
 
-_BUCKET = "a long, b long, total long, key long, block int, class long, copy long, n long, at int"
+_BUCKET = "a long, b long, total long, key long, block int, class long, copy long, n long, at int, bits binary"
+
+
+def _odd(bits):
+    """Parities of an Arrow column, as rows of numbers."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), PARITIES // 64)
 
 
 def _found(copy, n, i, j):
@@ -298,13 +404,13 @@ def _found(copy, n, i, j):
 
     of = lambda k, t: pa.nulls(len(i), t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(copy[i], copy[j])), pa.array(np.maximum(copy[i], copy[j])), pa.array(np.maximum(n[i], n[j])), of(0, pa.int64()), of(0, pa.int32()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int32())],
+        [pa.array(np.minimum(copy[i], copy[j])), pa.array(np.maximum(copy[i], copy[j])), pa.array(np.maximum(n[i], n[j])), of(0, pa.int64()), of(0, pa.int32()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int64()), of(0, pa.int32()), of(0, pa.binary())],
         names=[x.split()[0] for x in _BUCKET.split(", ")],
     )
 
 
 def in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """_BUCKET of rows (key, class, copy, n, at): pairs (a, b, total: the larger size) within blocks of a key's texts,
+    """_BUCKET of rows (key, class, copy, n, at, bits): pairs (a, b, total: the larger size) within blocks of a key's texts,
     and the rows of keys that fill a block or more, with the number of their block."""
     names = [x.split()[0] for x in _BUCKET.split(", ")]
 
@@ -314,7 +420,7 @@ def in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
 
         held, before = None, 0  # rows of a block that may go on, and the rows of its key before them
 
-        def settle(key, cls, copy, n, at, number):
+        def settle(key, cls, copy, n, at, odd, number):
             block = number // BLOCK
             start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
             size = np.diff(np.concatenate((start, [len(key)])))
@@ -322,17 +428,17 @@ def in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
             mixed = cls[start] != cls[np.concatenate((start[1:], [len(key)])) - 1]  # rows come by class
             many = np.flatnonzero(np.repeat(mixed, size[start]))
             if len(many):
-                for i, j in apart(bucket[many], cls[many], n[many], at[many], similarity):
+                for i, j in apart(bucket[many], cls[many], n[many], at[many], odd[many], similarity):
                     yield _found(copy, n, many[i], many[j])
             long = (block > 0) | (size == BLOCK)
             if long.any():
                 none = pa.nulls(int(long.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key[long]), pa.array(block[long].astype(np.int32)), pa.array(cls[long]), pa.array(copy[long]), pa.array(n[long]), pa.array(at[long].astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key[long]), pa.array(block[long].astype(np.int32)), pa.array(cls[long]), pa.array(copy[long]), pa.array(n[long]), pa.array(at[long].astype(np.int32)), pa.array([x.tobytes() for x in odd[long]], pa.binary())], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [c.to_numpy() for c in b.columns]
+            new = [*(c.to_numpy() for c in b.columns[:5]), _odd(b.column(5))]
             all_ = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             key = all_[0]
             place = np.arange(len(key))
@@ -345,7 +451,7 @@ def in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         if held is not None:
             yield from settle(*held, before + np.arange(len(held[0])))
 
-    wanted = rows.select("key", "class", "copy", "n", "at").repartition("key").sortWithinPartitions("key", "class", "n", "copy")
+    wanted = rows.select("key", "class", "copy", "n", "at", "bits").repartition("key").sortWithinPartitions("key", "class", "n", "copy")
     return wanted.mapInArrow(run, _BUCKET)
 
 
@@ -357,14 +463,14 @@ def between_blocks(rows: DataFrame, similarity: float) -> DataFrame:
     reach = (F.col("x.most") >= F.col("y.least") * (similarity - 1e-9)) & (F.col("y.most") >= F.col("x.least") * (similarity - 1e-9))
     duos = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")) & reach & ~one).select("x.key", F.col("x.block").alias("one"), F.col("y.block").alias("other"))
     sides = duos.select("key", "one", "other", F.explode(F.array("one", "other")).alias("block"))
-    placed = sides.join(rows.select("key", "block", "class", "copy", "n", "at"), ["key", "block"])
+    placed = sides.join(rows.select("key", "block", "class", "copy", "n", "at", "bits"), ["key", "block"])
 
     def run(batches):
         import numpy as np
 
-        def settle(key, one, other, block, cls, copy, n, at):
+        def settle(key, one, other, block, cls, copy, n, at, odd):
             bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1]))))
-            for i, j in apart(bucket, cls, n, at, similarity):
+            for i, j in apart(bucket, cls, n, at, odd, similarity):
                 new = block[i] != block[j]
                 yield _found(copy, n, i[new], j[new])
 
@@ -372,7 +478,7 @@ def between_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [c.to_numpy() for c in b.columns]
+            new = [*(c.to_numpy() for c in b.columns[:8]), _odd(b.column(8))]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             change = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
             if len(change):
@@ -381,13 +487,17 @@ def between_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         if held is not None:
             yield from settle(*held)
 
-    wanted = placed.select("key", "one", "other", "block", "class", "copy", "n", "at").repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
+    wanted = placed.select("key", "one", "other", "block", "class", "copy", "n", "at", "bits").repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
     return wanted.mapInArrow(run, _BUCKET)
 
 
 def prefix_pairs(keyed: DataFrame, similarity: float, put) -> DataFrame:
-    """a, b: pairs of different classes among `keyed` (copy, n, class, keys) whose prefixes share SHARED hashes, or all they need."""
-    buckets = put(in_blocks(keyed.select("class", "copy", "n", F.posexplode("keys").alias("at", "key")), similarity), "buckets")
+    """a, b: pairs of different classes among `keyed` (copy, n, bits, class, keys and, where some are left out, ats) whose prefixes share SHARED hashes, or all they need."""
+    if "ats" in keyed.columns:
+        rows = keyed.select("class", "copy", "n", "bits", F.explode(F.arrays_zip("keys", "ats")).alias("x")).select("class", "copy", "n", "bits", F.col("x.keys").alias("key"), F.col("x.ats").alias("at"))
+    else:
+        rows = keyed.select("class", "copy", "n", "bits", F.posexplode("keys").alias("at", "key"))
+    buckets = put(in_blocks(rows, similarity), "buckets")
     found = buckets.filter("key is null")
     split = buckets.filter("key is not null")
     if not split.isEmpty():
@@ -397,20 +507,25 @@ def prefix_pairs(keyed: DataFrame, similarity: float, put) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, row: str, text: str, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """copy, items (the sorted set) for `chosen` (row, copy)."""
+    """copy, items (the sorted set) for `chosen` (row, copy). A filter of fixed size picks the rows, so that no text is
+    shuffled; the sets of a few others do no harm."""
+    picked = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, F.col("row"), ROW_BITS))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        bits = np.frombuffer(picked.value, np.uint8)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            at = b.column(0).to_numpy(zero_copy_only=False) % ROW_BITS
+            own = b.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0))
+            for at in range(0, own.num_rows, 256):
+                part = own.slice(at, 256)
                 items = [shingles(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], names=["copy", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], names=["row", "items"])
 
-    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t"))
-    return rows.join(chosen, "row").select("copy", "t").mapInArrow(run, "copy long, items array<long>")
+    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("t")).filter("row is not null")
+    return rows.mapInArrow(run, "row long, items array<long>").join(chosen, "row").select("copy", "items")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -476,8 +591,10 @@ def near_copies(docs: DataFrame, row: str = "doc_id", text: str = "text", shingl
     if exact:
         counts = signed.filter("n = -1").select(F.explode(F.arrays_zip("keys", "next")).alias("x")).groupBy("x.keys").agg(F.sum("x.next").alias("count"))
         often = spark.sparkContext.broadcast(bitmap(counts.filter(F.col("count") >= COMMON), F.col("keys"), FILTER_BITS))
-        first = prefixes(docs, row, text, often, shingle, similarity).groupBy("copy").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-        keyed = first.join(root, F.col("copy") == F.col("node"), "left").select("copy", "n", F.coalesce("root", "copy").alias("class"), "keys")
+        first = put(prefixes(docs, row, text, often, shingle, similarity), "prefixes")
+        repeated = spark.sparkContext.broadcast(repeated_keys(first))
+        some = shared_prefixes(first, repeated, similarity).groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "bits", "keys", "ats")])
+        keyed = some.join(root, F.col("copy") == F.col("node"), "left").select("copy", "n", "bits", F.coalesce("root", "copy").alias("class"), "keys", "ats")
         more = put(prefix_pairs(keyed, similarity, put), "further")
         if not more.isEmpty():
             wanted = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "copy")
