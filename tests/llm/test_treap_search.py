@@ -108,3 +108,15 @@ def test_empty_tables(spark):
     assert n == 0 and treap_search.search(index, n, items).count() == 0
     index, n = treap_search.build(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert treap_search.search(index, n, items.limit(0)).count() == 0
+
+
+def test_segments_are_written_and_read_one_by_one(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, "a b c d") for k in range(40)], "doc_id long, text string").coalesce(1)
+    index, n = treap_search.build(docs, segment=16)
+    assert n == 40 and index.count() == 10
+    files = [pq.ParquetFile(x).metadata for x in glob.glob(index._voltframe_path.replace("file://", "").replace("file:", "") + "/*.parquet")]
+    assert [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)] == [1] * 10

@@ -139,7 +139,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).filter("text IS NOT NULL")
     schema = f"ids array<{kind.simpleString()}>, terms array<binary>, counts array<int>, root binary, doc binary, impact binary, left binary, right binary"
-    return materialize(rows.mapInArrow(run, schema), "treaps"), n_docs
+    return materialize(rows.mapInArrow(run, schema), "treaps", large_rows=True), n_docs
 
 
 def weights(index: DataFrame, n_docs: int, terms: DataFrame) -> DataFrame:
